@@ -157,7 +157,7 @@ PAGE_ROWS_LIMIT = 2048
 # Ordered scans over larger groups are cut into chunks of this many positions.
 SCAN_CHUNK = 65536
 # A document row covers this many pages; longer documents become several rows.
-PAGES_PER_PART = 4096
+PAGES_PER_PART = 1024
 # Regions of one page that may share a text fragment.
 REGIONS_PER_FRAGMENT = 4096
 # Key tables up to this many counted rows may be broadcast.

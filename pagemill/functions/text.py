@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from pagemill import config
 from pagemill.functions.boxes import lookup
@@ -67,7 +68,7 @@ def _first_run(equal: np.ndarray, length: int) -> int | None:
     return int(edges[long_enough[0]] + 1) if len(long_enough) else None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut_repeats(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def cut(text: str | None) -> str | None:
         if not text:
@@ -94,77 +95,36 @@ def cut_repeats(content: Column, min_length: int = 0) -> Column:
     return _cut_repeats(F.when(worth_it, stripped))
 
 
-def cut_repeated_lines(
-    content: Column, min_lines: int = config.REPEAT_LINE_COUNT, share: float = config.REPEAT_LINE_SHARE
-) -> Column:
-    """Cut after the first of three equal lines in a row when one line makes up most of the text.
-
-    The share is above one half, so the line can only be the majority line, which one
-    pass with a counter finds.
-    """
-    if share <= 0.5:
-        raise ValueError("the share of the common line must be above one half")
-    raw = F.split(content, "\n")
-    stripped = F.transform(raw, strip)
-    numbered = F.filter(
-        F.transform(stripped, lambda line, i: F.struct(line.alias("line"), i.alias("at"))), lambda x: x["line"] != ""
-    )
-    start = F.struct(F.lit("").alias("line"), F.lit(0).alias("votes"))
-    majority = F.aggregate(
-        numbered,
-        start,
-        lambda acc, x: F.when(acc["votes"] == 0, F.struct(x["line"].alias("line"), F.lit(1).alias("votes")))
-        .when(acc["line"] == x["line"], F.struct(acc["line"].alias("line"), (acc["votes"] + 1).alias("votes")))
-        .otherwise(F.struct(acc["line"].alias("line"), (acc["votes"] - 1).alias("votes"))),
-        lambda acc: acc["line"],
-    )
-    count = F.size(F.filter(numbered, lambda x: x["line"] == majority))
-    total = F.size(numbered)
-    position = F.filter(
-        F.transform(numbered, lambda x, i: F.struct(x["at"].alias("at"), i.alias("i"))),
-        lambda p: (F.get(numbered, p["i"])["line"] == majority)
-        & (F.get(numbered, p["i"] + 1)["line"] == majority)
-        & (F.get(numbered, p["i"] + 2)["line"] == majority),
-    )
-    first = F.get(position, F.lit(0))["at"]
-    applies = (total >= min_lines) & (count >= min_lines) & (F.try_divide(count, total) >= share) & first.isNotNull()
-    return F.when(applies, F.array_join(F.slice(raw, 1, first + 1), "\n")).otherwise(content)
-
-
 # --- content -----------------------------------------------------------------
 
-_OPEN, _CLOSE = "", ""
+_OPEN, _CLOSE = "\ue000", "\ue001"
 
 
 def normalise_inline_formula(content: Column) -> Column:
     """``$ x $`` becomes ``$x$``, set off by a space from letters and digits next to it.
 
     Spans are first marked with two private-use characters, so that a blank span can
-    take its closing dollar with it and be put back as it was.
+    take its closing dollar with it and be put back as it was. The span body has one
+    way to match, so its loops are possessive and long texts cost no stack.
     """
-    span = r"(?U)(?<!\$)\$(?:(\s+)\$(?!\$)|\s*((?:[^$\\]|\\(?-s:[^\n]))+?)\s*\$(?!\$))"
-    marked = F.regexp_replace(content, span, f"{_OPEN}$1$2{_CLOSE}")
-    marked = F.regexp_replace(marked, rf"(?U){_OPEN}(\s+){_CLOSE}", r"\$$1\$")
+    body = r"[^$\\]*+(?:\\[^\n][^$\\]*+)*+"
+    marked = F.regexp_replace(content, rf"(?<!\$)\$(?=[^$])({body})\$(?!\$)", f"{_OPEN}$1{_CLOSE}")
+    marked = F.regexp_replace(marked, rf"(?U){_OPEN}({SPACE}+){_CLOSE}", r"\$$1\$")
+    marked = F.regexp_replace(marked, rf"(?U){_OPEN}{SPACE}+", _OPEN)
+    marked = F.regexp_replace(marked, rf"(?U){SPACE}+{_CLOSE}", _CLOSE)
     marked = F.regexp_replace(marked, rf"([\p{{L}}\p{{N}}]){_OPEN}", f"$1 {_OPEN}")
     marked = F.regexp_replace(marked, rf"{_CLOSE}([\p{{L}}\p{{N}}])", f"{_CLOSE} $1")
     return F.when(F.contains(content, F.lit("$")), F.translate(marked, _OPEN + _CLOSE, "$$")).otherwise(content)
 
 
-def clean_content(content: Column, cut_long: bool = True) -> Column:
-    """General clean-up: stray tabs, runs of punctuation, repetitions, inline formulas."""
-    text = F.coalesce(content, F.lit(""))
-    text = lstrip(F.regexp_replace(text, r"^(?:\\t)+", ""))
+def collapse_punctuation(content: Column) -> Column:
+    """Trim, drop literal tab escapes at both ends, shorten long runs of marks to three."""
+    text = lstrip(F.regexp_replace(content, r"^(?:\\t)+", ""))
     text = rstrip(F.regexp_replace(text, r"(?d)(?:\\t)+$", ""))
     text = F.regexp_replace(text, r"\.{3,}", "...")
     text = F.regexp_replace(text, "·{3,}", "···")
     text = F.regexp_replace(text, "_{3,}", "___")
-    text = F.regexp_replace(text, r"(?:\\_){3,}", r"\\_\\_\\_")
-    if cut_long:
-        text = F.when(
-            F.length(text) >= config.LONG_CONTENT,
-            F.coalesce(cut_repeats(text, config.LONG_CONTENT), cut_repeated_lines(text)),
-        ).otherwise(text)
-    return strip(normalise_inline_formula(text))
+    return F.regexp_replace(text, r"(?:\\_){3,}", r"\\_\\_\\_")
 
 
 def clean_formula_number(number: Column) -> Column:
@@ -234,15 +194,6 @@ def is_finished(content: Column, label: Column) -> Column:
     return table | formula
 
 
-def format_content(content: Column, label: Column, native: Column, cut_long: bool = True) -> Column:
-    """All content rules for a region; null stays null."""
-    body = F.when(is_finished(content, label), strip(content)).otherwise(clean_content(content, cut_long))
-    body = format_title(body, native)
-    prose = double_newlines(normalise_enumerator(normalise_bullet(close_code_fence(body))))
-    formatted = F.when(label == "formula", format_formula(body)).when(label == "text", prose).otherwise(body)
-    return F.when(content.isNotNull(), formatted)
-
-
 def is_plausible_word(word: Column, frequency: Column | None = None) -> Column:
     """Whether two word halves make a word: frequent enough, or shaped like one."""
     token = F.lower(strip(word))
@@ -319,17 +270,15 @@ def split_math_spans(html: Column) -> Column:
     one text node, so it cannot reach over a tag.
     """
     text_nodes = F.split(F.regexp_replace(html, _SKIPPED, "<>"), r"<[^>]*>")
-    escaped = r"(?:[^\\$]|\\.)"
-    blank_aware = (
-        rf"(?s)\\.|\$\$(?=[^$]*?\S)((?:{escaped}|\$(?!\$))+?)\$\$|\$(?=[^$]*?\S)({escaped}+?)\$|\$"
-    )
+    display = r"\$\$(?!\s*\$\$)[^$\\]*+(?:(?:\\.|\$(?!\$))[^$\\]*+)*+\$\$"
+    inline = r"\$(?!\s*\$)[^$\\]*+(?:\\.[^$\\]*+)*+\$"
     spans = F.flatten(
         F.transform(
             F.filter(text_nodes, lambda t: t.contains("$")),
-            lambda t: F.regexp_extract_all(t, F.lit(blank_aware), F.lit(0)),
+            lambda t: F.regexp_extract_all(t, F.lit(rf"(?s)\\\$|{display}|{inline}|\$"), F.lit(0)),
         )
     )
-    formulas = F.filter(spans, lambda s: s.startswith("$") & (F.length(s) > 2) & s.endswith("$"))
+    formulas = F.filter(spans, lambda s: s.startswith("$") & (F.length(s) > 2))
     return F.transform(
         formulas,
         lambda s: F.struct(

@@ -69,17 +69,33 @@ class WindowOrder:
         window = Window.partitionBy(*self.keys).orderBy(self.pos)
         return df.withColumn(out, F.row_number().over(window) - 1)
 
+    def kept(self, df: DataFrame, keep: Column, out: str) -> DataFrame:
+        """Drop rows without ``keep`` and number the others from 0.
+
+        The rows are filtered after they are counted: a filter in front of the window
+        would be pushed down to the scan and repeat everything ``keep`` is computed from.
+        """
+        flagged = df.withColumn("_keep", F.coalesce(keep, F.lit(False)))
+        counted = self.running(flagged, {"_kept": ("sum", F.when(F.col("_keep"), 1).otherwise(0))})
+        return counted.where("_keep").withColumn(out, (F.col("_kept") - 1).cast("int")).drop("_keep", "_kept")
+
 
 class ChunkedOrder(WindowOrder):
     """The same results for groups of any size; ``pos`` must be a unique integer."""
 
-    def __init__(self, keys: list[str], pos: str, chunk: int = SCAN_CHUNK):
+    def __init__(self, keys: list[str], pos: str, chunk: int = SCAN_CHUNK, durable: bool = True):
         super().__init__(keys, pos)
         self.chunk = chunk
+        self.durable = durable
+
+    def _input(self, df: DataFrame) -> DataFrame:
+        """Rows are read twice below; a durable scan computes them once."""
+        return materialise(df) if self.durable else df
 
     def running(
         self, df: DataFrame, outs: dict[str, Running], reverse: bool = False, strict: bool = False
     ) -> DataFrame:
+        df = self._input(df)
         names = df.columns
         chunked = df.withColumn("_chunk", F.floor(F.col(self.pos) / self.chunk)).withColumns(
             {f"_in_{name}": col for name, (_, col) in outs.items()}
@@ -102,12 +118,14 @@ class ChunkedOrder(WindowOrder):
         )
 
     def shifted(self, df: DataFrame, offset: int, outs: dict[str, Column]) -> DataFrame:
+        df = self._input(df)
         others = df.select(
             *self.keys, (F.col(self.pos) - offset).alias(self.pos), *[c.alias(n) for n, c in outs.items()]
         )
         return df.join(others, [*self.keys, self.pos], "left")
 
     def fetched(self, df: DataFrame, at: str, outs: dict[str, Column]) -> DataFrame:
+        df = self._input(df)
         others = df.select(*self.keys, F.col(self.pos).alias(at), *[c.alias(n) for n, c in outs.items()])
         return df.join(others, [*self.keys, at], "left")
 
@@ -118,15 +136,10 @@ class ChunkedOrder(WindowOrder):
         return self.running(df, {out: ("sum", F.lit(1))}).withColumn(out, (F.col(out) - 1).cast("int"))
 
 
-def by_page_size(
-    df: DataFrame,
-    pos: str,
-    ordinary: Callable[[DataFrame], DataFrame],
-    large: Callable[[DataFrame], DataFrame],
-    limit: int = PAGE_ROWS_LIMIT,
-    keys: list[str] | None = None,
-) -> DataFrame:
-    """Run ``ordinary`` on pages of bounded size and ``large`` on all others.
+def split_by_page_size(
+    df: DataFrame, pos: str, limit: int = PAGE_ROWS_LIMIT, keys: list[str] | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of pages of bounded size, and the rows of all others (None when there are none).
 
     ``pos`` numbers the rows of a page from 0, so a page with more than ``limit`` rows
     has a row with ``pos >= limit``. That test is a plain predicate on one column: the
@@ -136,14 +149,24 @@ def by_page_size(
     keys = list(keys or PAGE_KEYS)
     big = df.where(F.col(pos) >= limit).select(*keys).distinct()
     if big.isEmpty():
-        return ordinary(df)
+        return df, None
     big = materialise(big)
     if big.count() <= BROADCAST_ROWS:
         big = F.broadcast(big)
-    rest = df.join(big, keys, "left_anti")
-    hot = materialise(df.join(big, keys, "left_semi"))
-    done = large(hot)
-    return ordinary(rest).unionByName(done)
+    return df.join(big, keys, "left_anti"), materialise(df.join(big, keys, "left_semi"))
+
+
+def by_page_size(
+    df: DataFrame,
+    pos: str,
+    ordinary: Callable[[DataFrame], DataFrame],
+    large: Callable[[DataFrame], DataFrame],
+    limit: int = PAGE_ROWS_LIMIT,
+    keys: list[str] | None = None,
+) -> DataFrame:
+    """Run ``ordinary`` on pages of bounded size and ``large`` on all others."""
+    rest, hot = split_by_page_size(df, pos, limit, keys)
+    return ordinary(rest) if hot is None else ordinary(rest).unionByName(large(hot))
 
 
 def number_in_document(
@@ -164,7 +187,7 @@ def number_in_document(
         "_in_page", F.row_number().over(Window.partitionBy(unit, page).orderBy(pos)) - 1
     )
     counts = df.groupBy(unit, page).agg(F.count(F.lit(1)).alias("_n"))
-    before = ChunkedOrder([unit], page).running(counts, {"_before": ("sum", F.col("_n"))}, strict=True).drop("_n")
+    before = ChunkedOrder([unit], page, durable=False).running(counts, {"_before": ("sum", F.col("_n"))}, strict=True).drop("_n")
     return (
         numbered.join(before, [unit, page])
         .withColumn(out, (F.col("_before") + F.col("_in_page") + start).cast("int"))
