@@ -1,0 +1,9 @@
+"""Every operator as a named query over the given tables, with SQL to check it."""
+
+from pagemill.plans.catalog import (  # noqa: F401
+    geometry_queries,
+    text_queries,
+)
+from pagemill.plans.catalog.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]

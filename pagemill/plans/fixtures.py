@@ -108,6 +108,8 @@ def duckdb_with(names: list[str], body: str, recursive: bool = False) -> str:
 
     for name in names:
         add(name)
+    if not ordered:
+        return body.strip()
     ctes = ",\n".join(f"{name} as ({_SQL[name][0]})" for name in ordered)
     body = body.strip()
     head = "with recursive " if recursive else "with "
