@@ -204,7 +204,7 @@ def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """
     ranked = materialise(df.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
     ranked = ranked.withColumns(
-        {"_part": F.shiftright("_row", 33), "_at": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}
+        {"_part": F.shiftright("_row", 33), "_offset": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}
     )
     sizes = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(
@@ -213,6 +213,6 @@ def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
     )
     return (
         ranked.join(F.broadcast(before), "_part")
-        .withColumn(out, F.col("_before") + F.col("_at"))
-        .drop("_part", "_at", "_row", "_before")
+        .withColumn(out, F.col("_before") + F.col("_offset"))
+        .drop("_part", "_offset", "_row", "_before")
     )

@@ -49,9 +49,14 @@ def can_retry() -> Column:
     return F.col("retry_count") < F.col("max_retries")
 
 
+def _seconds_taken() -> Column:
+    micros = [F.unix_micros(F.col(c).cast("timestamp")) for c in ("completed_at", "started_at")]
+    return (micros[0] - micros[1]) / F.lit(1_000_000.0)
+
+
 def derive_flags(tasks: DataFrame, now: datetime | str) -> DataFrame:
     lease = F.col("lock_expires_at")
-    seconds = (F.unix_micros("completed_at") - F.unix_micros("started_at")) / F.lit(1_000_000.0)
+    seconds = _seconds_taken()
     return tasks.withColumns(
         {
             "is_locked": F.coalesce(lease > _now(now), F.lit(False)),
@@ -257,7 +262,7 @@ def status_counts(tasks: DataFrame) -> DataFrame:
 
 def worker_metrics(tasks: DataFrame) -> DataFrame:
     """Started, completed, failed and execution time per worker."""
-    seconds = (F.unix_micros("completed_at") - F.unix_micros("started_at")) / F.lit(1_000_000.0)
+    seconds = _seconds_taken()
     done = F.col("status") == COMPLETED
     metrics = tasks.where(F.col("worker_id").isNotNull()).groupBy("worker_id").agg(
         F.count_if(F.col("started_at").isNotNull()).alias("tasks_started"),

@@ -58,7 +58,7 @@ def run_available(stream: DataFrame, output_mode: str = "append") -> DataFrame:
 
 def dedup_events(events: DataFrame, keys: list[str], time: str, delay: str) -> DataFrame:
     """Drop replayed events that arrive within ``delay`` of each other."""
-    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
+    return events.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, delay).dropDuplicatesWithinWatermark(keys)
 
 
 # --- task state --------------------------------------------------------------
