@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Unicode white space plus the four information separators
 SPACE = r"[\s\x1c-\x1f]"
+# the same characters one by one: trimming a set of characters looks at the ends only
+SPACES = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+    "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+)
 
 
 def lstrip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"(?U)^{SPACE}+", "")
+    return F.ltrim(col, F.lit(SPACES))
 
 
 def rstrip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"(?U){SPACE}+\z", "")
+    return F.rtrim(col, F.lit(SPACES))
 
 
 def strip(col: Column) -> Column:
-    return F.regexp_replace(col, rf"(?U)^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col, F.lit(SPACES))
+
+
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def drop_first(col: Column, count: int) -> Column:

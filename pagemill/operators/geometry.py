@@ -19,6 +19,7 @@ from pagemill import config
 from pagemill.functions import boxes
 from pagemill.operators import large_pages
 from pagemill.operators.ordering import by_page_size
+from pagemill.session import materialise
 
 log = logging.getLogger(__name__)
 PAGE = config.PAGE_KEYS
@@ -451,30 +452,35 @@ def _raw_type(raw: DataFrame) -> str:
 # --- points and blocks -------------------------------------------------------
 
 
-def blocks_at_points(points: DataFrame, block_table: DataFrame, cell: int = 256) -> DataFrame:
+def blocks_at_points(points: DataFrame, block_table: DataFrame, limit: int = config.PAGE_ROWS_LIMIT) -> DataFrame:
     """First block (by ``block_id``) whose box holds the point, misses kept.
 
     Points carry ``unit_id, point_id, page_index, px, py``; blocks ``unit_id,
-    page_index, block_id, x1, y1, x2, y2``. Both sides are cut into square cells so the
-    join is an equi-join on the cell; a block is copied to the cells it covers.
+    page_index, block_id, x1, y1, x2, y2``. Points meet the blocks of their page; where a page
+    may hold many blocks they meet only those of the grid cells around them.
     """
-    cells = lambda lo, hi: F.sequence(F.floor(lo / cell), F.floor(hi / cell))
-    keyed_blocks = (
-        block_table.where(F.col("x1").isNotNull() & (F.col("x1") <= F.col("x2")) & (F.col("y1") <= F.col("y2")))
-        .withColumn("cx", F.explode(cells(F.col("x1"), F.col("x2"))))
-        .withColumn("cy", F.explode(cells(F.col("y1"), F.col("y2"))))
-    )
-    keyed_points = points.withColumns(
-        {"cx": F.floor(F.col("px") / cell), "cy": F.floor(F.col("py") / cell)}
-    )
-    hits = (
-        keyed_points.alias("p")
-        .join(keyed_blocks.alias("b"), ["unit_id", "page_index", "cx", "cy"])
-        .where(F.col("px").between(F.col("b.x1"), F.col("b.x2")) & F.col("py").between(F.col("b.y1"), F.col("b.y2")))
-        .groupBy("unit_id", "point_id")
-        .agg(F.min("block_id").alias("block_id"))
-    )
-    return points.join(hits, ["unit_id", "point_id"], "left")
+    page = ["unit_id", "page_index"]
+    usable = block_table.where(F.col("x1").isNotNull()).select(*page, "block_id", *boxes.SIDES)
+    inside = F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))
+    big = usable.where(F.col("block_id") >= limit).select(*page).distinct()
+    if big.isEmpty():
+        hits = points.join(usable, page).where(inside).select("unit_id", "point_id", "block_id")
+    else:
+        big = materialise(big)
+        plain = points.join(big, page, "left_anti").join(usable, page).where(inside)
+        dots = points.join(big, page, "left_semi").select(
+            "unit_id", F.col("page_index").alias("page_idx"), "point_id",
+            F.col("px").cast("double").alias("x1"), F.col("py").cast("double").alias("y1"),
+            F.col("px").cast("double").alias("x2"), F.col("py").cast("double").alias("y2"),
+        )
+        hot = usable.join(big, page, "left_semi").withColumnRenamed("page_index", "page_idx")
+        pairs = large_pages.overlapping(dots, hot, 0, None)
+        found = pairs.where(
+            F.col("a.x1").between(F.col("b.x1"), F.col("b.x2")) & F.col("a.y1").between(F.col("b.y1"), F.col("b.y2"))
+        ).select("unit_id", F.col("a.point_id").alias("point_id"), F.col("b.block_id").alias("block_id"))
+        hits = plain.select("unit_id", "point_id", "block_id").unionByName(found)
+    first = hits.groupBy("unit_id", "point_id").agg(F.min("block_id").alias("block_id"))
+    return points.join(first, ["unit_id", "point_id"], "left")
 
 
 def rescale_points(points: DataFrame, shown_w: Column, shown_h: Column, page_w: Column, page_h: Column, reverse: bool = False) -> DataFrame:

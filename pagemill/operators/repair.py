@@ -30,7 +30,8 @@ def format_regions(
     cut_long: bool = True,
 ) -> DataFrame:
     """Map labels, format content, drop blank regions (images stay) and renumber."""
-    rows = content_rules.map_labels(regions, categories=categories)
+    # one shuffle by page serves all repairs; behind it the content rules run evenly spread
+    rows = content_rules.map_labels(regions.repartition(*PAGE), categories=categories)
     is_image = F.col("label") == "image"
     if "task_type" in rows.columns:
         is_image = is_image | F.coalesce(F.col("task_type") == "skip", F.lit(False))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from pagemill import config
 from pagemill.operators import assemble, repair
@@ -27,15 +28,15 @@ def documents(
     Content crosses the network twice: once by page for the repairs and page texts, once
     by document for the assembly. Image numbers are worked out from the image rows alone.
     """
-    from pyspark.sql import functions as F
-
-    if crops is None:
-        numbered = regions.withColumn("image_no", F.lit(None).cast("int"))
-    else:
-        numbered = assemble.attach_image_numbers(regions, assemble.matched_crops(regions, crops))
-    rest, hot = split_by_page_size(numbered, "idx", limit)
+    rest, hot = split_by_page_size(regions, "idx", limit)
+    images = None if crops is None else assemble.matched_crops(regions, crops)
 
     def finished(rows: DataFrame, order: WindowOrder) -> DataFrame:
+        rows = rows.repartition(*PAGE)
+        if images is None:
+            rows = rows.withColumn("image_no", F.lit(None).cast("int"))
+        else:
+            rows = assemble.attach_image_numbers(rows, images)
         repaired = repair.repair_regions(rows, order, lexicon=lexicon, **switches)
         return assemble.with_pieces(repaired, image_prefix)
 
