@@ -462,11 +462,11 @@ def blocks_at_points(points: DataFrame, block_table: DataFrame, limit: int = con
     page = ["unit_id", "page_index"]
     usable = block_table.where(F.col("x1").isNotNull()).select(*page, "block_id", *boxes.SIDES)
     inside = F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))
-    big = usable.where(F.col("block_id") >= limit).select(*page).distinct()
-    if big.isEmpty():
+    beyond = usable.where(F.col("block_id") >= limit).select(*page)
+    if beyond.isEmpty():
         hits = points.join(usable, page).where(inside).select("unit_id", "point_id", "block_id")
     else:
-        big = materialise(big)
+        big = materialise(beyond.distinct())
         plain = points.join(big, page, "left_anti").join(usable, page).where(inside)
         dots = points.join(big, page, "left_semi").select(
             "unit_id", F.col("page_index").alias("page_idx"), "point_id",

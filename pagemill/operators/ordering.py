@@ -147,10 +147,10 @@ def split_by_page_size(
     no page is large.
     """
     keys = list(keys or PAGE_KEYS)
-    big = df.where(F.col(pos) >= limit).select(*keys).distinct()
-    if big.isEmpty():
+    beyond = df.where(F.col(pos) >= limit).select(*keys)
+    if beyond.isEmpty():
         return df, None
-    big = materialise(big)
+    big = materialise(beyond.distinct())
     if big.count() <= BROADCAST_ROWS:
         big = F.broadcast(big)
     return df.join(big, keys, "left_anti"), materialise(df.join(big, keys, "left_semi"))

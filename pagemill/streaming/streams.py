@@ -24,6 +24,7 @@ def stream_documents(spark: SparkSession, path: str, files_per_trigger: int = FI
     """Documents as they arrive under ``path``."""
     files = (
         spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length bigint, content binary")
         .option("recursiveFileLookup", "true")
         .option("maxFilesPerTrigger", files_per_trigger)
         .load(path)
