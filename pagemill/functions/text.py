@@ -154,13 +154,12 @@ def collapse_punctuation(content: Column) -> Column:
 
 def clean_formula_number(number: Column) -> Column:
     """Trim and drop one pair of round brackets."""
-    text = strip(number)
-    inner = drop_last(drop_first(text, 1), 1)
-    return first_matching(
-        text,
-        (text.startswith("(") & text.endswith(")"), inner),
-        (text.startswith("（") & text.endswith("）"), inner),
-    )
+
+    def unwrapped(text: Column) -> Column:
+        wrapped = (text.startswith("(") & text.endswith(")")) | (text.startswith("（") & text.endswith("）"))
+        return F.when(wrapped, drop_last(drop_first(text, 1), 1)).otherwise(text)
+
+    return bind(strip(number), unwrapped)
 
 
 def map_label(native: Column, categories: Mapping[str, Sequence[str]] = config.CATEGORY_LABELS) -> Column:
@@ -184,7 +183,9 @@ def format_title(content: Column, native: Column) -> Column:
 def format_formula(content: Column) -> Column:
     """Bare formula between lines of ``$$``."""
     opened = F.when(starts_with_any(content, "$$", "\\[", "\\("), strip(drop_first(content, 2))).otherwise(content)
-    closed = F.when(ends_with_any(opened, "$$", "\\]", "\\)"), strip(drop_last(opened, 2))).otherwise(opened)
+    closed = bind(
+        opened, lambda c: F.when(ends_with_any(c, "$$", "\\]", "\\)"), strip(drop_last(c, 2))).otherwise(c)
+    )
     return F.concat(F.lit("$$\n"), closed, F.lit("\n$$"))
 
 

@@ -96,6 +96,36 @@ def clean_content(df: DataFrame, column: str, applies: Column | None = None, cut
     return df.withColumn(column, only(strip(F.col(column))))
 
 
+def prepare_content(df: DataFrame, content: str = "content", label: str = "label", cut_long: bool = True) -> DataFrame:
+    """First half of the content rules: clean-up, with the cut of repeated text.
+
+    Tables and formulas that have their delimiters are only trimmed. Null stays null.
+    """
+    columns = df.columns
+    df = df.withColumn("_open", ~F.coalesce(text.is_finished(F.col(content), F.col(label)), F.lit(False)))
+    body = F.col(content)
+    df = df.withColumn(content, F.when(F.col("_open"), text.collapse_punctuation(body)).otherwise(strip(body)))
+    if cut_long:
+        df = cut_long_repeats(df, content, F.col("_open"))
+    inline = strip(text.normalise_inline_formula(body))
+    return df.withColumn(content, F.when(F.col("_open"), inline).otherwise(body)).select(*columns)
+
+
+def finish_content(
+    df: DataFrame, content: str = "content", label: str = "label", native: str = "native_label"
+) -> DataFrame:
+    """Second half: titles, formulas and running text get their Markdown form."""
+    body, is_text, is_formula = F.col(content), F.col(label) == "text", F.col(label) == "formula"
+    df = df.withColumn(content, text.format_title(body, F.col(native)))
+    df = df.withColumn(
+        content,
+        F.when(is_formula, text.format_formula(body)).when(is_text, text.close_code_fence(body)).otherwise(body),
+    )
+    for step in (text.normalise_bullet, text.normalise_enumerator, text.double_newlines):
+        df = df.withColumn(content, F.when(is_text, step(body)).otherwise(body))
+    return df
+
+
 def format_content(
     df: DataFrame,
     content: str = "content",
@@ -104,16 +134,7 @@ def format_content(
     cut_long: bool = True,
 ) -> DataFrame:
     """All content rules for recognised regions; null stays null."""
-    columns = df.columns
-    body, is_text, is_formula = F.col("_body"), F.col(label) == "text", F.col(label) == "formula"
-    df = df.withColumns({"_body": F.col(content), "_whole": text.is_finished(F.col(content), F.col(label))})
-    df = df.withColumn("_body", F.when(F.col("_whole"), strip(body)).otherwise(body))
-    df = clean_content(df, "_body", ~F.coalesce(F.col("_whole"), F.lit(False)), cut_long)
-    df = df.withColumn("_body", text.format_title(body, F.col(native)))
-    df = df.withColumn("_body", F.when(is_formula, text.format_formula(body)).otherwise(body))
-    for step in (text.close_code_fence, text.normalise_bullet, text.normalise_enumerator, text.double_newlines):
-        df = df.withColumn("_body", F.when(is_text, step(body)).otherwise(body))
-    return df.withColumn(content, F.when(F.col(content).isNotNull(), body)).select(*columns)
+    return finish_content(prepare_content(df, content, label, cut_long), content, label, native)
 
 
 def map_labels(

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from pagemill import config
 from pagemill.functions import boxes
-from pagemill.operators.ordering import ChunkedOrder
+from pagemill.operators.ordering import ChunkedOrder, before
 from pagemill.session import materialise
 
 PAGE = config.PAGE_KEYS
@@ -165,9 +165,9 @@ def merge_boxes(detections: DataFrame, mode: str | Mapping[int, str], preserved:
 def reading_order(detections: DataFrame) -> DataFrame:
     """Rank by (order_seq, det_id): rows of smaller order plus rank among equals."""
     per_value = detections.groupBy(*PAGE, "order_seq").agg(F.count(F.lit(1)).alias("_n"))
-    before = ChunkedOrder(PAGE, "order_seq").running(per_value, {"_before": ("sum", F.col("_n"))}, strict=True)
+    earlier = ChunkedOrder(PAGE, "order_seq").running(per_value, {"_before": before("sum", F.col("_n"))})
     among = ChunkedOrder([*PAGE, "order_seq"], "det_id").dense(detections, "_among")
-    ranked = among.join(before.drop("_n"), [*PAGE, "order_seq"])
+    ranked = among.join(earlier.drop("_n"), [*PAGE, "order_seq"])
     return ranked.select(*detections.columns, (F.col("_before") + F.col("_among")).cast("int").alias("idx"))
 
 

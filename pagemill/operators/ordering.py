@@ -18,7 +18,18 @@ from pagemill.config import BROADCAST_ROWS, PAGE_KEYS, PAGE_ROWS_LIMIT, SCAN_CHU
 from pagemill.session import materialise
 
 _AGGREGATES: dict[str, Callable[[Column], Column]] = {"sum": F.sum, "max": F.max, "min": F.min}
-Running = tuple[str, Column]
+# kind of aggregate, its input, and whether the row itself is left out
+Running = tuple[str, Column, bool]
+
+
+def upto(kind: str, col: Column) -> Running:
+    """Aggregate over the rows up to this one."""
+    return kind, col, False
+
+
+def before(kind: str, col: Column) -> Running:
+    """Aggregate over the rows before this one."""
+    return kind, col, True
 
 
 def _combine(kind: str, left: Column, right: Column) -> Column:
@@ -34,35 +45,30 @@ class WindowOrder:
         self.keys = list(keys)
         self.pos = pos
 
-    def running(
-        self, df: DataFrame, outs: dict[str, Running], reverse: bool = False, strict: bool = False
-    ) -> DataFrame:
-        """Aggregate from the start of the group (or its end) up to this row."""
+    def running(self, df: DataFrame, outs: dict[str, Running], reverse: bool = False) -> DataFrame:
+        """Aggregates from the start of the group (or its end)."""
         order = F.col(self.pos).desc() if reverse else F.col(self.pos).asc()
-        window = (
-            Window.partitionBy(*self.keys)
-            .orderBy(order)
-            .rowsBetween(Window.unboundedPreceding, -1 if strict else 0)
+        window = Window.partitionBy(*self.keys).orderBy(order)
+        frames = {strict: window.rowsBetween(Window.unboundedPreceding, -1 if strict else 0) for strict in (False, True)}
+        return df.withColumns(
+            {name: _AGGREGATES[kind](col).over(frames[strict]) for name, (kind, col, strict) in outs.items()}
         )
-        return df.withColumns({name: _AGGREGATES[kind](col).over(window) for name, (kind, col) in outs.items()})
 
-    def shifted(self, df: DataFrame, offset: int, outs: dict[str, Column]) -> DataFrame:
-        """Columns of the row ``offset`` positions away (negative: before)."""
+    def shifted(self, df: DataFrame, outs: dict[str, tuple[int, Column]]) -> DataFrame:
+        """Columns of the row so many positions away (negative: before)."""
         window = Window.partitionBy(*self.keys).orderBy(self.pos)
-        return df.withColumns({name: F.lead(col, offset).over(window) for name, col in outs.items()})
-
-    def fetched(self, df: DataFrame, at: str, outs: dict[str, Column]) -> DataFrame:
-        """Columns of the later row of the group whose position is in column ``at``.
+        return df.withColumns({name: F.lead(col, offset).over(window) for name, (offset, col) in outs.items()})
 
-        ``at`` must be the nearest later row for which it is set, so the wanted row
-        is found by carrying the last candidate backwards.
-        """
+    def nearest_later(self, df: DataFrame, wanted: Column, outs: dict[str, Column]) -> DataFrame:
+        """Columns of the first later row for which ``wanted`` holds."""
         window = (
             Window.partitionBy(*self.keys)
             .orderBy(F.col(self.pos).desc())
             .rowsBetween(Window.unboundedPreceding, -1)
         )
-        return df.withColumns({name: F.last(col, ignorenulls=True).over(window) for name, col in outs.items()})
+        return df.withColumns(
+            {name: F.last(F.when(wanted, col), ignorenulls=True).over(window) for name, col in outs.items()}
+        )
 
     def dense(self, df: DataFrame, out: str) -> DataFrame:
         """Zero-based position after rows were removed."""
@@ -76,7 +82,7 @@ class WindowOrder:
         would be pushed down to the scan and repeat everything ``keep`` is computed from.
         """
         flagged = df.withColumn("_keep", F.coalesce(keep, F.lit(False)))
-        counted = self.running(flagged, {"_kept": ("sum", F.when(F.col("_keep"), 1).otherwise(0))})
+        counted = self.running(flagged, {"_kept": upto("sum", F.when(F.col("_keep"), 1).otherwise(0))})
         return counted.where("_keep").withColumn(out, (F.col("_kept") - 1).cast("int")).drop("_keep", "_kept")
 
 
@@ -92,48 +98,58 @@ class ChunkedOrder(WindowOrder):
         """Rows are read twice below; a durable scan computes them once."""
         return materialise(df) if self.durable else df
 
-    def running(
-        self, df: DataFrame, outs: dict[str, Running], reverse: bool = False, strict: bool = False
-    ) -> DataFrame:
-        df = self._input(df)
+    def running(self, df: DataFrame, outs: dict[str, Running], reverse: bool = False) -> DataFrame:
         names = df.columns
-        chunked = df.withColumn("_chunk", F.floor(F.col(self.pos) / self.chunk)).withColumns(
-            {f"_in_{name}": col for name, (_, col) in outs.items()}
+        chunked = self._input(
+            df.withColumns(
+                {
+                    "_chunk": F.floor(F.col(self.pos) / self.chunk),
+                    **{f"_in_{name}": col for name, (_, col, _) in outs.items()},
+                }
+            )
         )
         inner = WindowOrder([*self.keys, "_chunk"], self.pos)
         local = inner.running(
-            chunked, {f"_local_{n}": (kind, F.col(f"_in_{n}")) for n, (kind, _) in outs.items()}, reverse, strict
+            chunked, {f"_local_{n}": (kind, F.col(f"_in_{n}"), strict) for n, (kind, _, strict) in outs.items()}, reverse
         )
         totals = chunked.groupBy(*self.keys, "_chunk").agg(
-            *[_AGGREGATES[kind](f"_in_{n}").alias(f"_total_{n}") for n, (kind, _) in outs.items()]
+            *[_AGGREGATES[kind](f"_in_{n}").alias(f"_total_{n}") for n, (kind, _, _) in outs.items()]
         )
         outer = WindowOrder(self.keys, "_chunk")
         carried = outer.running(
-            totals, {f"_carry_{n}": (kind, F.col(f"_total_{n}")) for n, (kind, _) in outs.items()}, reverse, True
+            totals, {f"_carry_{n}": before(kind, F.col(f"_total_{n}")) for n, (kind, _, _) in outs.items()}, reverse
         ).drop(*[f"_total_{n}" for n in outs])
         joined = local.join(carried, [*self.keys, "_chunk"])
         return joined.select(
             *[c for c in names if c not in outs],
-            *[_combine(kind, F.col(f"_carry_{n}"), F.col(f"_local_{n}")).alias(n) for n, (kind, _) in outs.items()],
+            *[
+                _combine(kind, F.col(f"_carry_{n}"), F.col(f"_local_{n}")).alias(n)
+                for n, (kind, _, _) in outs.items()
+            ],
         )
 
-    def shifted(self, df: DataFrame, offset: int, outs: dict[str, Column]) -> DataFrame:
+    def shifted(self, df: DataFrame, outs: dict[str, tuple[int, Column]]) -> DataFrame:
         df = self._input(df)
-        others = df.select(
-            *self.keys, (F.col(self.pos) - offset).alias(self.pos), *[c.alias(n) for n, c in outs.items()]
+        result = df
+        for offset in {offset for offset, _ in outs.values()}:
+            others = df.select(
+                *self.keys,
+                (F.col(self.pos) - offset).alias(self.pos),
+                *[col.alias(name) for name, (o, col) in outs.items() if o == offset],
+            )
+            result = result.join(others, [*self.keys, self.pos], "left")
+        return result
+
+    def nearest_later(self, df: DataFrame, wanted: Column, outs: dict[str, Column]) -> DataFrame:
+        aimed = self._input(self.running(df, {"_at": before("min", F.when(wanted, F.col(self.pos)))}, reverse=True))
+        others = aimed.where(wanted).select(
+            *self.keys, F.col(self.pos).alias("_at"), *[col.alias(name) for name, col in outs.items()]
         )
-        return df.join(others, [*self.keys, self.pos], "left")
-
-    def fetched(self, df: DataFrame, at: str, outs: dict[str, Column]) -> DataFrame:
-        df = self._input(df)
-        others = df.select(*self.keys, F.col(self.pos).alias(at), *[c.alias(n) for n, c in outs.items()])
-        return df.join(others, [*self.keys, at], "left")
+        return aimed.join(others, [*self.keys, "_at"], "left").drop("_at")
 
     def dense(self, df: DataFrame, out: str) -> DataFrame:
-        if out == self.pos:
-            counted = self.running(df, {"_dense": ("sum", F.lit(1))})
-            return counted.withColumn(out, (F.col("_dense") - 1).cast("int")).drop("_dense")
-        return self.running(df, {out: ("sum", F.lit(1))}).withColumn(out, (F.col(out) - 1).cast("int"))
+        counted = self.running(df, {"_dense": upto("sum", F.lit(1))})
+        return counted.withColumn(out, (F.col("_dense") - 1).cast("int")).drop("_dense")
 
 
 def split_by_page_size(
@@ -187,9 +203,11 @@ def number_in_document(
         "_in_page", F.row_number().over(Window.partitionBy(unit, page).orderBy(pos)) - 1
     )
     counts = df.groupBy(unit, page).agg(F.count(F.lit(1)).alias("_n"))
-    before = ChunkedOrder([unit], page, durable=False).running(counts, {"_before": ("sum", F.col("_n"))}, strict=True).drop("_n")
+    earlier = (
+        ChunkedOrder([unit], page, durable=False).running(counts, {"_before": before("sum", F.col("_n"))}).drop("_n")
+    )
     return (
-        numbered.join(before, [unit, page])
+        numbered.join(earlier, [unit, page])
         .withColumn(out, (F.col("_before") + F.col("_in_page") + start).cast("int"))
         .drop("_before", "_in_page")
     )
@@ -207,12 +225,12 @@ def global_rank(df: DataFrame, order: list[str], out: str) -> DataFrame:
         {"_part": F.shiftright("_row", 33), "_offset": F.col("_row").bitwiseAND(F.lit((1 << 33) - 1))}
     )
     sizes = ranked.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
-    before = sizes.select(
+    earlier = sizes.select(
         "_part",
         (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"),
     )
     return (
-        ranked.join(F.broadcast(before), "_part")
+        ranked.join(F.broadcast(earlier), "_part")
         .withColumn(out, F.col("_before") + F.col("_offset"))
         .drop("_part", "_offset", "_row", "_before")
     )

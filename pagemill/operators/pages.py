@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.operators.ordering import ChunkedOrder, global_rank
+from pagemill.operators.ordering import ChunkedOrder, before, global_rank
 
 
 def number_pages(pages: DataFrame, units: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def number_pages(pages: DataFrame, units: DataFrame) -> DataFrame:
     counts = pages.groupBy("unit_id").agg(F.count(F.lit(1)).alias("_n"))
     per_unit = units.join(counts, "unit_id", "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
     offsets = ChunkedOrder([], "unit_idx", durable=False).running(
-        per_unit, {"_before": ("sum", F.col("_n"))}, strict=True
+        per_unit, {"_before": before("sum", F.col("_n"))}
     )
     return pages.join(offsets.select("unit_id", "unit_idx", "_before"), "unit_id").withColumn(
         "global_page", F.col("_before") + F.col("page_idx")

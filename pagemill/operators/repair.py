@@ -17,7 +17,7 @@ from pagemill import config
 from pagemill.functions import text
 from pagemill.functions.strings import drop_last, is_blank, lstrip, rstrip
 from pagemill.operators import content as content_rules
-from pagemill.operators.ordering import WindowOrder
+from pagemill.operators.ordering import WindowOrder, before, upto
 
 PAGE = config.PAGE_KEYS
 PAGE_ORDER = WindowOrder(PAGE, "idx")
@@ -30,12 +30,15 @@ def format_regions(
     cut_long: bool = True,
 ) -> DataFrame:
     """Map labels, format content, drop blank regions (images stay) and renumber."""
-    # one shuffle by page serves all repairs; behind it the content rules run evenly spread
-    rows = content_rules.map_labels(regions.repartition(*PAGE), categories=categories)
+    rows = content_rules.map_labels(regions, categories=categories)
     is_image = F.col("label") == "image"
     if "task_type" in rows.columns:
         is_image = is_image | F.coalesce(F.col("task_type") == "skip", F.lit(False))
-    rows = content_rules.format_content(rows.withColumn("is_image", is_image), cut_long=cut_long)
+    # One shuffle by page serves all repairs. It comes behind the only Python step, which
+    # hides the partitioning from the planner, and before the rules that take the most
+    # time, so that these are spread by page instead of by input file.
+    rows = content_rules.prepare_content(rows.withColumn("is_image", is_image), cut_long=cut_long)
+    rows = content_rules.finish_content(rows.repartition(*PAGE))
     keep = F.col("is_image") | ~is_blank(F.col("content"))
     return order.kept(rows.drop("task_type", "score"), keep, "idx")
 
@@ -50,12 +53,12 @@ def merge_formula_numbers(regions: DataFrame, order: WindowOrder = PAGE_ORDER) -
     columns = regions.columns
     carried = [c for c in columns if c not in (*PAGE, "idx")]
     kind = F.when(F.col("native_label") == "formula_number", "number").when(F.col("label") == "formula", "formula")
-    rows = order.shifted(regions.withColumn("_kind", kind), -1, {"_before": F.col("_kind")})
+    around = {"_before": (-1, F.col("_kind")), "_after": (1, F.col("_kind"))}
     rows = order.shifted(
-        rows, 1, {"_after": F.col("_kind"), **{f"_next_{c}": F.col(c) for c in carried}}
+        regions.withColumn("_kind", kind), {**around, **{f"_next_{c}": (1, F.col(c)) for c in carried}}
     )
     starts = F.col("_kind").isNull() | F.col("_before").isNull() | (F.col("_before") == F.col("_kind"))
-    rows = order.running(rows, {"_start": ("max", F.when(starts, F.col("idx")))})
+    rows = order.running(rows, {"_start": upto("max", F.when(starts, F.col("idx")))})
     leads = (F.col("idx") - F.col("_start")) % 2 == 0
     paired = leads & F.col("_kind").isNotNull() & F.coalesce(F.col("_after") != F.col("_kind"), F.lit(False))
     rows = rows.withColumns({"_leads": leads, "_paired": paired})
@@ -99,15 +102,12 @@ def merge_hyphenated(
             "_hyphen": F.coalesce(is_text & rstrip(body).endswith("-"), F.lit(False)),
         }
     )
-    rows = order.running(
-        rows, {"_target": ("min", F.when(F.col("_lower"), F.col("idx")))}, reverse=True, strict=True
-    )
-    rows = order.fetched(rows, "_target", {"_joined": F.when(F.col("_lower"), lstrip(body))})
+    rows = order.nearest_later(rows, F.col("_lower"), {"_joined": lstrip(body)})
     rows = rows.withColumn("_head", F.when(F.col("_hyphen"), drop_last(rstrip(body), 1)))
-    before = F.element_at(_words(F.col("_head")), -1)
-    after = F.get(_words(F.col("_joined")), F.lit(0))
+    last_word = F.element_at(_words(F.col("_head")), -1)
+    first_word = F.get(_words(F.col("_joined")), F.lit(0))
     has_both = F.col("_hyphen") & F.col("_joined").isNotNull() & (F.size(_words(F.col("_head"))) > 0)
-    rows = rows.withColumn("_word", F.when(has_both, F.concat(before, after)))
+    rows = rows.withColumn("_word", F.when(has_both, F.concat(last_word, first_word)))
     frequency = None
     if lexicon is not None:
         rows = _with_frequency(rows, lexicon)
@@ -115,19 +115,22 @@ def merge_hyphenated(
     takes = F.col("_word").isNotNull() & text.is_plausible_word(F.col("_word"), frequency)
     rows = rows.withColumn("_takes", F.coalesce(takes, F.lit(False)))
 
-    takers = F.when(F.col("_takes") & ~F.col("_lower"), 1).otherwise(0)
-    rows = order.running(rows, {"_takers": ("sum", takers)})
-    partner = F.struct("idx", "_takers", "_takes")
-    rows = order.running(rows, {"_last": ("max", F.when(F.col("_lower"), partner))}, strict=True)
-    taken = F.col("_takers") > F.coalesce(F.col("_last._takers"), F.lit(0))
-    flips = ~taken & F.coalesce(F.col("_last._takes"), F.lit(False))
-    rows = rows.withColumns({"_taken": taken, "_flips": F.col("_lower") & flips})
-    rows = order.running(rows, {"_flipped": ("sum", F.when(F.col("_flips"), 1).otherwise(0))})
-    certain = F.struct("idx", "_flipped", "_taken")
+    at = F.col("idx")
     rows = order.running(
-        rows, {"_certain": ("max", F.when(F.col("_lower") & ~F.col("_flips"), certain))}
+        rows,
+        {
+            "_taker": before("max", F.when(F.col("_takes") & ~F.col("_lower"), at)),
+            "_last": before("max", F.when(F.col("_lower"), F.struct("idx", "_takes"))),
+            "_count": upto("sum", F.when(F.col("_lower"), 1).otherwise(0)),
+        },
     )
-    odd = (F.col("_flipped") - F.col("_certain._flipped")) % 2 == 1
+    taken = F.coalesce(F.col("_taker") > F.coalesce(F.col("_last.idx"), F.lit(-1)), F.lit(False))
+    flips = ~taken & F.coalesce(F.col("_last._takes"), F.lit(False))
+    rows = rows.withColumns({"_taken": taken, "_flips": flips})
+    certain = F.when(F.col("_lower") & ~F.col("_flips"), F.struct("idx", "_count", "_taken"))
+    rows = order.running(rows, {"_certain": upto("max", certain)})
+    # every partner since the last certain one flips
+    odd = (F.col("_count") - F.col("_certain._count")) % 2 == 1
     removed = F.col("_lower") & (F.col("_certain._taken") != odd)
     rows = rows.withColumn("_stays", ~F.coalesce(removed, F.lit(False)))
     rows = rows.withColumn("content", F.when(F.col("_takes"), F.concat("_head", "_joined")).otherwise(body))
@@ -150,8 +153,9 @@ def infill_bullets(
     """Give a text block between two aligned bullets a bullet of its own."""
     columns = regions.columns
     seen = {"native": F.col("native_label"), "content": F.col("content"), "left": F.col("bx1")}
-    rows = order.shifted(regions, -1, {f"_prev_{n}": c for n, c in seen.items()})
-    rows = order.shifted(rows, 1, {f"_next_{n}": c for n, c in seen.items()})
+    rows = order.shifted(
+        regions, {f"{side}_{n}": (at, c) for side, at in (("_prev", -1), ("_next", 1)) for n, c in seen.items()}
+    )
     between = (F.col("native_label") == "text") & ~F.col("content").startswith("- ")
     for side in ("_prev", "_next"):
         between = (

@@ -32,7 +32,6 @@ def documents(
     images = None if crops is None else assemble.matched_crops(regions, crops)
 
     def finished(rows: DataFrame, order: WindowOrder) -> DataFrame:
-        rows = rows.repartition(*PAGE)
         if images is None:
             rows = rows.withColumn("image_no", F.lit(None).cast("int"))
         else:
