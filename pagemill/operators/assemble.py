@@ -36,9 +36,15 @@ def matched_crops(regions: DataFrame, crops: DataFrame, categories=config.CATEGO
     return number_in_document(found.select(*PAGE, "idx"), "image_no")
 
 
-def attach_image_numbers(regions: DataFrame, numbered: DataFrame) -> DataFrame:
-    """Add ``image_no`` by page: one small list per page joins on the key the repairs use anyway."""
-    per_page = numbered.groupBy(*PAGE).agg(
+def attach_image_numbers(regions: DataFrame, numbered: DataFrame, limit: int | None = None) -> DataFrame:
+    """Add ``image_no``.
+
+    Pages whose regions all come before ``limit`` get it through one list per page, which
+    joins on the key the repairs use anyway; without a limit regions are matched one by one.
+    """
+    if limit is None:
+        return regions.join(numbered, [*PAGE, "idx"], "left")
+    per_page = numbered.where(F.col("idx") < limit).groupBy(*PAGE).agg(
         F.map_from_entries(F.collect_list(F.struct("idx", "image_no"))).alias("_numbers")
     )
     joined = regions.join(per_page, PAGE, "left")
@@ -269,13 +275,15 @@ def merged_document(
     lists = blocks.groupBy("unit_id", "page_idx", chunk.alias("_chunk")).agg(
         F.sort_array(F.collect_list(block)).alias("layout")
     )
-    # a page beyond one list starts a part of its own for each further list
+    # around a page beyond one list every page, and every further list, is a part of its own
     start = (F.floor(F.col("page_idx") / pages_per_part) * pages_per_part).cast("int")
-    split = F.max("_chunk").over(Window.partitionBy("unit_id", start)) > 0
-    placed = lists.withColumns(
+    crowded = blocks.where(F.col("idx") >= config.REGIONS_PER_FRAGMENT).select(
+        "unit_id", start.alias("_start"), F.lit(True).alias("_split")
+    ).distinct()
+    placed = lists.withColumn("_start", start).join(crowded, ["unit_id", "_start"], "left").withColumns(
         {
-            "part_page": F.when(split, F.col("page_idx")).otherwise(start),
-            "part_seq": F.when(split, F.col("_chunk")).otherwise(F.lit(0)),
+            "part_page": F.when(F.col("_split"), F.col("page_idx")).otherwise(F.col("_start")),
+            "part_seq": F.when(F.col("_split"), F.col("_chunk")).otherwise(F.lit(0)),
         }
     )
     grouped = placed.groupBy("unit_id", "part_page", "part_seq").agg(

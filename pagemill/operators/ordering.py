@@ -45,6 +45,10 @@ class WindowOrder:
         self.keys = list(keys)
         self.pos = pos
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Shuffle rows the way the other methods need them."""
+        return df.repartition(*self.keys)
+
     def running(self, df: DataFrame, outs: dict[str, Running], reverse: bool = False) -> DataFrame:
         """Aggregates from the start of the group (or its end)."""
         order = F.col(self.pos).desc() if reverse else F.col(self.pos).asc()
@@ -98,6 +102,9 @@ class ChunkedOrder(WindowOrder):
         """Rows are read twice below; a durable scan computes them once."""
         return materialise(df) if self.durable else df
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        return df.repartition(*self.keys, F.floor(F.col(self.pos) / self.chunk))
+
     def running(self, df: DataFrame, outs: dict[str, Running], reverse: bool = False) -> DataFrame:
         names = df.columns
         chunked = self._input(
@@ -196,20 +203,24 @@ def number_in_document(
     """Number the rows of a document in (page, position) order.
 
     A window over the document would put a long document into one task. The rows of
-    each page are numbered on their own; the count of earlier rows comes from the
-    per-page counts, which are scanned in chunks of pages.
+    each page are numbered in chunks of positions; what comes before a chunk is summed
+    up from the counts of chunks and pages.
     """
-    numbered = df.withColumn(
-        "_in_page", F.row_number().over(Window.partitionBy(unit, page).orderBy(pos)) - 1
-    )
-    counts = df.groupBy(unit, page).agg(F.count(F.lit(1)).alias("_n"))
-    earlier = (
-        ChunkedOrder([unit], page, durable=False).running(counts, {"_before": before("sum", F.col("_n"))}).drop("_n")
+    chunk = F.floor(F.col(pos) / SCAN_CHUNK)
+    rows = df.withColumn("_chunk", chunk)
+    counts = rows.groupBy(unit, page, "_chunk").agg(F.count(F.lit(1)).alias("_n"))
+    in_page = WindowOrder([unit, page], "_chunk").running(counts, {"_earlier": before("sum", F.col("_n"))}).drop("_n")
+    per_page = counts.groupBy(unit, page).agg(F.sum("_n").alias("_n"))
+    pages = ChunkedOrder([unit], page, durable=False).running(per_page, {"_before": before("sum", F.col("_n"))})
+    offsets = in_page.join(pages.drop("_n"), [unit, page])
+    numbered = rows.withColumn(
+        "_at", F.row_number().over(Window.partitionBy(unit, page, "_chunk").orderBy(pos)) - 1
     )
+    number = F.col("_before") + F.coalesce("_earlier", F.lit(0)) + F.col("_at") + start
     return (
-        numbered.join(earlier, [unit, page])
-        .withColumn(out, (F.col("_before") + F.col("_in_page") + start).cast("int"))
-        .drop("_before", "_in_page")
+        numbered.join(offsets, [unit, page, "_chunk"])
+        .withColumn(out, number.cast("int"))
+        .drop("_before", "_earlier", "_at", "_chunk")
     )
 
 

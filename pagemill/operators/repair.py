@@ -38,7 +38,7 @@ def format_regions(
     # hides the partitioning from the planner, and before the rules that take the most
     # time, so that these are spread by page instead of by input file.
     rows = content_rules.prepare_content(rows.withColumn("is_image", is_image), cut_long=cut_long)
-    rows = content_rules.finish_content(rows.repartition(*PAGE))
+    rows = content_rules.finish_content(order.spread(rows))
     keep = F.col("is_image") | ~is_blank(F.col("content"))
     return order.kept(rows.drop("task_type", "score"), keep, "idx")
 

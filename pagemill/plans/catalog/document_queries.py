@@ -8,8 +8,9 @@ from pagemill.functions import source as source_functions
 from pagemill.operators import assemble, content, repair
 from pagemill.plans.catalog.registry import query
 from pagemill.plans.catalog.text_queries import FORMATTED, SQL_WORD, sql_punctuation
-from pagemill.plans.documents import documents, page_documents
+from pagemill.plans.documents import documents, on_pages, page_documents
 from pagemill.plans.fixtures import Inputs, duckdb_with
+from pagemill.session import materialise
 from pagemill.sources import sinks
 
 PAGE = ["unit_id", "page_idx"]
@@ -64,24 +65,24 @@ def _repair_sql(*steps: str, last: str) -> str:
 
 @query("format_regions", _repair_sql(_R1, last="r1"))
 def _(i: Inputs):
-    return repair.format_regions(i.regions()).select(*PAGE, "idx", "native_label", "label", "content")
+    return on_pages(i.regions(), repair.format_regions).select(*PAGE, "idx", "native_label", "label", "content")
 
 
 @query("merge_formula_numbers", _repair_sql(_R1, _R2, last="r2"))
 def _(i: Inputs):
-    rows = repair.merge_formula_numbers(repair.format_regions(i.regions()))
+    rows = on_pages(i.regions(), lambda df, o: repair.merge_formula_numbers(repair.format_regions(df, o), o))
     return rows.select(*PAGE, "idx", "native_label", "label", "content")
 
 
 @query("merge_hyphenated", _repair_sql(_R1, _R2, _R3, last="r3"))
 def _(i: Inputs):
-    rows = repair.merge_hyphenated(repair.merge_formula_numbers(repair.format_regions(i.regions())))
+    rows = on_pages(i.regions(), lambda df, o: repair.repair_regions(df, o, bullets=False))
     return rows.select(*PAGE, "idx", "native_label", "label", "content")
 
 
 @query("infill_bullets", _repair_sql(_R1, _R2, _R3, _R4, last="r4"))
 def _(i: Inputs):
-    return repair.repair_regions(i.regions()).select(*PAGE, "idx", "native_label", "label", "content")
+    return on_pages(i.regions(), repair.repair_regions).select(*PAGE, "idx", "native_label", "label", "content")
 
 
 @query(
@@ -96,7 +97,7 @@ select unit_id, page_idx, idx, case when idx%3=1 and lag(c) over w='- item' and
 def _(i: Inputs):
     item = F.when(F.col("idx") % 3 == 1, "item").otherwise("- item")
     lists = i.regions().withColumns({"content": item, "native_label": F.lit("text"), "label": F.lit("text")})
-    return repair.infill_bullets(lists).select(*PAGE, "idx", "content")
+    return on_pages(lists, repair.infill_bullets).select(*PAGE, "idx", "content")
 
 
 @query(
@@ -148,8 +149,11 @@ def _(i: Inputs):
     duckdb_with(_VIEWS, f"with {_TEXTS}\nselect unit_id, page_idx, cast(n_regions as int) as n_regions, page_text from texts", True),
 )
 def _(i: Inputs):
-    numbered = assemble.attach_image_numbers(i.regions(), assemble.matched_crops(i.regions(), i.crops()))
-    rows = assemble.with_pieces(repair.repair_regions(numbered))
+    images = materialise(assemble.matched_crops(i.regions(), i.crops()))
+    rows = on_pages(
+        i.regions(), lambda df, o: repair.repair_regions(assemble.attach_image_numbers(df, images), o)
+    )
+    rows = assemble.with_pieces(rows)
     pages = assemble.assemble_pages(rows, i.doc_pages())
     return pages.select(*PAGE, F.size("regions").alias("n_regions"), "page_text")
 

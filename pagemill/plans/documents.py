@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import config
 from pagemill.operators import assemble, repair
-from pagemill.operators.ordering import ChunkedOrder, WindowOrder, split_by_page_size
+from pagemill.operators.ordering import ChunkedOrder, WindowOrder, by_page_size, split_by_page_size
 from pagemill.session import materialise
 
 PAGE = config.PAGE_KEYS
@@ -29,21 +31,35 @@ def documents(
     by document for the assembly. Image numbers are worked out from the image rows alone.
     """
     rest, hot = split_by_page_size(regions, "idx", limit)
-    images = None if crops is None else assemble.matched_crops(regions, crops)
+    # a narrow table of the image rows alone; kept apart, it is computed and planned once
+    images = None if crops is None else materialise(assemble.matched_crops(regions, crops))
 
-    def finished(rows: DataFrame, order: WindowOrder) -> DataFrame:
+    def finished(rows: DataFrame, order: WindowOrder, by_list: int | None) -> DataFrame:
         if images is None:
             rows = rows.withColumn("image_no", F.lit(None).cast("int"))
         else:
-            rows = assemble.attach_image_numbers(rows, images)
+            rows = assemble.attach_image_numbers(rows, images, by_list)
         repaired = repair.repair_regions(rows, order, lexicon=lexicon, **switches)
         return assemble.with_pieces(repaired, image_prefix)
 
-    ordinary = finished(rest, WindowOrder(PAGE, "idx"))
-    large = None if hot is None else materialise(finished(hot, ChunkedOrder(PAGE, "idx")))
+    ordinary = finished(rest, WindowOrder(PAGE, "idx"), limit)
+    large = None if hot is None else materialise(finished(hot, ChunkedOrder(PAGE, "idx"), None))
     return assemble.assemble_documents(ordinary, pages, large, pages_per_part)
 
 
+def on_pages(
+    regions: DataFrame, rule: Callable[[DataFrame, WindowOrder], DataFrame], limit: int = config.PAGE_ROWS_LIMIT
+) -> DataFrame:
+    """Apply a repair to pages of every size."""
+    return by_page_size(
+        regions,
+        "idx",
+        lambda df: rule(df, WindowOrder(PAGE, "idx")),
+        lambda df: rule(df, ChunkedOrder(PAGE, "idx")),
+        limit,
+    )
+
+
 def page_documents(regions: DataFrame, pages: DataFrame, **options) -> DataFrame:
     """Only the Markdown of every document, with page and region counts."""
     return documents(regions, pages, **options).select(

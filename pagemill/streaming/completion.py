@@ -95,13 +95,17 @@ class CompleteUnits(StatefulProcessor):
         pass
 
 
+def _without_copies(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield frame.drop_duplicates()
+
+
 def new_region_counts(region_done: DataFrame, buckets: int = BUCKETS, keep_ms: int | None = None) -> DataFrame:
     """Counts of regions seen for the first time, from ``unit_id, region_id`` events."""
-    keyed = region_done.select(
-        F.col("unit_id").cast("long"),
-        F.pmod(F.xxhash64("region_id"), F.lit(buckets)).cast("int").alias("bucket"),
-        F.col("region_id").cast("long"),
-    )
+    events = region_done.select(F.col("unit_id").cast("long"), F.col("region_id").cast("long"))
+    # copies of an event within a batch go before the shuffle
+    unique = events.mapInPandas(_without_copies, events.schema)
+    keyed = unique.withColumn("bucket", F.pmod(F.xxhash64("region_id"), F.lit(buckets)).cast("int"))
     return keyed.groupBy("unit_id", "bucket").transformWithStateInPandas(
         statefulProcessor=NewRegions(keep_ms),
         outputStructType=PROGRESS_SCHEMA,

@@ -131,13 +131,20 @@ class TaskState(StatefulProcessor):
         pass
 
 
+def _latest_updates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield frame.sort_values("at", kind="stable").drop_duplicates("task_id", keep="last")
+
+
 def stream_task_state(updates: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """State of every task after each micro-batch of updates, lease timeouts included.
 
     Leases are compared with the event-time watermark, so a replay gives the same result.
     """
+    typed = updates.select(*[F.col(f.name).cast(f.dataType) for f in TASK_STATE.fields])
+    # only the last update of a task counts, so of a batch only that one is shuffled
     return (
-        updates.select(*[F.col(f.name).cast(f.dataType) for f in TASK_STATE.fields])
+        typed.mapInPandas(_latest_updates, TASK_STATE)
         .withWatermark("at", delay)
         .groupBy("task_id")
         .transformWithStateInPandas(
