@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
 from typing import Any
 
 import numpy as np
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from pagemill import config
 
 PAGE = config.PAGE_KEYS
+PAGES_PER_BATCH = 64
 DETECTION_TYPE = (
     "array<struct<det_id:int,cls_id:int,score:double,x1:double,y1:double,x2:double,y2:double,order_seq:int>>"
 )
@@ -121,22 +123,31 @@ def expand_documents(
     an ``error`` instead, and the pages after it still count.
     """
 
+    columns = ["unit_id", "page_idx", "width", "height", "image", "error"]
+
+    def rows_of(unit, content, expand) -> Iterator[tuple]:
+        number = 0
+        try:
+            for page in expand(content, max_pages):
+                if page.get("error") is not None:
+                    yield unit, None, None, None, None, page["error"]
+                    continue
+                yield unit, number, page["width"], page["height"], page["image"], None
+                number += 1
+                if max_pages and number >= max_pages:
+                    return
+        except Exception as e:
+            yield unit, None, None, None, None, str(e)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         expand = load()
         for frame in frames:
-            for unit, content in zip(frame["unit_id"], frame["content"]):
-                number = 0
-                try:
-                    for page in expand(content, max_pages):
-                        row = {"unit_id": [unit], "page_idx": [None], "width": [None], "height": [None], "image": [None], "error": [page.get("error")]}
-                        if page.get("error") is None:
-                            row.update(page_idx=[number], **{c: [page[c]] for c in ("width", "height", "image")})
-                            number += 1
-                        yield pd.DataFrame(row)
-                        if max_pages and number >= max_pages:
-                            break
-                except Exception as e:
-                    yield pd.DataFrame({"unit_id": [unit], "page_idx": [None], "width": [None], "height": [None], "image": [None], "error": [str(e)]})
+            pages = (
+                row for unit, content in zip(frame["unit_id"], frame["content"]) for row in rows_of(unit, content, expand)
+            )
+            # pages leave in small groups, so a long document is never held as a whole
+            while group := list(islice(pages, PAGES_PER_BATCH)):
+                yield pd.DataFrame(group, columns=columns).astype({"page_idx": "Int32", "width": "Int32", "height": "Int32"})
 
     unit_type = units.schema["unit_id"].dataType.simpleString()
     schema = f"unit_id {unit_type}, page_idx int, width int, height int, image binary, error string"
@@ -174,11 +185,11 @@ def polygon_mask(points: Sequence[tuple[int, int]], width: int, height: int) ->
         if ay != by:
             inside ^= crosses & (xs < (bx - ax) * (ys - ay) / (by - ay) + ax)
         length = max(abs(bx - ax), abs(by - ay))
-        for step in range(length + 1):
-            x = round(ax + (bx - ax) * step / max(length, 1))
-            y = round(ay + (by - ay) * step / max(length, 1))
-            if 0 <= x < width and 0 <= y < height:
-                edge[y, x] = True
+        steps = np.arange(length + 1) / max(length, 1)
+        x = np.rint(ax + (bx - ax) * steps).astype(int)
+        y = np.rint(ay + (by - ay) * steps).astype(int)
+        seen = (x >= 0) & (x < width) & (y >= 0) & (y < height)
+        edge[y[seen], x[seen]] = True
     return inside | edge
 
 
