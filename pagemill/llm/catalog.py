@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from pagemill.llm.bpe import bpe_digests
 from pagemill.llm.common import table
 from pagemill.llm.exact_dedup import content_sort
+from pagemill.llm.packing import pack
 from pagemill.llm.sharding import hilbert_shards
 
+#: The tokenizer file of the token queries.
+TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,6 +29,11 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+@query("op1_bpe_lexicon")
+def op1_bpe_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_digests(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 @query(
     "op2_content_sort",
     """
@@ -39,3 +49,8 @@ def op2_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_hilbert_shards")
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"))
+
+
+@query("op8_best_two_fit")
+def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), TOKENIZER)
