@@ -11,6 +11,7 @@ from pagemill.llm.common import table
 from pagemill.llm.exact_dedup import content_sort
 from pagemill.llm.packing import pack
 from pagemill.llm.sharding import hilbert_shards
+from pagemill.llm.warc import archive_pages
 
 #: The tokenizer file of the token queries.
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -46,6 +47,19 @@ def op2_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"))
 
 
+@query(
+    "op5_warc_archive",
+    """
+    select page_id, strlen(html) as payload_bytes, sha256(html) as payload_digest,
+           case when page_id = first or strlen(html) < 100 then 'response' else 'revisit' end as record_type,
+           case when page_id = first or strlen(html) < 100 then null else first end as refers_to
+    from (select page_id, coalesce(html, '') as html, min(page_id) over (partition by coalesce(html, '')) as first from pages)
+    """,
+)
+def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(spark, table(spark, sf_dir, "pages"))
+
+
 @query("op7_hilbert_shards")
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"))
