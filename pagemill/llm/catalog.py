@@ -12,6 +12,7 @@ from pagemill.llm.exact_dedup import content_sort
 from pagemill.llm.packing import pack
 from pagemill.llm.sharding import hilbert_shards
 from pagemill.llm.warc import archive_pages
+from pagemill.llm.winnowing import edit_fingerprints
 
 #: The tokenizer file of the token queries.
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
@@ -60,6 +61,11 @@ def op5_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(spark, table(spark, sf_dir, "pages"))
 
 
+@query("op6_winnowing")
+def op6_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query("op7_hilbert_shards")
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards(table(spark, sf_dir, "documents"))
