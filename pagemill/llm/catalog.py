@@ -10,6 +10,7 @@ from pagemill.llm.bpe import bpe_digests
 from pagemill.llm.common import table
 from pagemill.llm.exact_dedup import content_sort
 from pagemill.llm.packing import pack
+from pagemill.llm.quality import classify
 from pagemill.llm.sharding import hilbert_shards
 from pagemill.llm.warc import archive_pages
 from pagemill.llm.winnowing import edit_fingerprints
@@ -74,3 +75,8 @@ def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op8_best_two_fit")
 def op8_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op9_co_training")
+def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
