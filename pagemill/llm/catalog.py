@@ -13,6 +13,7 @@ from pagemill.llm.exact_dedup import content_sort
 from pagemill.llm.packing import pack
 from pagemill.llm.quality import classify
 from pagemill.llm.sharding import hilbert_shards
+from pagemill.llm.suffix_dedup import suffix_digests
 from pagemill.llm.warc import archive_pages
 from pagemill.llm.winnowing import edit_fingerprints
 
@@ -50,6 +51,11 @@ def op2_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return content_sort(table(spark, sf_dir, "documents"))
 
 
+@query("op3_suffix_sort")
+def op3_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_digests(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op5_warc_archive",
     """
