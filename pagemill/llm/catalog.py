@@ -10,6 +10,7 @@ from pagemill.llm.bagminhash import near_duplicates
 from pagemill.llm.bpe import bpe_digests
 from pagemill.llm.common import table
 from pagemill.llm.exact_dedup import content_sort
+from pagemill.llm.line_templates import line_report
 from pagemill.llm.packing import pack
 from pagemill.llm.quality import classify
 from pagemill.llm.sharding import hilbert_shards
@@ -56,6 +57,11 @@ def op3_suffix_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_digests(table(spark, sf_dir, "documents"))
 
 
+@query("op4_line_templates")
+def op4_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_report(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op5_warc_archive",
     """
