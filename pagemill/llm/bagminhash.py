@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import slices, stored
+from pagemill.llm.common import plain_names, slices, stored
 from pagemill.llm.components import components
 from pagemill.llm.rolling import BASE, WORDS, mix, weighted, word_shingles
 
@@ -195,5 +195,6 @@ def open_pairs(grouped: DataFrame, classes: DataFrame, tested: DataFrame, turn:
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose document is kept."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).filter("kept").select(F.col("doc_id").alias("kept_id_"))
-    return docs.join(kept.distinct(), docs[id_col].cast("bigint").eqNullSafe(F.col("kept_id_")), "left_semi")
+    own, (id_, text) = plain_names(docs, id_col, text_col)
+    kept = near_duplicates(own, id_col=id_, text_col=text, **options).filter("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
+    return own.join(kept, own[id_].cast("bigint").eqNullSafe(F.col("kept_id_")), "left_semi").toDF(*docs.columns)

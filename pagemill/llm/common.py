@@ -47,6 +47,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             start = stop
 
 
+def plain_names(df: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns named so that none clashes with a name used inside, and the new names of ``wanted``."""
+    names = [f"own_{k}_" for k in range(len(df.columns))]
+    return df.toDF(*names), [names[df.columns.index(w)] for w in wanted]
+
+
 def ranked(df: DataFrame, order: list[str], rank: str = "rank_") -> tuple[DataFrame, int]:
     """Number all rows from 0 in ``order`` (which must name rows uniquely) without one task that sees them all.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import stored
+from pagemill.llm.common import plain_names, stored
 
 #: Leading words that, with the number of words, name a leaf of the tree.
 DEPTH = 2
@@ -27,7 +27,7 @@ def parsed(docs: DataFrame, depth: int) -> DataFrame:
     """
     masked = F.expr(
         f"""transform(split(text_, '\\n'), l ->
-            array_join(transform(filter(split(l, '[ \\\\t\\r\\f]+'), w -> w != ''), w -> if(w rlike '[0-9]', '{FIELD}', w)), ' '))"""
+            array_join(transform(filter(split(l, '\\\\s+'), w -> w != ''), w -> if(w rlike '[0-9]', '{FIELD}', w)), ' '))"""
     )
     lines = docs.select("id_", "tie_", masked.alias("lines_"))
     hashed = lines.withColumn("hashes_", F.expr("transform(lines_, l -> xxhash64(l))"))
@@ -103,15 +103,17 @@ def cut_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
     Null and empty texts stay. Rows repeated with identifier and text are cut alike. A text that consists of such lines
     only becomes empty. An empty table gives no rows.
     """
-    return with_gone_lines(df, id_col, text_col, **options).withColumn(text_col, rest_of(text_col)).drop("gone_lines_")
+    own, (id_, text) = plain_names(df, id_col, text_col)
+    return with_gone_lines(own, id_, text, **options).withColumn(text, rest_of(text)).drop("gone_lines_").toDF(*df.columns)
 
 
 def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Per row: ``doc_id, n_lines, n_dropped, kept_sha256`` of the text without recurring lines; null counts as empty, which has one line."""
-    rows = with_gone_lines(df.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias(text_col)), id_col, text_col, **options)
+    own = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = with_gone_lines(own, "doc_id", "text", **options)
     return rows.select(
-        F.col(id_col).cast("bigint").alias("doc_id"),
-        F.size(F.split(text_col, "\n")).cast("bigint").alias("n_lines"),
+        "doc_id",
+        F.size(F.split("text", "\n")).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("gone_lines_"), F.lit(0)).cast("bigint").alias("n_dropped"),
-        F.sha2(rest_of(text_col).cast("binary"), 256).alias("kept_sha256"),
+        F.sha2(rest_of("text").cast("binary"), 256).alias("kept_sha256"),
     )

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import slices
+from pagemill.llm.common import plain_names, slices
 
 #: Bounds of the sample that the classifiers are fitted on: labelled documents, and documents for pseudo-labels.
 LABELLED, POOL = 6000, 6000
@@ -232,16 +232,17 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: s
 def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose document is not rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = docs.columns
+    own, _ = plain_names(docs)
+    names = own.columns
 
     def run(batches):
         for b in slices(batches, "text_"):
             *_, both = shared.value.scores(*both_features(b))
             kept = b.filter(pa.array(both >= threshold))
-            yield pa.RecordBatch.from_arrays(kept.columns[: len(own)], names=own)
+            yield pa.RecordBatch.from_arrays(kept.columns[: len(names)], names=names)
 
-    rows = docs.select(*(docs[c] for c in own), *inputs(docs, id_col, text_col)[1:])
-    return rows.mapInArrow(run, docs.schema)
+    rows = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names)), *inputs(docs, id_col, text_col)[1:])
+    return rows.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

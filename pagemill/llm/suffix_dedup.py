@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import shuffle_partitions, slices
+from pagemill.llm.common import plain_names, shuffle_partitions, slices
 from pagemill.llm.rolling import PrefixHash, mix
 
 #: Bytes of a string that is removed when an earlier document has it too.
@@ -529,18 +529,19 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
 
     What a cut leaves of a character that it goes through goes too. Texts without repeats stay as they are, null too.
     """
-    _, spans = repeated_spans(df, length, gram, id_col, text_col)
-    own = df.columns
+    own, (id_, text_) = plain_names(df, id_col, text_col)
+    _, spans = repeated_spans(own, length, gram, id_, text_)
+    names = own.columns
 
     def cut(batches):
-        for b in slices(batches, text_col):
+        for b in slices(batches, text_):
             texts = []
-            for text, blobs in zip(b.column(text_col).to_pylist(), b.column("span_list_").to_pylist()):
+            for text, blobs in zip(b.column(text_).to_pylist(), b.column("span_list_").to_pylist()):
                 texts.append(kept_bytes(text.encode(), blobs)[0].decode("utf-8", "ignore") if blobs and text else text)
-            arrays = [pa.array(texts, pa.string()) if c == text_col else b.column(k) for k, c in enumerate(own)]
-            yield pa.RecordBatch.from_arrays(arrays, names=own)
+            arrays = [pa.array(texts, pa.string()) if c == text_ else b.column(c) for c in names]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     at = spans.select(F.col("id_").alias("span_id_"), F.col("spans_").alias("span_list_"))
-    key = F.coalesce(df[id_col].cast("bigint"), F.lit(NO_ID))
-    rows = df.join(at, key == at["span_id_"], "left").select(*(df[c] for c in own), "span_list_")
-    return rows.mapInArrow(cut, df.schema)
+    key = F.coalesce(own[id_].cast("bigint"), F.lit(NO_ID))
+    rows = own.join(at, key == at["span_id_"], "left").select(*names, "span_list_")
+    return rows.mapInArrow(cut, own.schema).toDF(*df.columns)

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def masked(line):
-    return [FIELD if re.search("[0-9]", w) else w for w in re.split("[ \t\r\f]+", line) if w]
+    return [FIELD if re.search("[0-9]", w) else w for w in re.split("[ \t\r\f\v]+", line) if w]
 
 
 def brute(rows):
@@ -70,7 +70,7 @@ def sample():
         lines = [prose(rng.randint(1, 12)) for _ in range(rng.randint(1, 6))]
         lines.insert(rng.randint(0, len(lines)), f"Posted by {rng.choice(['Ann', 'Bob', 'Cy', 'Di'])} on page {i} of the site")
         if i % 3 == 0:
-            lines.insert(0, "Share this page with your friends")
+            lines.insert(0, "Share this page\fwith your friends of it")
         rows.append((i, "\n".join(lines)))
     rows += [(100 + k, rows[5][1]) for k in range(10)] + [(200, None), (201, ""), (202, "\n\n"), (203, "x" * 100_000)]
     rows += [(300 + k, f"one line of {k} alone that is copied\tin full") for k in range(2)]
@@ -90,7 +90,7 @@ def test_against_brute_force(documents):
     assert cut.columns == df.columns
     got = {r.doc_id: r.text for r in cut.collect()}
     assert len(got) == len(rows) and got[200] is None and got[400] == texts[400]
-    assert "Share this page" not in "".join(t or "" for t in got.values())
+    assert "Share this" not in "".join(t or "" for t in got.values())
     assert any(FIELD in r.template_ and r.template_.startswith("Posted by") for r in recurring_lines(keyed(df, "doc_id", "text")).collect())
 
 
