@@ -33,7 +33,7 @@ def iou(a: Column, b: Column) -> Column:
     inter = _overlap(a, b, 1)
     area_a = (a["x2"] - a["x1"] + 1) * (a["y2"] - a["y1"] + 1)
     area_b = (b["x2"] - b["x1"] + 1) * (b["y2"] - b["y1"] + 1)
-    return inter / (area_a + area_b - inter)
+    return F.coalesce(F.try_divide(inter, area_a + area_b - inter), F.lit(0.0))
 
 
 def contained_ratio(a: Column, b: Column) -> Column:
@@ -47,8 +47,8 @@ def is_contained(a: Column, b: Column, ratio: float) -> Column:
 
 
 def to_thousandths(value: Column, extent: Column) -> Column:
-    """Pixel to 0-1000, truncated. Dividing first is part of the definition."""
-    return (value.cast("double") / extent * 1000).cast("int")
+    """Pixel to 0-1000, truncated; null for an extent of 0. Dividing first is part of the definition."""
+    return (F.try_divide(value.cast("double"), extent) * 1000).cast("int")
 
 
 def to_thousandths_rounded(value: Column, extent: Column) -> Column:

@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill import config
-from pagemill.functions.strings import is_blank
 from pagemill.operators import content as content_rules
 from pagemill.operators.ordering import ChunkedOrder, number_in_document, split_by_page_size
 from pagemill.session import materialise
@@ -217,21 +216,28 @@ def merge_units(results: DataFrame, units_per_part: int = config.PAGES_PER_PART)
     """Results of one request: ``request_id, unit_idx, json, markdown`` in unit order.
 
     No unit gives an empty text, one unit its own result, several a list and their
-    Markdown with rules between. Requests of very many units become several parts.
+    Markdown with rules between. Requests of very many units become several parts; joined in
+    order of ``part_unit`` their JSON is one list and their Markdown one text.
     """
     start = (F.floor(F.col("unit_idx") / units_per_part) * units_per_part).cast("int")
     grouped = results.groupBy("request_id", start.alias("part_unit")).agg(
         F.sort_array(F.collect_list(F.struct("unit_idx", "json", "markdown"))).alias("units")
     )
-    one = (F.size("units") == 1) & (F.col("part_unit") == 0)
+    ends = results.groupBy("request_id").agg(
+        F.count(F.lit(1)).alias("_all"), F.min(start).alias("_first"), F.max(start).alias("_last")
+    )
+    grouped = grouped.join(ends, "request_id")
+    several, opens, closes = F.col("_all") > 1, F.col("part_unit") == F.col("_first"), F.col("part_unit") == F.col("_last")
     jsons = F.array_join(F.transform("units", lambda u: u["json"]), ", ")
     text = F.array_join(F.transform("units", lambda u: u["markdown"]), PAGE_BREAK)
     return grouped.select(
         "request_id",
         "part_unit",
         F.size("units").alias("n_units"),
-        F.when(one, F.get("units", F.lit(0))["json"]).otherwise(F.concat(F.lit("["), jsons, F.lit("]"))).alias("json_result"),
-        F.concat(F.when(F.col("part_unit") > 0, F.lit(PAGE_BREAK)).otherwise(F.lit("")), text).alias("markdown_result"),
+        F.concat(
+            F.when(~opens, ", ").when(several, "[").otherwise(""), jsons, F.when(several & closes, "]").otherwise("")
+        ).alias("json_result"),
+        F.concat(F.when(opens, "").otherwise(PAGE_BREAK), text).alias("markdown_result"),
     )
 
 
@@ -318,6 +324,3 @@ def stable_order(regions: DataFrame) -> DataFrame:
         F.array_sort(F.collect_list(F.struct("idx", *rest))).alias("regions")
     )
 
-
-def drop_blank(regions: DataFrame) -> DataFrame:
-    return regions.where(~is_blank(F.col("content")))

@@ -250,12 +250,15 @@ def merge_array(items: Column, mode: str | Mapping[int, str] | None, preserved:
             items,
             b,
             preserved,
-            lambda o: _one_of(o["cls_id"], small)
-            & ~((o["cls_id"] == b["cls_id"]) & contained_by_other(items, b, preserved, any_box)),
+            lambda o: _one_of(o["cls_id"], small) & ~((o["cls_id"] == b["cls_id"]) & b["held"]),
         )
         return by_large | by_small
 
-    return F.filter(items, lambda b: ~drop(b))
+    if not small:
+        return F.filter(items, lambda b: ~drop(b))
+    # whether a box is held itself is found once per box, not once per pair
+    flagged = F.transform(items, lambda b: b.withField("held", contained_by_other(items, b, preserved, any_box)))
+    return F.transform(F.filter(flagged, lambda b: ~drop(b)), lambda b: b.dropFields("held"))
 
 
 def reading_order_array(items: Column) -> Column:
@@ -273,7 +276,12 @@ def nms(
     iou_other: float = config.IOU_OTHER_CLASS,
     limit: int = config.PAGE_ROWS_LIMIT,
 ) -> DataFrame:
-    """Greedy non-maximum suppression per page; ties in score go to the lower ``det_id``."""
+    """Greedy non-maximum suppression per page; ties in score go to the lower ``det_id``.
+
+    Thresholds above 1 never suppress, for pages of any size; those of 0 or less are refused, for pages of any size.
+    """
+    if min(iou_same, iou_other) <= 0:
+        raise ValueError("overlap thresholds must be above 0")
     fields = _fields(detections)
 
     def ordinary(df: DataFrame) -> DataFrame:

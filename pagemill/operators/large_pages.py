@@ -71,8 +71,8 @@ def nms(detections: DataFrame, iou_same: float, iou_other: float) -> DataFrame:
     one go. Repeating this until no conflict is left gives exactly the greedy result.
     """
     lowest = min(iou_same, iou_other)
-    if not 0 < lowest <= max(iou_same, iou_other) <= 1:
-        raise ValueError("overlap thresholds of large pages must lie in (0, 1]")
+    if lowest > 1:
+        return detections
     copies = [*PAGE, "cls_id", *boxes.SIDES]
     best = F.min(F.struct((-F.col("score")).alias("neg"), "det_id"))
     first = (

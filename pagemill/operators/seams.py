@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill import config
+from pagemill.session import materialise
 
 PAGE = config.PAGE_KEYS
 PAGES_PER_BATCH = 64
@@ -84,6 +85,7 @@ def apply_recogniser(
     a filter behind it would not be moved in front of it. A failing row, or a status other than 200, gives null content.
     """
     keys = [*PAGE, "idx"]
+    regions = materialise(regions)  # both branches read it
     skipped = F.coalesce(F.col("task_type") == "skip", F.lit(False))
     rest = [c for c in regions.columns if c not in (*keys, "content")]
 
@@ -207,7 +209,7 @@ def crop_regions(images: DataFrame, regions: DataFrame, use_polygon: bool = Fals
     wanted = regions.groupBy(*PAGE, group.alias("_group")).agg(
         F.collect_list(F.struct("idx", F.array(*box).alias("box"), polygon.alias("polygon"))).alias("_regions")
     )
-    joined = wanted.join(images.select(*PAGE, "image"), PAGE).select(
+    joined = wanted.join(images.select(*PAGE, "image"), PAGE, "left").select(
         *PAGE, "_regions", *[F.col(f"image.{c}").alias(c) for c in ("height", "width", "nChannels", "data")]
     )
     unit_type = regions.schema["unit_id"].dataType.simpleString()
@@ -216,17 +218,21 @@ def crop_regions(images: DataFrame, regions: DataFrame, use_polygon: bool = Fals
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
-                pixels = np.frombuffer(row.data, dtype=np.uint8).reshape(row.height, row.width, row.nChannels)
                 out = []
+                pixels = None  # a page without image: its regions keep empty content
+                if row.data is not None:
+                    shape = int(row.height), int(row.width), int(row.nChannels)
+                    pixels = np.frombuffer(row.data, dtype=np.uint8).reshape(shape)
                 for region in row.wanted:
                     outline = region["polygon"]
                     outline = None if outline is None else [list(p) for p in outline]
                     try:
                         piece = crop_array(pixels, list(region["box"]), outline)
                         data = piece.tobytes()
-                        out.append((row.unit_id, row.page_idx, region["idx"], piece.shape[0], piece.shape[1], row.nChannels, data, None))
+                        out.append((row.unit_id, row.page_idx, region["idx"], piece.shape[0], piece.shape[1], pixels.shape[2], data, None))
                     except Exception:
                         out.append((row.unit_id, row.page_idx, region["idx"], None, None, None, None, ""))
-                yield pd.DataFrame(out, columns=[*PAGE, "idx", "height", "width", "nChannels", "data", "content"])
+                sizes = ["height", "width", "nChannels"]
+                yield pd.DataFrame(out, columns=[*PAGE, "idx", *sizes, "data", "content"]).astype({c: "Int32" for c in sizes})
 
     return joined.withColumnRenamed("_regions", "wanted").mapInPandas(cut, schema)

@@ -256,8 +256,8 @@ def count_where(tasks: DataFrame, **filters: object) -> DataFrame:
 
 
 def status_counts(tasks: DataFrame) -> DataFrame:
-    """Tasks per status and, with a null status, in total."""
-    return tasks.rollup("status").agg(F.count(F.lit(1)).alias("n"))
+    """Tasks per status and in total; ``is_total`` tells the total from tasks without a status."""
+    return tasks.rollup("status").agg(F.count(F.lit(1)).alias("n"), (F.grouping("status") == 1).alias("is_total"))
 
 
 def worker_metrics(tasks: DataFrame) -> DataFrame:

@@ -104,7 +104,7 @@ def _(i: Inputs):
     "stable_order",
     duckdb_with(
         ["fx_regions"],
-        "select unit_id, page_idx, cast(count(*) as int) as n, string_agg(idx || ':' || native_label, ',' order by idx) as labels from fx_regions group by 1, 2",
+        "select unit_id, page_idx, 0 as fragment, cast(count(*) as int) as n, string_agg(idx || ':' || native_label, ',' order by idx) as labels from fx_regions group by 1, 2",
     ),
 )
 def _(i: Inputs):
@@ -112,7 +112,7 @@ def _(i: Inputs):
     listed = F.array_join(
         F.transform("regions", lambda r: F.concat(r["idx"].cast("string"), F.lit(":"), r["native_label"])), ","
     )
-    return pages.select(*PAGE, F.size("regions").alias("n"), listed.alias("labels"))
+    return pages.select(*PAGE, F.col("fragment").cast("int"), F.size("regions").alias("n"), listed.alias("labels"))
 
 
 # --- assembly ----------------------------------------------------------------
@@ -146,7 +146,7 @@ def _(i: Inputs):
 
 @query(
     "assemble_pages",
-    duckdb_with(_VIEWS, f"with {_TEXTS}\nselect unit_id, page_idx, cast(n_regions as int) as n_regions, page_text from texts", True),
+    duckdb_with(_VIEWS, f"with {_TEXTS}\nselect unit_id, page_idx, 0 as fragment, cast(n_regions as int) as n_regions, page_text from texts", True),
 )
 def _(i: Inputs):
     images = materialise(assemble.matched_crops(i.regions(), i.crops()))
@@ -155,7 +155,7 @@ def _(i: Inputs):
     )
     rows = assemble.with_pieces(rows)
     pages = assemble.assemble_pages(rows, i.doc_pages())
-    return pages.select(*PAGE, F.size("regions").alias("n_regions"), "page_text")
+    return pages.select(*PAGE, "fragment", F.size("regions").alias("n_regions"), "page_text")
 
 
 @query(
@@ -170,7 +170,8 @@ from fx_doc_pages p left join (select r4.*, image_no from r4 left join images us
 )
 def _(i: Inputs):
     docs = documents(i.regions(), i.doc_pages(), i.crops())
-    pages = docs.select("unit_id", F.posexplode("json_result").alias("page_idx", "page"))
+    pages = docs.select("unit_id", "part_page", F.posexplode("json_result").alias("pos", "page"))
+    pages = pages.withColumn("page_idx", (F.col("part_page") + F.col("pos")).cast("int"))
     return pages.select("unit_id", "page_idx", F.explode_outer("page").alias("r")).select(
         "unit_id", "page_idx", "r.idx", "r.label", "r.content", "r.image_path"
     )
@@ -223,7 +224,7 @@ _PLAIN = f"""src as (select doc_id as unit_id, page_idx, string_agg(line, chr(10
         ["fx_lines"],
         f"""with {_PLAIN},
 cleaned as (select unit_id, page_idx, trim({sql_punctuation('c')}, ' ' || chr(10)) as c from src)
-select unit_id, cast(count(*) as int) as n_pages, string_agg(c, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page_idx) as markdown from cleaned group by 1""",
+select unit_id, 0 as part_page, cast(count(*) as int) as n_pages, string_agg(c, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page_idx) as markdown from cleaned group by 1""",
     ),
 )
 def _(i: Inputs):
@@ -232,14 +233,14 @@ def _(i: Inputs):
         F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l")
     )
     texts = grouped.select(*PAGE, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
-    return assemble.format_plain_pages(texts, cut_long=False).select("unit_id", "n_pages", "markdown")
+    return assemble.format_plain_pages(texts, cut_long=False).select("unit_id", "part_page", "n_pages", "markdown")
 
 
 @query(
     "merge_units",
     duckdb_with(
         ["fx_messages"],
-        """select conv_id as request_id, cast(count(*) as int) as n_units, case when count(*)=1 then min('{"t":' || turn || '}') else '[' || string_agg('{"t":' || turn || '}', ', ' order by turn) || ']' end as json_result,
+        """select conv_id as request_id, 0 as part_unit, cast(count(*) as int) as n_units, case when count(*)=1 then min('{"t":' || turn || '}') else '[' || string_agg('{"t":' || turn || '}', ', ' order by turn) || ']' end as json_result,
 string_agg(text, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by turn) as markdown_result from fx_messages group by 1""",
     ),
 )
@@ -250,7 +251,7 @@ def _(i: Inputs):
         F.concat(F.lit('{"t":'), F.col("turn").cast("string"), F.lit("}")).alias("json"),
         F.col("text").alias("markdown"),
     )
-    return assemble.merge_units(results).select("request_id", "n_units", "json_result", "markdown_result")
+    return assemble.merge_units(results).select("request_id", "part_unit", "n_units", "json_result", "markdown_result")
 
 
 _BLOCKS = """blocks as (select unit_id, page_idx, idx, cast(row_number() over (partition by unit_id order by page_idx, idx) as int) as block_id, page_idx+1 as page_index,
@@ -271,12 +272,12 @@ def _(i: Inputs):
     "merged_document",
     duckdb_with(
         ["fx_regions"],
-        f"with {_BLOCKS}\nselect unit_id, cast(count(*) as int) as n_blocks, string_agg(block_content || chr(10), '' order by block_id) as full_markdown from merged group by 1",
+        f"with {_BLOCKS}\nselect unit_id, 0 as part_page, 0 as part_seq, cast(count(*) as int) as n_blocks, string_agg(block_content || chr(10), '' order by block_id) as full_markdown from merged group by 1",
     ),
 )
 def _(i: Inputs):
     report = assemble.merged_document(assemble.merge_blocks(i.regions()))
-    return report.select("unit_id", F.size("layout").alias("n_blocks"), "full_markdown")
+    return report.select("unit_id", "part_page", "part_seq", F.size("layout").alias("n_blocks"), "full_markdown")
 
 
 @query(

@@ -228,7 +228,7 @@ def _(i: Inputs):
 # --- figures -----------------------------------------------------------------
 
 
-@query("status_counts", _sql("select status, count(*) as n from fx_tasks group by rollup (status)"))
+@query("status_counts", _sql("select status, count(*) as n, grouping(status) = 1 as is_total from fx_tasks group by rollup (status)"))
 def _(i: Inputs):
     return tasks.status_counts(i.tasks())
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +33,8 @@ def local_session(cpus: str = "*", shuffle_partitions: int = 8, **conf: str) ->
 def shared_dir(spark: SparkSession) -> str:
     """The folder for intermediate results that every executor can reach.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset, as
-    in local tests, a new temporary folder is made and remembered.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset and the
+    session is local, as in tests, a new temporary folder is made and remembered.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -42,6 +43,9 @@ def shared_dir(spark: SparkSession) -> str:
         configured = spark.sparkContext.getCheckpointDir()
         if configured:
             return configured
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise ValueError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         configured = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)

@@ -78,27 +78,30 @@ def parse_responses(responses: DataFrame, column: str = "response") -> DataFrame
 
 
 def read_service_response(responses: DataFrame, column: str = "response") -> DataFrame:
-    """Regions of service responses, boxes brought to thousandths of the page."""
+    """Regions of service responses, boxes brought to thousandths of the page.
+
+    A page without regions keeps one row without position, a response without pages one without page.
+    """
     rest = [c for c in responses.columns if c != column]
     parsed = parse_responses(responses, column)
     pages = parsed.select(
         *rest,
         F.col("parsed.data_info.pages").alias("_sizes"),
-        F.posexplode("parsed.layout_details").alias("page_idx", "_page"),
+        F.posexplode_outer("parsed.layout_details").alias("page_idx", "_page"),
     )
     regions = pages.select(
         *rest,
         "page_idx",
         F.get("_sizes", F.col("page_idx")).alias("_size"),
-        F.posexplode("_page").alias("pos", "r"),
+        F.posexplode_outer("_page").alias("pos", "r"),
     )
     return regions.select(
         *rest,
         "page_idx",
         "pos",
-        F.coalesce("r.index", F.lit(0)).alias("idx"),
-        F.coalesce("r.label", F.lit("text")).alias("label"),
-        F.coalesce("r.content", F.lit("")).alias("content"),
+        F.when(F.col("pos").isNotNull(), F.coalesce("r.index", F.lit(0))).alias("idx"),
+        F.when(F.col("pos").isNotNull(), F.coalesce("r.label", F.lit("text"))).alias("label"),
+        F.when(F.col("pos").isNotNull(), F.coalesce("r.content", F.lit(""))).alias("content"),
         normalised_service_box(
             F.col("r.bbox_2d"), F.coalesce("_size.width", F.lit(0)), F.coalesce("_size.height", F.lit(0))
         ).alias("bbox_2d"),

@@ -73,23 +73,27 @@ class CompleteUnits(StatefulProcessor):
                 [
                     StructField("done", LongType()),
                     StructField("expected", LongType()),
-                    StructField("notified", IntegerType()),
                 ]
             ),
-            self.keep_ms,
         )
+        # all that stays of an emitted unit; units that wait are never forgotten
+        self.told = handle.getValueState("told", StructType([StructField("at", IntegerType())]), self.keep_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        done, expected, notified = self.state.get() if self.state.exists() else (0, -1, 0)
+        if self.told.exists():
+            return
+        done, expected = self.state.get() if self.state.exists() else (0, -1)
         for batch in rows:
             done += int(batch["n_new"].fillna(0).sum())
             known = batch["expected"].dropna()
             if len(known):
                 expected = int(known.iloc[0])
-        if not notified and 0 <= expected <= done:
-            notified = 1
+        if 0 <= expected <= done:
+            self.state.clear()
+            self.told.update((1,))
             yield pd.DataFrame({"unit_id": [key[0]], "expected": [expected]})
-        self.state.update((done, expected, notified))
+        else:
+            self.state.update((done, expected))
 
     def close(self) -> None:
         pass

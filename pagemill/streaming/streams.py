@@ -189,9 +189,10 @@ def stream_finished_documents(
     load_pages: Callable[[DataFrame], DataFrame],
     write: Callable[[DataFrame, int], None],
     checkpoint: str,
+    load_crops: Callable[[DataFrame], DataFrame] | None = None,
     **trigger,
 ) -> StreamingQuery:
-    """Assemble the documents of units as they become complete.
+    """Assemble the documents of units as they become complete, with image numbers where crops are given.
 
     Rules that look at neighbours need whole pages, so they run on the regions of the
     units of a micro-batch, with the same operators as a batch job.
@@ -200,7 +201,8 @@ def stream_finished_documents(
 
     def assemble(batch: DataFrame, epoch: int) -> None:
         units = batch.select("unit_id").distinct()
-        write(documents(load_regions(units), load_pages(units)), epoch)
+        crops = load_crops(units) if load_crops else None
+        write(documents(load_regions(units), load_pages(units), crops), epoch)
 
     return (
         ready.writeStream.option("checkpointLocation", checkpoint)
