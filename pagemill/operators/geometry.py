@@ -464,31 +464,41 @@ def blocks_at_points(points: DataFrame, block_table: DataFrame, limit: int = con
     """First block (by ``block_id``) whose box holds the point, misses kept.
 
     Points carry ``unit_id, point_id, page_index, px, py``; blocks ``unit_id,
-    page_index, block_id, x1, y1, x2, y2``. Points meet the blocks of their page; where a page
-    may hold many blocks they meet only those of the grid cells around them.
+    page_index, block_id, x1, y1, x2, y2``. The blocks of a page are one list, in which each point finds its
+    first hit: one row per point, and a join that Spark can split where a page has very many points. Points of pages
+    that may hold more than ``limit`` blocks meet only those of the grid cells around them.
     """
     page = ["unit_id", "page_index"]
+    names = ["unit_id", "point_id", *[c for c in points.columns if c not in ("unit_id", "point_id")]]
     usable = block_table.where(F.col("x1").isNotNull()).select(*page, "block_id", *boxes.SIDES)
-    inside = F.col("px").between(F.col("x1"), F.col("x2")) & F.col("py").between(F.col("y1"), F.col("y2"))
     beyond = usable.where(F.col("block_id") >= limit).select(*page)
     if beyond.isEmpty():
-        hits = points.join(usable, page).where(inside).select("unit_id", "point_id", "block_id")
-    else:
-        big = materialise(beyond.distinct())
-        plain = points.join(big, page, "left_anti").join(usable, page).where(inside)
-        dots = points.join(big, page, "left_semi").select(
-            "unit_id", F.col("page_index").alias("page_idx"), "point_id",
-            F.col("px").cast("double").alias("x1"), F.col("py").cast("double").alias("y1"),
-            F.col("px").cast("double").alias("x2"), F.col("py").cast("double").alias("y2"),
-        )
-        hot = usable.join(big, page, "left_semi").withColumnRenamed("page_index", "page_idx")
-        pairs = large_pages.overlapping(dots, hot, 0, None)
-        found = pairs.where(
-            F.col("a.x1").between(F.col("b.x1"), F.col("b.x2")) & F.col("a.y1").between(F.col("b.y1"), F.col("b.y2"))
-        ).select("unit_id", F.col("a.point_id").alias("point_id"), F.col("b.block_id").alias("block_id"))
-        hits = plain.select("unit_id", "point_id", "block_id").unionByName(found)
-    first = hits.groupBy("unit_id", "point_id").agg(F.min("block_id").alias("block_id"))
-    return points.join(first, ["unit_id", "point_id"], "left")
+        return _first_in_list(points, usable).select(*names, "block_id")
+    big = materialise(beyond.distinct())
+    plain = _first_in_list(points.join(big, page, "left_anti"), usable.join(big, page, "left_anti"))
+    crowded = points.join(big, page, "left_semi")
+    dots = crowded.select(
+        "unit_id", F.col("page_index").alias("page_idx"), "point_id",
+        F.col("px").cast("double").alias("x1"), F.col("py").cast("double").alias("y1"),
+        F.col("px").cast("double").alias("x2"), F.col("py").cast("double").alias("y2"),
+    )
+    hot = usable.join(big, page, "left_semi").withColumnRenamed("page_index", "page_idx")
+    pairs = large_pages.overlapping(dots, hot, 0, None)
+    found = pairs.where(
+        F.col("a.x1").between(F.col("b.x1"), F.col("b.x2")) & F.col("a.y1").between(F.col("b.y1"), F.col("b.y2"))
+    ).select("unit_id", F.col("a.point_id").alias("point_id"), F.col("b.block_id").alias("block_id"))
+    first = found.groupBy("unit_id", "point_id").agg(F.min("block_id").alias("block_id"))
+    others = crowded.join(first, ["unit_id", "point_id"], "left")
+    return plain.select(*names, "block_id").unionByName(others.select(*names, "block_id"))
+
+
+def _first_in_list(points: DataFrame, usable: DataFrame) -> DataFrame:
+    lists = usable.groupBy("unit_id", "page_index").agg(
+        F.sort_array(F.collect_list(F.struct("block_id", *boxes.SIDES))).alias("_blocks")
+    )
+    inside = lambda b: F.col("px").between(b["x1"], b["x2"]) & F.col("py").between(b["y1"], b["y2"])
+    hit = F.get(F.filter("_blocks", inside), F.lit(0))["block_id"]
+    return points.join(lists, ["unit_id", "page_index"], "left").withColumn("block_id", hit).drop("_blocks")
 
 
 def rescale_points(points: DataFrame, shown_w: Column, shown_h: Column, page_w: Column, page_h: Column, reverse: bool = False) -> DataFrame:
