@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from pagemill.functions import source as source_functions
-from pagemill.operators import assemble, content, repair
+from pagemill.operators import assemble, content, repair, sft
 from pagemill.plans.catalog.registry import query
 from pagemill.plans.catalog.text_queries import FORMATTED, SQL_WORD, sql_punctuation
 from pagemill.plans.documents import documents, on_pages, page_documents
 from pagemill.plans.fixtures import Inputs, duckdb_with
-from pagemill.session import materialise
-from pagemill.sources import sinks
+from pagemill.session import materialise, shared_dir
+from pagemill.sources import readers, sinks
 
 PAGE = ["unit_id", "page_idx"]
 REGION = "unit_id, page_idx, idx, native_label, label, content"
@@ -396,3 +398,74 @@ def _(i: Inputs):
 def _(i: Inputs):
     docs = i.table("documents").select("doc_id", F.col("text").alias("c"))
     return content.clean_content(docs, "c").select("doc_id", F.length("c").alias("n"), F.md5("c").alias("digest"))
+
+
+# --- fine-tuning samples -------------------------------------------------------
+
+_SAMPLES = """samples as (select request_id, turns, case when request_id%4=0 then 0 else 1 end as tags, case when request_id%4=1 then 2 else 1 end as n_images,
+  request_id%5=0 as absolute, bad_role from (select conv_id as request_id, count(*) as turns, bool_or(role not in ('user', 'assistant')) as bad_role from fx_messages group by 1) t)"""
+
+
+def _samples(i: Inputs):
+    """Every conversation as a sample; by its number it lacks its tag, has an image too many or an absolute path."""
+    marked = F.when((F.col("turn") == F.col("first")) & (F.col("conv_id") % 4 != 0), F.concat(F.lit("<image>"), "text")).otherwise(F.col("text"))
+    messages = i.messages()
+    messages = messages.join(messages.groupBy("conv_id").agg(F.min("turn").alias("first")), "conv_id")
+    path = F.concat(F.when(F.col("request_id") % 5 == 0, "/data/").otherwise("data/"), F.col("request_id").cast("string"), F.lit(".png"))
+    listed = messages.groupBy(F.col("conv_id").alias("request_id")).agg(
+        F.array_sort(F.collect_list(F.struct("turn", "role", marked.alias("content")))).alias("m")
+    )
+    return listed.select(
+        "request_id",
+        F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"),
+        F.array_repeat(path, F.when(F.col("request_id") % 4 == 1, 2).otherwise(1)).alias("images"),
+    )
+
+
+_PROBLEM = """case when bad_role then 'unknown role' when tags <> n_images then 'image tags and images differ in number'
+  when absolute then 'image path is not relative' end as problem"""
+
+
+@query("validate_sft", duckdb_with(["fx_messages"], f"with {_SAMPLES}\nselect request_id, cast(turns as int) as n_messages, {_PROBLEM} from samples"))
+def _(i: Inputs):
+    return sft.validate_sft(_samples(i)).select("request_id", F.size("messages").alias("n_messages"), "problem")
+
+
+@query(
+    "read_conversations_sft",
+    duckdb_with(
+        ["fx_messages"],
+        f"with {_SAMPLES}\nselect {_PROBLEM}, cast(sum(turns) as bigint) as n_messages, count(*) as n from samples group by 1",
+    ),
+)
+def _(i: Inputs):
+    folder = f"{shared_dir(i.spark).rstrip('/')}/samples-{uuid.uuid4().hex}"
+    # one file per partition, each one JSON array
+    rows = _samples(i).select(F.to_json(F.struct("messages", "images")).alias("j"), F.spark_partition_id().alias("p"), "request_id")
+    slot = F.pmod("request_id", F.lit(1000))
+    arrays = rows.groupBy("p", slot).agg(F.concat(F.lit("["), F.array_join(F.collect_list("j"), ","), F.lit("]")).alias("value"))
+    arrays.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    read = sft.validate_sft(readers.read_conversations_sft(i.spark, folder))
+    return read.groupBy("problem").agg(F.sum(F.size("messages")).alias("n_messages"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "regions_to_sft",
+    duckdb_with(
+        ["fx_regions"],
+        """with t as (select *, case when idx%3=0 then 'text' when idx%3=1 then 'table' else 'skip' end as task from fx_regions)
+select unit_id, page_idx, idx, 'crops/' || unit_id || '_' || page_idx || '_' || idx || '.png' as image, '<image>' || case task when 'text' then 'Text Recognition:' else 'Table Recognition:' end as question, content as answer
+from t where task <> 'skip' and coalesce(content, '') <> ''""",
+    ),
+)
+def _(i: Inputs):
+    task = F.when(F.col("idx") % 3 == 0, "text").when(F.col("idx") % 3 == 1, "table").otherwise("skip")
+    path = F.concat(F.lit("crops/"), F.concat_ws("_", *PAGE, "idx"), F.lit(".png"))
+    made = sft.regions_to_sft(i.regions().withColumn("task_type", task), path)
+    return made.select(
+        *PAGE,
+        "idx",
+        F.col("images")[0].alias("image"),
+        F.col("messages")[0]["content"].alias("question"),
+        F.col("messages")[1]["content"].alias("answer"),
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.boxes import to_thousandths_rounded
 from pagemill.functions.source import is_document_path, sniff_kind
+from pagemill.operators.sft import MESSAGES_TYPE
 
 BLOCK_TYPE = "struct<index:int,label:string,content:string,bbox_2d:array<double>>"
 RESPONSE_TYPE = (
@@ -19,20 +20,34 @@ RESPONSE_TYPE = (
 PROGRESS_SCHEMA = "completed bigint, total bigint, failed bigint, status string, timestamp double, _corrupt string"
 
 
+def outermost(paths: Sequence[str]) -> list[str]:
+    """The given paths, each once, without those that lie under another one."""
+    plain = {p.removeprefix("file:").replace("///", "/").rstrip("/") or "/": p for p in paths}
+    return [p for k, p in plain.items() if not any(k != o and k.startswith(o.rstrip("/") + "/") for o in plain)]
+
+
 def scan_documents(spark: SparkSession, paths: str | Sequence[str], require: bool = True) -> DataFrame:
     """Documents under the given files and folders, each path once.
 
     The suffix test is not left to a glob, which is case-sensitive; only paths are read
-    until something asks for the content.
+    until something asks for the content. Paths that lie under another given one are left out
+    first, so no file is listed twice and no content is shuffled to find copies.
     """
-    wanted = [paths] if isinstance(paths, str) else list(paths)
+    wanted = outermost([paths] if isinstance(paths, str) else list(paths))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(wanted)
-    found = files.where(is_document_path(F.col("path"))).dropDuplicates(["path"])
+    found = files.where(is_document_path(F.col("path")))
     if require and found.select("path").isEmpty():
         raise FileNotFoundError(f"no documents under {', '.join(wanted)}")
     return found.withColumn("kind", sniff_kind(F.col("content")))
 
 
+def read_conversations_sft(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """Fine-tuning samples, JSON arrays of ``messages`` and ``images``; a broken file gives a row of nulls."""
+    schema = f"messages {MESSAGES_TYPE}, images array<string>"
+    reader = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE")
+    return reader.json(paths if isinstance(paths, str) else list(paths))
+
+
 def read_region_json(results: DataFrame, column: str = "json_result") -> DataFrame:
     """Regions of results given as JSON text, a list of pages of regions.
 

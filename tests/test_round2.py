@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pagemill import session
-from pagemill.operators import assemble, geometry, seams, tasks
+from pagemill.operators import assemble, geometry, seams, sft, tasks
 from pagemill.sources import readers
 
 BOXES = "unit_id int, page_idx int, det_id int, cls_id int, score double, x1 double, y1 double, x2 double, y2 double, order_seq int"
@@ -58,6 +58,31 @@ def test_empty_pages_of_a_response_stay(spark):
     ]
 
 
+def test_overlapping_folders_are_scanned_once(spark, tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    for name in ("a/x.pdf", "a/b/y.png", "a/b/z.txt"):
+        (tmp_path / name).write_bytes(b"%PDF-1.4")
+    roots = [str(tmp_path / "a"), str(tmp_path / "a" / "b"), str(tmp_path / "a") + "/", str(tmp_path / "a" / "x.pdf")]
+    found = [r.path.rsplit("/", 1)[1] for r in readers.scan_documents(spark, roots).select("path").collect()]
+    assert sorted(found) == ["x.pdf", "y.png"]
+
+
+def test_samples(spark, tmp_path):
+    good = {"messages": [{"role": "user", "content": "<image>Text Recognition:"}, {"role": "assistant", "content": "x"}], "images": ["a/b.png"]}
+    bad = [
+        good | {"images": []},
+        good | {"images": ["/a.png"]},
+        good | {"images": ["s3://a.png"]},
+        {"messages": [{"role": "system", "content": "x"}]},
+        {"images": []},
+        {"messages": [{"role": "user"}]},
+    ]
+    (tmp_path / "s.json").write_text(json.dumps([good, *bad]))
+    got = [r.problem for r in sft.validate_sft(readers.read_conversations_sft(spark, str(tmp_path / "s.json"))).collect()]
+    number, path = "image tags and images differ in number", "image path is not relative"
+    assert got == [None, number, path, path, "unknown role", "no messages", None]
+
+
 def test_total_is_not_a_missing_status(spark):
     rows = spark.createDataFrame([("a",), (None,), ("a",)], "status string")
     got = {(r.status, r.is_total): r.n for r in tasks.status_counts(rows).collect()}
