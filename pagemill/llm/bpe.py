@@ -9,7 +9,8 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable
-from itertools import chain
+from heapq import heapify, heappop, heappush
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +22,12 @@ from pagemill.llm.common import slices
 
 #: Words in the lexicon: a fixed bound, whatever the corpus.
 LEXICON_WORDS = 200_000
-#: Chunks between white space that a worker remembers before it starts again; bounds its memory.
+#: Chunks between white space that a worker remembers; then only those met again since then stay. Bounds its memory.
 MEMO_CHUNKS = 400_000
+NO_PAIR = 1 << 62
+#: Bytes from which a word is merged by a heap.
+LONG_WORD = 200
+MARKS = frozenset(".,;:!?)")
 #: White space of Python that is no white space of Unicode.
 SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"\p{White_Space}+")
@@ -43,10 +48,14 @@ class Vocabulary:
         model = data["model"]
         self.end: str = model["end_of_word_suffix"]
         self.ids: dict[str, int] = dict(model["vocab"])
-        self.rank = {tuple(m): k for k, m in enumerate(m if isinstance(m, list) else m.split(" ") for m in model["merges"])}
+        merges = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
+        #: Rank and result of each pair of ids, the rank in front so that the smallest number is the next merge.
+        self.pairs = {(self.ids[a], self.ids[b]): k << 32 | self.ids[a + b] for k, (a, b) in enumerate(merges)}
         self.special = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.tokens = {i: t for t, i in self.ids.items()} | {i: t for t, i in self.special.items()}
-        self.symbols = byte_symbols()
+        symbols = byte_symbols()
+        self.inner = [self.ids[c] for c in symbols]
+        self.last = [self.ids[c + self.end] for c in symbols]
         splits = [p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
         self.words = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.any_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
@@ -60,25 +69,55 @@ class Vocabulary:
             return [c for c in WHITE.split(text) if c]
         return text.split()
 
+    def split(self, chunk: str) -> list[str]:
+        """The words of a chunk; letters, with or without one mark at their end, need no pattern."""
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[-1] in MARKS and chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
+        return self.words.findall(chunk)
+
     def merge(self, word: str) -> tuple[int, ...]:
-        """Exact BPE of one word: the pair of lowest rank is merged until none is left."""
-        parts = [self.symbols[b] for b in word.encode()]
-        parts[-1] += self.end
-        rank = self.rank
-        while len(parts) > 1:
-            best = min((rank.get(p, len(rank)) for p in zip(parts, parts[1:])), default=len(rank))
-            if best == len(rank):
+        """Exact BPE of one word: the pair of lowest rank, the leftmost on ties, is merged until none is left."""
+        raw = word.encode()
+        ids = [self.inner[b] for b in raw]
+        ids[-1] = self.last[raw[-1]]
+        if len(ids) > LONG_WORD:
+            return self.merge_long(ids)
+        rank = self.pairs.get
+        waiting = list(map(rank, zip(ids, ids[1:]), repeat(NO_PAIR)))
+        while waiting:
+            best = min(waiting)
+            if best == NO_PAIR:
                 break
-            merged, i = [], 0
-            while i < len(parts):
-                if i + 1 < len(parts) and rank.get((parts[i], parts[i + 1])) == best:
-                    merged.append(parts[i] + parts[i + 1])
-                    i += 2
-                else:
-                    merged.append(parts[i])
-                    i += 1
-            parts = merged
-        return tuple(self.ids[p] for p in parts)
+            i = waiting.index(best)
+            ids[i] = merged = best & 0xFFFFFFFF
+            del ids[i + 1], waiting[i]
+            if i:
+                waiting[i - 1] = rank((ids[i - 1], merged), NO_PAIR)
+            if i < len(waiting):
+                waiting[i] = rank((merged, ids[i + 1]), NO_PAIR)
+        return tuple(ids)
+
+    def merge_long(self, ids: list[int]) -> tuple[int, ...]:
+        """The same merges by a heap over linked symbols, so that time stays near the length of the word."""
+        rank, n = self.pairs.get, len(ids)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        heap = [(p, i) for i, p in enumerate(map(rank, zip(ids, ids[1:]))) if p is not None]
+        heapify(heap)
+        while heap:
+            p, i = heappop(heap)
+            j = after[i]
+            if ids[i] < 0 or j < 0 or rank((ids[i], ids[j])) != p:
+                continue  # one of the two has been merged since
+            ids[i], ids[j] = p & 0xFFFFFFFF, -1
+            after[i] = after[j]
+            if after[i] >= 0:
+                before[after[i]] = i
+            for x, y in ((before[i], i), (i, after[i])):
+                if x >= 0 and y >= 0 and (q := rank((ids[x], ids[y]))) is not None:
+                    heappush(heap, (q, x))
+        return tuple(i for i in ids if i >= 0)
 
 
 class Lexicon:
@@ -188,14 +227,25 @@ def mapped(data: bytes):
 
 
 class Encoder:
-    """Turns texts into token ids; remembers chunks that it has met, up to a bound.
+    """Turns texts into token ids; remembers chunks and words that it has met, up to a bound.
 
-    ``render`` gives what is kept for a chunk or a special token, from its ids.
+    ``render`` gives what is kept for a word or a special token, from its ids, and ``combine`` what is kept for a
+    chunk, from that of its words.
     """
 
-    def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None, render: Callable[[tuple[int, ...]], object]):
-        self.vocabulary, self.lexicon, self.render = vocabulary, lexicon, render
+    def __init__(
+        self,
+        vocabulary: Vocabulary,
+        lexicon: Lexicon | None,
+        render: Callable[[tuple[int, ...]], object],
+        combine: Callable[[list], object],
+        merge: Callable[[str], tuple[int, ...]] | None = None,
+    ):
+        self.vocabulary, self.lexicon, self.render, self.combine = vocabulary, lexicon, render, combine
+        self.merge = merge or vocabulary.merge
         self.memo: dict[str, object] = {}
+        self.older: dict[str, object] = {}
+        self.words: dict[str, object] = {}
         self.special = {t: render((i,)) for t, i in vocabulary.special.items()}
 
     def pieces(self, text: str) -> list[str]:
@@ -210,23 +260,30 @@ class Encoder:
 
     def learn(self, chunks: Iterable[str]) -> None:
         new = set(chunks).difference(self.memo)
+        again = new.intersection(self.older)
+        self.memo.update((c, self.older[c]) for c in again)
+        new -= again
         if not new:
             return
-        v = self.vocabulary
-        split = {c: v.words.findall(c) for c in new if c[0] != " "}
-        words = list(set(chain.from_iterable(split.values())))
-        ids = dict(zip(words, self.lexicon.find(words) if self.lexicon else [None] * len(words)))
-        for w, got in ids.items():
-            if got is None:
-                ids[w] = v.merge(w)
+        if len(self.words) > MEMO_CHUNKS:
+            self.words = {}
+        known, split = self.words, self.vocabulary.split
+        words = {c: split(c) for c in new if c[0] != " "}
+        unknown = list(set(chain.from_iterable(words.values())).difference(known))
+        for w, ids in zip(unknown, self.lexicon.find(unknown) if self.lexicon else repeat(None)):
+            known[w] = self.render(self.merge(w) if ids is None else ids)
         for c in new:
-            self.memo[c] = self.special[c[1:]] if c[0] == " " else self.render(tuple(chain.from_iterable(ids[w] for w in split[c])))
+            if c[0] == " ":
+                self.memo[c] = self.special[c[1:]]
+            else:
+                own = words[c]
+                self.memo[c] = known[own[0]] if len(own) == 1 else self.combine([known[w] for w in own])
 
     def encode(self, texts: list[str]) -> list[list]:
-        """What ``render`` gives for the chunks of each text, in order; chunks without tokens give nothing."""
+        """What is kept for the chunks of each text, in order."""
         cut = [self.pieces(t) for t in texts]
         if len(self.memo) > MEMO_CHUNKS:
-            self.memo.clear()
+            self.older, self.memo = self.memo, {}
         self.learn(chain.from_iterable(cut))
         get = self.memo.__getitem__
         return [list(map(get, c)) for c in cut]
@@ -256,7 +313,7 @@ def frequent_words(df: DataFrame, text_col: str, vocabulary, key: str, n: int =
         def words():
             total: Counter = Counter()
             for c, k in chunks.items():
-                for w in v.words.findall(c):
+                for w in v.split(c):
                     total[w] += k
             chunks.clear()
             often = [(w, k) for w, k in total.items() if k > 1]
@@ -303,11 +360,16 @@ def encode_documents(
     path: str,
     emit: Callable[[pa.RecordBatch, list[list]], pa.RecordBatch],
     render: Callable[[Vocabulary], Callable[[tuple[int, ...]], object]],
+    combine: Callable[[list], object],
     schema: str,
     lexicon: bytes | None = None,
     text_col: str = "text",
+    merger: Callable[[bytes], Callable[[str], tuple[int, ...]]] | None = None,
 ) -> DataFrame:
-    """Encode whole texts (null: empty) where they lie. ``emit`` makes rows of a slice and its encoded texts."""
+    """Encode whole texts (null: empty) where they lie. ``emit`` makes rows of a slice and its encoded texts.
+
+    ``merger`` makes, from the tokenizer file, what encodes a word that the lexicon lacks; by default the merges here.
+    """
     spark = df.sparkSession
     vocabulary, key = read_vocabulary(spark, path)
     shared = spark.sparkContext.broadcast(lexicon) if lexicon else None
@@ -316,7 +378,8 @@ def encode_documents(
     def run(batches):
         def make():
             v = Vocabulary(vocabulary.value)
-            return Encoder(v, Lexicon(mapped(shared.value)) if shared else None, render(v))
+            lexicon = Lexicon(mapped(shared.value)) if shared else None
+            return Encoder(v, lexicon, render(v), combine, merger(vocabulary.value) if merger else None)
 
         encoder = kept(f"e{key}", make)
         for b in slices(batches, text_col):
@@ -328,7 +391,11 @@ def encode_documents(
 
 def ids_and_tokens(v: Vocabulary):
     """Decimal ids joined by a space, and the decoded text of the same ids (tokens joined by a space)."""
-    return lambda ids: (" ".join(map(str, ids)), " ".join(v.tokens[i] for i in ids)) if ids else None
+    return lambda ids: (" ".join(map(str, ids)), " ".join([v.tokens[i] for i in ids]))
+
+
+def joined(parts: list) -> tuple[str, str]:
+    return " ".join([p[0] for p in parts]), " ".join([p[1] for p in parts])
 
 
 def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n_words: int = LEXICON_WORDS) -> DataFrame:
@@ -343,7 +410,6 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def emit(b, encoded):
         n, ids_hash, text_hash = [], [], []
         for doc in encoded:
-            doc = [d for d in doc if d is not None]
             ids = " ".join([d[0] for d in doc])
             n.append(ids.count(" ") + 1 if ids else 0)
             ids_hash.append(hashlib.sha256(ids.encode()).hexdigest())
@@ -354,7 +420,7 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
         )
 
     schema = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    return encode_documents(docs, path, emit, ids_and_tokens, schema, lexicon, "text_")
+    return encode_documents(docs, path, emit, ids_and_tokens, joined, schema, lexicon, "text_")
 
 
 def bpe_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", n_words: int = LEXICON_WORDS) -> DataFrame:
@@ -366,13 +432,17 @@ def bpe_tokens(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
         ids = [[i for chunk in doc for i in chunk] for doc in encoded]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
-    return encode_documents(docs, path, emit, plain_ids, "doc_id bigint, ids array<int>", lexicon, "text_")
+    return encode_documents(docs, path, emit, plain_ids, sum_ids, "doc_id bigint, ids array<int>", lexicon, "text_")
 
 
 def plain_ids(v: Vocabulary):
     return lambda ids: ids
 
 
+def sum_ids(parts: list) -> tuple[int, ...]:
+    return tuple(chain.from_iterable(parts))
+
+
 def bpe_decode(df: DataFrame, path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """Decode token ids: ``doc_id, text``; tokens are joined by a space, ids outside the vocabulary give nothing, null ids an empty text."""
     vocabulary, key = read_vocabulary(df.sparkSession, path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
 
 import numpy as np
@@ -9,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.bpe import Vocabulary, encode_documents
+from pagemill.llm.bpe import Vocabulary, byte_symbols, encode_documents
 from pagemill.llm.common import ranked, stored
 
 SEQUENCE_TOKENS = 2048
@@ -17,7 +18,20 @@ SEPARATOR_ID = 0
 
 
 def little_endian(v: Vocabulary):
-    return lambda ids: np.array(ids, "<u4").tobytes()
+    return lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+
+
+def library_merges(source: bytes):
+    """Ids of one word by the tokenizers library; packing needs no lexicon of its own."""
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_str(source.decode()).model
+    symbols = dict(enumerate(byte_symbols()))
+
+    def merge(word: str) -> tuple[int, ...]:
+        return tuple([t.id for t in model.tokenize(word if word.isascii() else word.encode().decode("latin-1").translate(symbols))])
+
+    return merge
 
 
 def pieces(df: DataFrame, path: str, id_col: str, text_col: str, length: int, separator: int) -> DataFrame:
@@ -41,7 +55,7 @@ def pieces(df: DataFrame, path: str, id_col: str, text_col: str, length: int, se
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((doc, piece, start, size, crc), kinds)], names=names)
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-    return encode_documents(docs, path, emit, little_endian, schema, None, "text_")
+    return encode_documents(docs, path, emit, little_endian, b"".join, schema, None, "text_", library_merges)
 
 
 def best_two_fit(counts: dict[int, int], capacity: int) -> list[tuple[list[tuple[int, int]], int]]:

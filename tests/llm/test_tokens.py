@@ -78,7 +78,7 @@ def test_bpe_query_whole_table(spark, library):
 
 def test_vocabulary_merges_equal_library(library):
     v = Vocabulary(open(catalog.TOKENIZER, "rb").read())
-    for w in ("the", "internationalisation", "zzzzz", "ñandú", "🎉🎉🎉"):
+    for w in ("the", "internationalisation", "zzzzz", "ñandú", "🎉🎉🎉", "abcthe" * 200, "z" * 5001, "internationalñ" * 99):
         assert list(v.merge(w)) == library.encode(w, add_special_tokens=False).ids
 
 
