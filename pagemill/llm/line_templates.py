@@ -19,25 +19,26 @@ SPREAD = 0.5
 FIELD = "<*>"
 
 
-def parsed(docs: DataFrame, depth: int) -> DataFrame:
-    """One row per line with words: ``id_, tie_, line_, words_, leaf_, before_, after_``, fields of digits masked.
+def parsed(docs: DataFrame, depth: int, min_words: int) -> DataFrame:
+    """One row per line of ``min_words`` words: ``id_, tie_, line_, masked_, leaf_, before_, after_``.
 
-    ``before_`` and ``after_`` are hashes of the masked neighbour lines (of the text, at its ends); they tell lines of
-    copied documents, which have an equal neighbour everywhere, from lines that recur in different surroundings.
+    Words are what single spaces separate; those with a digit are masked. ``before_`` and ``after_`` are hashes of
+    the masked neighbour lines (of the text, at its ends); they tell lines of copied documents, which have an equal
+    neighbour everywhere, from lines that recur in different surroundings.
     """
     masked = F.expr(
-        f"""transform(split(text_, '\\n'), l ->
-            array_join(transform(filter(split(l, '\\\\s+'), w -> w != ''), w -> if(w rlike '[0-9]', '{FIELD}', w)), ' '))"""
+        f"""transform(split(text_, '\n'), l -> if(l rlike '[0-9]',
+            array_join(transform(split(l, ' '), w -> if(w rlike '[0-9]', '{FIELD}', w)), ' '), l))"""
     )
     lines = docs.select("id_", "tie_", masked.alias("lines_"))
     hashed = lines.withColumn("hashes_", F.expr("transform(lines_, l -> xxhash64(l))"))
     around = """transform(lines_, (l, k) -> named_struct('line_', k, 'masked_', l,
         'before_', if(k > 0, hashes_[greatest(k - 1, 0)], tie_),
         'after_', if(k + 1 < size(hashes_), hashes_[least(k + 1, size(hashes_) - 1)], tie_)))"""
-    rows = hashed.select("id_", "tie_", F.explode(F.expr(f"filter({around}, x -> x.masked_ != '')")).alias("x"))
-    words = rows.select("id_", "tie_", "x.line_", "x.masked_", "x.before_", "x.after_", F.split("x.masked_", " ").alias("words_"))
-    leaf = F.xxhash64(F.size("words_"), F.slice("words_", 1, depth))
-    return words.withColumn("leaf_", leaf)
+    rows = hashed.select("id_", "tie_", F.explode(F.expr(around)).alias("x")).select("id_", "tie_", "x.*")
+    words = F.char_length("masked_") - F.char_length(F.replace("masked_", F.lit(" "), F.lit(""))) + 1
+    rows = rows.filter((words >= min_words) & (F.trim("masked_") != ""))
+    return rows.withColumn("leaf_", F.xxhash64(words, F.substring_index("masked_", " ", depth)))
 
 
 def recurring_lines(
@@ -57,12 +58,12 @@ def recurring_lines(
     as its texts. Texts are counted by their hash, so exact copies count once. All counts are over all rows and summed up
     per task before a shuffle; the lines of a leaf never meet in one task.
     """
-    lines = parsed(docs, depth).filter(F.size("words_") >= min_words)
+    lines = parsed(docs, depth, min_words)
     shared = lines.groupBy("leaf_").agg(F.count_distinct("tie_").alias("n_")).filter(F.col("n_") >= min_docs).select("leaf_")
-    lines = stored(lines.join(shared, "leaf_", "left_semi").withColumn("mask_", F.xxhash64("masked_", "leaf_")))
-    forms = lines.groupBy("mask_").agg(F.first("leaf_").alias("leaf_"), F.first("words_").alias("words_"), F.count_distinct("tie_").alias("n_"))
-    forms = stored(forms)
-    words = forms.select("mask_", "leaf_", "n_", F.posexplode("words_").alias("place_", "word_"))
+    lines = stored(lines.join(shared, "leaf_", "left_semi").withColumn("mask_", F.xxhash64("masked_")))
+    held = lines.groupBy("mask_").agg(F.count_distinct("tie_").alias("n_"))
+    forms = stored(lines.groupBy("mask_").agg(F.first("leaf_").alias("leaf_"), F.first("masked_").alias("masked_")).join(held, "mask_"))
+    words = forms.select("mask_", "leaf_", "n_", F.posexplode(F.split("masked_", " ")).alias("place_", "word_"))
     kept = words.groupBy("leaf_", "place_", "word_").agg(F.sum("n_").alias("in_")).filter(F.col("in_") >= min_docs)
     marked = words.join(kept, ["leaf_", "place_", "word_"], "left").withColumn(
         "word_", F.when((F.col("word_") == FIELD) | F.col("in_").isNull(), FIELD).otherwise(F.col("word_"))

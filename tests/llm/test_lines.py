@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def masked(line):
-    return [FIELD if re.search("[0-9]", w) else w for w in re.split("[ \t\r\f\v]+", line) if w]
+    return [FIELD if re.search("[0-9]", w) else w for w in line.split(" ")]
 
 
 def brute(rows):
@@ -24,7 +24,7 @@ def brute(rows):
         lines = [masked(x) for x in t.split("\n")]
         whole = [" ".join(x) for x in lines]
         for k, w in enumerate(lines):
-            if len(w) >= MIN_WORDS:
+            if len(w) >= MIN_WORDS and "".join(w):
                 around = (whole[k - 1] if k else (t,), whole[k + 1] if k + 1 < len(lines) else (t,))
                 occurrences.append((i, t, k, tuple(w), around, (len(w), tuple(w[:DEPTH]))))
     texts = defaultdict(set)
@@ -72,7 +72,7 @@ def sample():
         if i % 3 == 0:
             lines.insert(0, "Share this page\fwith your friends of it")
         rows.append((i, "\n".join(lines)))
-    rows += [(100 + k, rows[5][1]) for k in range(10)] + [(200, None), (201, ""), (202, "\n\n"), (203, "x" * 100_000)]
+    rows += [(100 + k, rows[5][1]) for k in range(10)] + [(200, None), (201, ""), (202, "\n\n"), (204, "   \n    "), (205, "   \nx"), (206, "y\n   "), (203, "x" * 100_000)]
     rows += [(300 + k, f"one line of {k} alone that is copied\tin full") for k in range(2)]
     copied = "\n".join(prose(9) for _ in range(5))
     rows += [(400 + k, copied + f"\nnumber {'abcdefgh'[k]}") for k in range(8)]
