@@ -14,7 +14,7 @@ NO_ID = -(2**63)
 
 
 def with_fingerprint(df: DataFrame, text_col: str, out: str, gram: int = GRAM, window: int = WINDOW) -> DataFrame:
-    """Add ``out``, an array of longs: the chosen gram hashes, then as many positions.
+    """Add ``out``, an array of ints: the chosen gram hashes, then as many positions.
 
     Words are what single spaces separate; each is hashed once and a gram hash combines the hashes of its words. Of
     each window of grams the smallest hash is chosen, the rightmost one on ties. Chosen positions never
@@ -24,14 +24,14 @@ def with_fingerprint(df: DataFrame, text_col: str, out: str, gram: int = GRAM, w
     following = ", ".join(f"words_[i + {k}]" for k in range(1, gram))
     steps = {
         "words_": f"transform(split({text_col}, ' '), w -> xxhash64(w))",
-        "grams_": f"""if(size(words_) < {gram}, array(named_struct('h', xxhash64({text_col}), 'p', 0)),
-            transform(slice(words_, 1, greatest(size(words_) - {gram - 1}, 1)), (w, i) -> named_struct('h', xxhash64(w, {following}), 'p', -i)))""",
+        "grams_": f"""if(size(words_) < {gram}, array(named_struct('h', hash({text_col}), 'p', 0)),
+            transform(slice(words_, 1, greatest(size(words_) - {gram - 1}, 1)), (w, i) -> named_struct('h', hash(w, {following}), 'p', -i)))""",
         "least_": f"transform(sequence(1, greatest(size(grams_) - {window - 1}, 1)), j -> array_min(slice(grams_, j, {window})))",
         "chosen_": "filter(least_, (x, i) -> i = 0 or x.p != least_[greatest(i - 1, 0)].p)",
     }
     for name, sql in steps.items():
         df = df.withColumn(name, F.expr(sql))
-    both = "concat(transform(chosen_, x -> x.h), transform(chosen_, x -> cast(-x.p as bigint)))"
+    both = "concat(transform(chosen_, x -> x.h), transform(chosen_, x -> -x.p))"
     return df.withColumn(out, F.expr(both)).drop(*steps)
 
 
@@ -43,7 +43,7 @@ def as_text(fingerprint: str) -> Column:
     """``hash@position`` of each chosen gram, in order; hashes in hexadecimal."""
     return F.expr(
         f"""array_join(transform(sequence(1, size({fingerprint}) div 2), k ->
-            concat(hex({fingerprint}[k - 1]), '@', {fingerprint}[size({fingerprint}) div 2 + k - 1])), ' ')"""
+            concat(hex({fingerprint}[k - 1] & 4294967295L), '@', {fingerprint}[size({fingerprint}) div 2 + k - 1])), ' ')"""
     )
 
 
