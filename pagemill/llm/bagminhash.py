@@ -155,17 +155,17 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     tested = stored(pairs)
     links = stored(verified(tested, base, similarity))
     # identifiers that repeat with several texts are joined by their copies
+    classes = stored(components(links.union(copies)))
     turn = 0
     while True:
-        classes = stored(components(links.union(copies)))
         turn += 1
-        pairs = stored(open_pairs(grouped, classes, tested, turn))
+        grouped, pairs = open_pairs(grouped, classes, tested, turn)
         if pairs.isEmpty():
             break
         new = stored(verified(pairs, base, similarity))
         if new.isEmpty():
             break
-        links, tested = links.union(new), tested.union(pairs)
+        classes, tested = joined_classes(classes, new), tested.union(pairs)
     out = signed.select("id_").join(classes.select(F.col("node").alias("id_"), "class"), "id_", "left")
     out = out.select("id_", F.coalesce("class", "id_").alias("class_"))
     sizes = out.groupBy("class_").agg(F.count(F.lit(1)).alias("class_size"))
@@ -177,8 +177,24 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     )
 
 
-def open_pairs(grouped: DataFrame, classes: DataFrame, tested: DataFrame, turn: int) -> DataFrame:
-    """Pairs of different classes within groups of a band that no round has compared yet."""
+def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """Classes after further links: only the classes that the links connect are looked at."""
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    fresh = ends.join(classes, "node", "left_anti").withColumn("class", F.col("node"))
+    known = classes.unionByName(fresh)
+    drawn = links
+    for end in ("a", "b"):
+        drawn = drawn.join(known.select(F.col("node").alias(end), F.col("class").alias(f"class_{end}")), end)
+    step = components(drawn.select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
+    step = step.select(F.col("node").alias("class"), F.col("class").alias("to"))
+    return stored(known.join(step, "class", "left").select("node", F.coalesce("to", "class").alias("class")))
+
+
+def open_pairs(grouped: DataFrame, classes: DataFrame, tested: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The groups that still hold several classes, and their pairs of different classes that no round has compared yet.
+
+    Classes only ever grow together, so a group of one class needs no further look.
+    """
     named = grouped.join(classes.select(F.col("node").alias("id_"), "class"), "id_", "left")
     named = named.select("key_", "n_", "id_", F.coalesce("class", "id_").alias("class_"))
     leader = F.min(F.struct(F.xxhash64("id_", F.lit(turn)).alias("h"), F.col("id_").alias("b"), F.col("class_").alias("class_b")))
@@ -190,7 +206,7 @@ def open_pairs(grouped: DataFrame, classes: DataFrame, tested: DataFrame, turn:
     other = small.select("key_", F.col("id_").alias("b"), F.col("class_").alias("class_b"))
     small = small.join(other, "key_").filter("class_ < class_b").select("id_", "b")
     pairs = large.union(small).select(F.greatest("id_", "b").alias("a"), F.least("id_", "b").alias("b")).distinct()
-    return pairs.join(tested, ["a", "b"], "left_anti")
+    return rows.select("key_", "n_", "id_"), stored(pairs.join(tested, ["a", "b"], "left_anti"))
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
