@@ -24,6 +24,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def even_buckets(spark: SparkSession, parts: int) -> list[int]:
+    """``parts`` numbers that ``repartition(parts, number)`` sends to a partition each, so that none gets two buckets."""
+    tried = spark.range(40 * parts).select(F.col("id").cast("int").alias("number"))
+    found = tried.groupBy(F.pmod(F.hash("number"), F.lit(parts)).alias("part")).agg(F.min("number").alias("number")).collect()
+    return [{r.part: r.number for r in found}.get(p, p) for p in range(parts)]
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there: the lineage ends in files that outlive executors."""
     spark = df.sparkSession

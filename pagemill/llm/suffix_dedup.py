@@ -4,21 +4,25 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import plain_names, shuffle_partitions, slices
+from pagemill.llm.common import even_buckets, plain_names, shuffle_partitions, slices
 from pagemill.llm.rolling import PrefixHash, mix
 
 #: Bytes of a string that is removed when an earlier document has it too.
 LENGTH = 50
 #: Bytes of a gram. Each string of LENGTH bytes holds LENGTH - GRAM + 1 of them, and its smallest one is its anchor.
-GRAM = 16
+GRAM = 24
 #: Anchors that a task gathers before it sends them on; bounds its memory.
-GATHERED = 500_000
+GATHERED = 400_000
+#: Rows of a matrix that are worked on at a time.
+BLOCK = 20_000
 #: Suffixes that are sorted at a time.
 SORTED = 400_000
 NO_ID = -(2**63)
@@ -76,70 +80,91 @@ class Contexts:
 
     A row has ``length - gram`` bytes before the anchor and ``length`` from it on, zero where the text ends;
     ``left`` and ``right`` say how many are there. All strings of ``length`` bytes around the anchor lie in its row.
+    ``anchor`` and ``whole`` are hashes of the anchor and of the row with its limits.
     """
 
-    def __init__(self, rows: np.ndarray, left: np.ndarray, right: np.ndarray, doc: np.ndarray, place: np.ndarray):
-        self.rows, self.left, self.right, self.doc, self.place = rows, left, right, doc, place
+    FIELDS = ("anchor", "whole", "doc", "place", "left", "right", "rows")
+
+    def __init__(self, *columns: np.ndarray):
+        self.anchor, self.whole, self.doc, self.place, self.left, self.right, self.rows = columns
 
     @staticmethod
-    def cut(flat: np.ndarray, at: np.ndarray, start: np.ndarray, stop: np.ndarray, doc: np.ndarray, length: int, gram: int) -> Contexts:
+    def cut(flat, sums: PrefixHash, at, start, stop, doc, length: int, gram: int) -> Contexts:
         before = length - gram
-        left = np.minimum(at - start, before)
-        right = np.minimum(stop - at, length)
-        where = at[:, None] + np.arange(-before, length)[None, :]
-        there = (where >= (at - left)[:, None]) & (where < (at + right)[:, None])
-        rows = np.where(there, flat[np.clip(where, 0, len(flat) - 1)], 0).astype(np.uint8)
-        return Contexts(rows, left, right, doc, at - start)
+        left, right = np.minimum(at - start, before), np.minimum(stop - at, length)
+        rows = np.zeros((len(at), before + length), np.uint8)
+        for k in range(0, len(at), BLOCK):
+            where = at[k : k + BLOCK, None] + np.arange(-before, length)[None, :]
+            there = (where >= (at - left)[k : k + BLOCK, None]) & (where < (at + right)[k : k + BLOCK, None])
+            rows[k : k + BLOCK] = np.where(there, flat[np.clip(where, 0, len(flat) - 1)], 0)
+        whole = mix(sums.of(at - left, at + right) + (left * 256 + right).astype(np.uint64))
+        return Contexts(mix(sums.of(at, at + gram)), whole, doc, at - start, left, right, rows)
+
+    @staticmethod
+    def joined(parts: list[Contexts]) -> Contexts:
+        return Contexts(*(np.concatenate([getattr(p, f) for p in parts]) for f in Contexts.FIELDS))
 
     def take(self, index) -> Contexts:
-        return Contexts(self.rows[index], self.left[index], self.right[index], self.doc[index], self.place[index])
+        return Contexts(*(getattr(self, f)[index] for f in self.FIELDS))
 
     def pack(self) -> bytes:
-        n = len(self.doc)
-        parts = (self.doc.astype("<i8"), self.place.astype("<i8"), self.left.astype("u1"), self.right.astype("u1"), self.rows)
-        return np.int64(n).tobytes() + b"".join(np.ascontiguousarray(p).tobytes() for p in parts)
+        """All but the hashes, which the reader computes again, compressed."""
+        kinds = zip(self.FIELDS[2:], ("<i8", "<i8", "u1", "u1", "u1"))
+        return squeezed(len(self.doc), [getattr(self, f).astype(k) for f, k in kinds])
 
     @staticmethod
-    def unpack(blobs: list[bytes], width: int) -> Contexts:
-        found = []
+    def unpack(blobs: list[bytes], width: int, gram: int) -> Contexts:
+        parts = []
         for blob in blobs:
-            n, at = int(np.frombuffer(blob, "<i8", 1)[0]), 8
-            parts = []
-            for kind, size in (("<i8", n), ("<i8", n), ("u1", n), ("u1", n), ("u1", n * width)):
-                parts.append(np.frombuffer(blob, kind, size, at))
-                at += parts[-1].nbytes
-            found.append(parts)
-        doc, place, left, right, rows = (np.concatenate(p) for p in zip(*found))
-        return Contexts(rows.reshape(-1, width), left.astype(np.int64), right.astype(np.int64), doc, place)
-
-    def hashes(self, gram: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of the anchor, which has as many bytes behind it as in front, and of the whole row with its limits."""
-        n, width = self.rows.shape
-        sums = PrefixHash(self.rows.reshape(-1))
-        begin = np.arange(n) * width
-        before = (width - gram) // 2
-        whole = mix(sums.of(begin, begin + width) + (self.left * 256 + self.right).astype(np.uint64))
-        return mix(sums.of(begin + before, begin + before + gram)), whole
-
-
-def settle(c: Contexts, gram: int) -> tuple[Contexts, np.ndarray, np.ndarray]:
+            n, columns = expanded(blob, ["<i8", "<i8", "u1", "u1", f"V{width}"])
+            doc, place, left, right = columns[0], columns[1], columns[2].astype(np.int64), columns[3].astype(np.int64)
+            rows = columns[4].view(np.uint8).reshape(n, width)
+            anchor, whole = np.empty(n, np.uint64), np.empty(n, np.uint64)
+            for k in range(0, n, BLOCK):
+                sums = PrefixHash(rows[k : k + BLOCK].reshape(-1))
+                at = np.arange(len(rows[k : k + BLOCK])) * width + (width - gram) // 2
+                anchor[k : k + BLOCK] = mix(sums.of(at, at + gram))
+                le, ri = left[k : k + BLOCK], right[k : k + BLOCK]
+                whole[k : k + BLOCK] = mix(sums.of(at - le, at + ri) + (le * 256 + ri).astype(np.uint64))
+            parts.append(Contexts(anchor, whole, doc, place, left, right, rows))
+        return Contexts.joined(parts)
+
+
+def squeezed(n: int, columns: list[np.ndarray]) -> bytes:
+    """Columns of ``n`` values; numbers by place of their bytes, so that the high bytes, mostly equal, pack well."""
+    parts = [c.tobytes() if c.ndim > 1 else np.ascontiguousarray(c.view(np.uint8).reshape(n, -1).T).tobytes() for c in columns]
+    return n.to_bytes(8, "little") + zstandard.ZstdCompressor(level=1).compress(b"".join(parts))
+
+
+def expanded(blob: bytes, kinds: list[str]) -> tuple[int, list[np.ndarray]]:
+    n, at, columns = int.from_bytes(blob[:8], "little"), 0, []
+    data = zstandard.ZstdDecompressor().decompress(blob[8:])
+    for kind in map(np.dtype, kinds):
+        raw = np.frombuffer(data, np.uint8, n * kind.itemsize, at)
+        at += len(raw)
+        columns.append(raw if kind.kind == "V" else np.ascontiguousarray(raw.reshape(kind.itemsize, n).T).reshape(-1).view(kind))
+    return n, columns
+
+
+def settle(c: Contexts) -> tuple[Contexts, np.ndarray]:
     """Take out the rows that an equal row of a smaller document covers whole.
 
-    Returns the rows left, their anchor hashes, and the spans (document, start, stop) covered. Hashes find equal rows and
-    their bytes are compared before a span counts; a row that only has an equal hash is left in.
+    Returns the rows left and the spans (document, start, stop) covered. Hashes find equal rows and their bytes are
+    compared before a span counts; a row that only has an equal hash is left in.
     """
-    anchor, whole = c.hashes(gram)
-    order = np.lexsort((c.place, c.doc, whole, anchor))
-    starts = group_starts(anchor[order], whole[order])
+    order = np.lexsort((c.place, c.doc, c.whole, c.anchor))
+    starts = group_starts(c.anchor[order], c.whole[order])
     first = order[starts][by_group(starts, len(order))]
     later = c.doc[order] > c.doc[first]
     rows, models = order[later], first[later]
-    same = (c.rows[rows] == c.rows[models]).all(axis=1) & (c.left[rows] == c.left[models]) & (c.right[rows] == c.right[models])
+    same = (c.left[rows] == c.left[models]) & (c.right[rows] == c.right[models])
+    for k in range(0, len(rows), BLOCK):
+        same[k : k + BLOCK] &= (c.rows[rows[k : k + BLOCK]] == c.rows[models[k : k + BLOCK]]).all(axis=1)
     rows = rows[same]
     spans = np.stack([c.doc[rows], c.place[rows] - c.left[rows], c.place[rows] + c.right[rows]], axis=1)
     left = np.ones(len(order), bool)
     left[rows] = False
-    return c.take(left), anchor[left], spans
+    return c.take(left), spans
 
 
 class Suffixes:
@@ -151,68 +176,83 @@ class Suffixes:
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """How many bytes suffixes ``a`` and ``b`` share at the front: a binary search over prefix hashes."""
         x, y = self.at[a], self.at[b]
-        low, high = np.zeros(len(x), np.int64), np.full(len(x), self.length, np.int64)
-        while True:
-            open_ = low < high
-            if not open_.any():
-                return low
+        found = np.full(len(x), self.length, np.int64)
+        open_ = np.flatnonzero(self.sums.of(x, x + self.length) != self.sums.of(y, y + self.length))
+        x, y = x[open_], y[open_]
+        sums, down = self.sums.sums, self.sums.down
+        from_x, from_y, by_x, by_y = sums[x], sums[y], down[x], down[y]
+        low, high = np.zeros(len(x), np.int64), np.full(len(x), self.length - 1, np.int64)
+        while (low < high).any():
             middle = (low + high + 1) >> 1
-            same = self.sums.of(x, x + middle) == self.sums.of(y, y + middle)
-            low = np.where(open_ & same, middle, low)
-            high = np.where(open_ & ~same, middle - 1, high)
+            same = (sums[x + middle] - from_x) * by_x == (sums[y + middle] - from_y) * by_y
+            low = np.where(same, middle, low)
+            high = np.where(same, high, np.maximum(middle - 1, low))
+        found[open_] = low
+        return found
 
-    def less(self, a: np.ndarray, b: np.ndarray, or_equal: bool) -> np.ndarray:
+    def less(self, a: np.ndarray, b: np.ndarray, or_equal: np.ndarray) -> np.ndarray:
         """Whether ``a`` sorts before ``b`` (or with it): the first byte after what they share decides."""
         shared = self.common(a, b)
-        equal = shared == self.length
         k = np.minimum(shared, self.length - 1)
-        return np.where(equal, or_equal, self.flat[self.at[a] + k] < self.flat[self.at[b] + k])
+        return np.where(shared == self.length, or_equal, self.flat[self.at[a] + k] < self.flat[self.at[b] + k])
 
-    def sort(self, segment: np.ndarray) -> np.ndarray:
-        """Merge sort inside each segment (numbers that do not fall), all segments and runs of a pass together."""
+    def sort(self, segment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge sort inside each segment (numbers that do not fall), all runs of a pass together.
+
+        A suffix that equals one of the run it is merged with joins it, so only different strings go on to the next
+        pass. Returns the different ones in order, and for each suffix the one that it has joined (itself, if it stands).
+        """
         n = len(segment)
-        order = np.arange(n)
-        starts = group_starts(segment)
-        size = np.diff(np.append(starts, n))
-        base, count = np.repeat(starts, size), np.repeat(size, size)
-        run = 1
-        while run < (size.max() if n else 0):
-            inside = np.arange(n) - base
-            block = inside // (2 * run) * (2 * run)
-            in_left = inside - block < run
-            other = np.where(in_left, block + run, block)  # where the run to compare with begins, inside its segment
-            stop = np.minimum(np.where(in_left, block + 2 * run, block + run), count)
-            low, high = np.minimum(other, stop), stop.copy()
+        joined, items = np.arange(n), np.arange(n)
+        run = items - np.repeat(group_starts(segment), np.diff(np.append(group_starts(segment), n))) if n else items
+        while len(run) and run.max():
+            seg = segment[items]
+            starts = group_starts(seg, run)
+            stops = np.append(starts[1:], len(items))
+            number = by_group(starts, len(items))
+            in_left = run % 2 == 0
+            partner = np.where(in_left, number + 1, number - 1)
+            there = np.minimum(partner, len(starts) - 1)
+            has = (partner < len(starts)) & (seg[starts[there]] == seg) & (run[starts[there]] == run ^ 1)
+            first, last = np.where(has, starts[there], 0), np.where(has, stops[there], 0)
+            low, high = first.copy(), last.copy()
             while True:
                 open_ = np.flatnonzero(low < high)
                 if not len(open_):
                     break
                 middle = (low[open_] + high[open_]) >> 1
-                mine, theirs = order[open_], order[base[open_] + middle]
-                ahead = np.zeros(len(open_), bool)
-                for side, or_equal in ((True, False), (False, True)):
-                    pick = in_left[open_] == side
-                    ahead[pick] = self.less(theirs[pick], mine[pick], or_equal)
+                ahead = self.less(items[middle], items[open_], ~in_left[open_])
                 low[open_] = np.where(ahead, middle + 1, low[open_])
                 high[open_] = np.where(ahead, high[open_], middle)
-            passed = low - np.minimum(other, stop)
-            own = np.where(in_left, inside - block, inside - block - run)
-            moved = np.empty(n, np.int64)
-            moved[base + block + own + passed] = order
-            order = moved
-            run *= 2
-        return order
-
-
-def compare(c: Contexts, anchor: np.ndarray, length: int, gram: int) -> Iterator[np.ndarray]:
+            right = np.flatnonzero(~in_left & (low > first))
+            right = right[self.common(items[low[right] - 1], items[right]) == self.length]
+            joined[items[right]] = items[low[right] - 1]
+            gone = np.zeros(len(items) + 1, np.int64)
+            gone[right + 1] = 1
+            before = np.cumsum(gone)
+            own = np.arange(len(items)) - starts[number]
+            place = own + low - first
+            place -= np.where(in_left, before[low] - before[first], before[np.arange(len(items))] - before[starts[number]])
+            stays = gone[1:] == 0
+            items, place, run, seg = items[stays], place[stays], run[stays] >> 1, seg[stays]
+            pair = group_starts(seg, run)
+            moved = np.empty(len(items), np.int64)
+            moved[pair[by_group(pair, len(items))] + place] = items
+            items = moved
+        while not np.array_equal(joined, joined[joined]):
+            joined = joined[joined]
+        return items, joined
+
+
+def compare(c: Contexts, length: int, gram: int) -> Iterator[np.ndarray]:
     """Spans of strings of ``length`` bytes around equal anchors that a smaller document has too.
 
     Only anchors with several documents are looked at. For each offset of the anchor in the string the suffixes that
-    begin there are sorted; runs of neighbours that share ``length`` bytes are equal strings, and all but those of the
-    run's smallest document are covered. Bytes are compared before a run counts.
+    begin there are sorted, and equal strings find each other; all but those of their smallest document are covered.
+    Bytes are compared before two strings count as equal.
     """
-    order = np.argsort(anchor, kind="stable")
-    starts = group_starts(anchor[order])
+    order = np.argsort(c.anchor, kind="stable")
+    starts = group_starts(c.anchor[order])
     if not len(starts):
         return
     low, high = np.minimum.reduceat(c.doc[order], starts), np.maximum.reduceat(c.doc[order], starts)
@@ -236,33 +276,27 @@ def compare(c: Contexts, anchor: np.ndarray, length: int, gram: int) -> Iterator
         row, offset = row[by], offset[by]
         segment = number[row] * (before + 1) + offset
         suffixes = Suffixes(flat, row * width + before - offset, length)
-        sorted_ = suffixes.sort(segment)
-        yield covered(c, part, suffixes, sorted_, segment, row, offset, length)
+        _, joined = suffixes.sort(segment)
+        yield covered(c, part, suffixes, joined, row, offset, length)
         done = stop
 
 
-def covered(c, part, suffixes, order, segment, row, offset, length) -> np.ndarray:
-    if not len(order):
-        return np.zeros((0, 3), np.int64)
-    a, b = order[:-1], order[1:]
-    equal = np.flatnonzero((segment[a] == segment[b]) & (suffixes.common(a, b) == length))
-    x, y = suffixes.at[a[equal]], suffixes.at[b[equal]]
-    bytes_at = np.arange(length)
-    same = np.array([], bool)
-    if len(equal):
-        same = np.concatenate(
-            [
-                (suffixes.flat[x[k : k + 50_000, None] + bytes_at] == suffixes.flat[y[k : k + 50_000, None] + bytes_at]).all(axis=1)
-                for k in range(0, len(x), 50_000)
-            ]
-        )
-    new = np.ones(len(order), bool)
-    new[equal[same] + 1] = False
-    starts = np.flatnonzero(new)
-    doc = c.doc[part][row[order]]
-    least = np.minimum.reduceat(doc, starts)[by_group(starts, len(order))]
-    hit = doc > least
-    at = c.place[part][row[order]][hit] - offset[order][hit]
+def covered(c: Contexts, part, suffixes: Suffixes, joined, row, offset, length: int) -> np.ndarray:
+    """Spans of the strings that have joined one of a smaller document, or been joined by one."""
+    mine = np.flatnonzero(joined != np.arange(len(joined)))
+    x, y = suffixes.at[mine], suffixes.at[joined[mine]]
+    same = np.zeros(len(mine), bool)
+    for k in range(0, len(mine), BLOCK):
+        bytes_at = np.arange(length)
+        same[k : k + BLOCK] = (suffixes.flat[x[k : k + BLOCK, None] + bytes_at] == suffixes.flat[y[k : k + BLOCK, None] + bytes_at]).all(axis=1)
+    mine = mine[same]
+    doc = c.doc[part][row]
+    least = doc.copy()
+    np.minimum.at(least, joined[mine], doc[mine])
+    heads = np.unique(joined[mine])
+    one = np.concatenate([mine, heads])
+    hit = one[doc[one] > least[np.concatenate([joined[mine], heads])]]
+    at = c.place[part][row[hit]] - offset[hit]
     return np.stack([doc[hit], at, at + length], axis=1)
 
 
@@ -319,8 +353,9 @@ def texts_of(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, stop - np.array([len(r) for r in raw]), stop
 
 
-def find_anchors(length: int, gram: int, parts: int):
+def find_anchors(length: int, gram: int, buckets: list[int]):
     """Step 1: the anchors of each document; those that an equal surrounding in the same task covers become spans."""
+    parts = len(buckets)
 
     def run(batches):
         gathered: list[Contexts] = []
@@ -328,25 +363,25 @@ def find_anchors(length: int, gram: int, parts: int):
         def flush():
             if not gathered:
                 return
-            c = Contexts(*(np.concatenate([getattr(g, f) for g in gathered]) for f in ("rows", "left", "right", "doc", "place")))
+            c = Contexts.joined(gathered)
             gathered.clear()
-            c, anchor, spans = settle(c, gram)
+            c, spans = settle(c)
             ids, blobs = span_rows(spans)
-            yield batch([i % parts for i in ids], ids, [SPANS] * len(ids), blobs)
+            yield batch([buckets[i % parts] for i in ids], ids, [SPANS] * len(ids), blobs)
             rows = []
-            for k, index in dealt((anchor % np.uint64(parts)).astype(np.int64), parts):
+            for k, index in dealt((c.anchor % np.uint64(parts)).astype(np.int64), parts):
                 index = index[np.lexsort((c.place[index], c.doc[index]))]
-                head = np.int64(len(index)).tobytes()
-                data = b"".join(x.tobytes() for x in (anchor[index], c.doc[index].astype("<i8"), c.place[index].astype("<i4")))
-                rows.append((k, None, ANCHORS, head + data))
+                # 48 bits of the hash: a chance agreement only sends a surrounding in vain
+                columns = [c.anchor[index] >> np.uint64(16), c.doc[index].astype("<i8"), c.place[index].astype("<i4")]
+                rows.append((buckets[k], None, ANCHORS, squeezed(len(index), columns)))
             yield batch(*zip(*rows)) if rows else batch([], [], [], [])
 
         for b in slices(batches, "text_"):
             flat, start, stop = texts_of(b)
             doc = b.column("id_").to_numpy()
-            at, _, _ = anchors(flat, stop, length, gram)
+            at, _, sums = anchors(flat, stop, length, gram)
             owner = np.searchsorted(stop, at, side="right")
-            gathered.append(Contexts.cut(flat, at, start[owner], stop[owner], doc[owner], length, gram))
+            gathered.append(Contexts.cut(flat, sums, at, start[owner], stop[owner], doc[owner], length, gram))
             if sum(len(g.doc) for g in gathered) > GATHERED:
                 yield from flush()
         yield from flush()
@@ -354,30 +389,57 @@ def find_anchors(length: int, gram: int, parts: int):
     return run
 
 
-def find_shared(batches):
-    """Step 2: of one bucket of anchors, those that several documents have; spans go through."""
-    found = [[], [], []]
+def find_shared(buckets: list[int]):
+    """Step 2: of one bucket of anchors, those that several documents have, dealt out by document; spans go through."""
+    parts = len(buckets)
+
+    def run(batches):
+        found = [[], [], []]
+        for b in batches:
+            through = []
+            for kind, i, blob in zip(b.column("kind_").to_pylist(), b.column("id_").to_pylist(), b.column("blob_").to_pylist()):
+                if kind == SPANS:
+                    through.append((buckets[i % parts], i, SPANS, blob))
+                    continue
+                for k, column in enumerate(expanded(blob, ["<u8", "<i8", "<i4"])[1]):
+                    found[k].append(column)
+            if through:
+                yield batch(*zip(*through))
+        if not found[0]:
+            return
+        anchor, doc, place = (np.concatenate(x) for x in found)
+        found.clear()
+        order = np.argsort(anchor, kind="stable")
+        starts = group_starts(anchor[order])
+        several = np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts)
+        order = order[several[by_group(starts, len(order))]]
+        order = order[np.lexsort((place[order], doc[order]))]
+        doc, place = doc[order], place[order]
+        rows = [(buckets[k], None, SHARED, squeezed(len(i), [doc[i], place[i]])) for k, i in dealt(doc % parts, parts)]
+        if rows:
+            yield batch(*zip(*rows))
+
+    return run
+
+
+def by_document(batches):
+    """Between steps 2 and 3: one row per document with all its shared anchors; spans go through."""
+    docs, places = [], []
     for b in batches:
         through = []
         for kind, i, blob in zip(b.column("kind_").to_pylist(), b.column("id_").to_pylist(), b.column("blob_").to_pylist()):
             if kind == SPANS:
                 through.append((0, i, SPANS, blob))
                 continue
-            n, at = int(np.frombuffer(blob, "<i8", 1)[0]), 8
-            for k, (form, size) in enumerate((("<u8", 8), ("<i8", 8), ("<i4", 4))):
-                found[k].append(np.frombuffer(blob, form, n, at))
-                at += n * size
+            doc, place = expanded(blob, ["<i8", "<i4"])[1]
+            docs.append(doc)
+            places.append(place)
         if through:
             yield batch(*zip(*through))
-    if not found[0]:
+    if not docs:
         return
-    anchor, doc, place = (np.concatenate(x) for x in found)
-    found.clear()
-    order = np.argsort(anchor, kind="stable")
-    starts = group_starts(anchor[order])
-    several = np.minimum.reduceat(doc[order], starts) != np.maximum.reduceat(doc[order], starts)
-    order = order[several[by_group(starts, len(order))]]
-    order = order[np.lexsort((place[order], doc[order]))]
+    doc, place = np.concatenate(docs), np.concatenate(places)
+    order = np.lexsort((place, doc))
     doc, place = doc[order], place[order].astype("<i4")
     starts = group_starts(doc)
     ends = np.append(starts[1:], len(doc))
@@ -387,8 +449,9 @@ def find_shared(batches):
         yield batch([0] * len(ids), ids, [SHARED] * len(ids), blobs)
 
 
-def cut_contexts(length: int, gram: int, parts: int):
+def cut_contexts(length: int, gram: int, buckets: list[int]):
     """Step 3: the surroundings of shared anchors, dealt out by anchor; spans go through."""
+    parts = len(buckets)
 
     def run(batches):
         gathered: list[Contexts] = []
@@ -396,12 +459,12 @@ def cut_contexts(length: int, gram: int, parts: int):
         def flush():
             if not gathered:
                 return
-            c = Contexts(*(np.concatenate([getattr(g, f) for g in gathered]) for f in ("rows", "left", "right", "doc", "place")))
+            c = Contexts.joined(gathered)
             gathered.clear()
-            c, anchor, spans = settle(c, gram)
+            c, spans = settle(c)
             ids, blobs = span_rows(spans)
-            yield batch([i % parts for i in ids], ids, [SPANS] * len(ids), blobs)
-            rows = [(k, None, ANCHORS, c.take(i).pack()) for k, i in dealt((anchor % np.uint64(parts)).astype(np.int64), parts)]
+            yield batch([buckets[i % parts] for i in ids], ids, [SPANS] * len(ids), blobs)
+            rows = [(buckets[k], None, ANCHORS, c.take(i).pack()) for k, i in dealt((c.anchor % np.uint64(parts)).astype(np.int64), parts)]
             yield batch(*zip(*rows)) if rows else batch([], [], [], [])
 
         for b in slices(batches, "text_"):
@@ -414,12 +477,12 @@ def cut_contexts(length: int, gram: int, parts: int):
                     places = places[places + gram <= stop[k]]
                     at.append(places)
                     owner.append(np.full(len(places), k))
-            spans = [(i % parts, i, SPANS, x) for i, blobs in zip(doc.tolist(), b.column("spans_").to_pylist()) for x in blobs or ()]
+            spans = [(buckets[i % parts], i, SPANS, x) for i, blobs in zip(doc.tolist(), b.column("spans_").to_pylist()) for x in blobs or ()]
             if spans:
                 yield batch(*zip(*spans))
             if at:
                 at, owner = np.concatenate(at), np.concatenate(owner)
-                gathered.append(Contexts.cut(flat, at, start[owner], stop[owner], doc[owner], length, gram))
+                gathered.append(Contexts.cut(flat, PrefixHash(flat), at, start[owner], stop[owner], doc[owner], length, gram))
             if sum(len(g.doc) for g in gathered) > GATHERED:
                 yield from flush()
         yield from flush()
@@ -444,9 +507,9 @@ def find_spans(length: int, gram: int):
                 yield batch(*zip(*through))
         if not blobs:
             return
-        c, anchor, spans = settle(Contexts.unpack(blobs, width), gram)
-        del blobs
-        for more in (spans, *compare(c, anchor, length, gram)):
+        c, spans = settle(Contexts.unpack(blobs, width, gram))
+        blobs.clear()
+        for more in chain([spans], compare(c, length, gram)):
             ids, out = span_rows(more)
             yield batch([0] * len(ids), ids, [SPANS] * len(ids), out)
 
@@ -468,13 +531,15 @@ def repeated_spans(df: DataFrame, length: int = LENGTH, gram: int = GRAM, id_col
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id_"),
         F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text_"),
     )
-    first = docs.mapInArrow(find_anchors(length, gram, parts), STEP_SCHEMA)
-    shared = first.repartition(parts, "bucket_").mapInArrow(find_shared, STEP_SCHEMA)
+    buckets = even_buckets(spark, parts)
+    first = docs.mapInArrow(find_anchors(length, gram, buckets), STEP_SCHEMA)
+    shared = first.repartition(parts, "bucket_").mapInArrow(find_shared(buckets), STEP_SCHEMA)
+    shared = shared.repartition(parts, "bucket_").mapInArrow(by_document, STEP_SCHEMA)
     told = shared.groupBy("id_").agg(
         F.collect_list(F.when(F.col("kind_") == SHARED, F.col("blob_"))).alias("shared_"),
         F.collect_list(F.when(F.col("kind_") == SPANS, F.col("blob_"))).alias("spans_"),
     )
-    second = docs.join(told, "id_").mapInArrow(cut_contexts(length, gram, parts), STEP_SCHEMA)
+    second = docs.join(told, "id_").mapInArrow(cut_contexts(length, gram, buckets), STEP_SCHEMA)
     found = second.repartition(parts, "bucket_").mapInArrow(find_spans(length, gram), STEP_SCHEMA)
     spans = found.groupBy("id_").agg(F.collect_list("blob_").alias("spans_"))
     return docs, spans
