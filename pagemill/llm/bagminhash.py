@@ -16,8 +16,15 @@ from pagemill.llm.rolling import BASE, WORDS, mix, weighted, word_shingles
 SIMILARITY = 0.8
 #: Registers and registers per band. Two texts of similarity 0.8 share a band with probability 1 - (1 - 0.8**5)**25 > 0.9999.
 REGISTERS, BAND = 125, 5
-#: Groups of a band up to this size compare all members of different classes; larger ones compare with one leader a round.
+#: Groups of a band up to this size compare all members of different classes; larger ones share runs first.
 SMALL_GROUP = 16
+#: Rounds in which members of large groups are compared with one more leader. They only join hot classes early; what is
+#: compared in the end does not depend on them.
+LEADERS = 2
+#: Counters that order runs from rare to common.
+COUNTERS = 1 << 20
+#: Texts of a run that one task compares others with.
+DEALT = 2048
 NO_ID = -(2**63)
 
 
@@ -120,10 +127,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     """Classes of documents that chains of links of weighted Jaccard ``similarity`` or more connect.
 
     Equal texts are one class from the start and only the smallest identifier of each is compared further. Members of
-    a band's group are compared with the smallest one of them; verified links give classes. Groups that still hold
-    several classes are gone through again: small ones compare every two members of different classes, large ones
-    compare all with another leader each round, until a round finds no pair that is new or no link. No group is
-    expanded into all its pairs, and none is cut.
+    a band's group are compared with the smallest one of them; verified links give classes. Small groups that still hold
+    several classes compare every two members of different classes. Members of large ones are compared if they share a run
+    that any two texts of enough similarity must share (``prefix_pairs``), whatever other classes the group holds.
+    No group is expanded into all its pairs, and none is cut.
 
     Returns one row per input row: ``doc_id, class_id, class_size, kept``; ``class_id`` is the smallest identifier of the
     class, whose row is kept. Null texts count as empty; texts without words are near only to equal texts. Rows that
@@ -156,16 +163,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     links = stored(verified(tested, base, similarity))
     # identifiers that repeat with several texts are joined by their copies
     classes = stored(components(links.union(copies)))
-    turn = 0
-    while True:
-        turn += 1
+    for turn in range(1, LEADERS + 1):
         grouped, pairs = open_pairs(grouped, classes, tested, turn)
         if pairs.isEmpty():
             break
         new = stored(verified(pairs, base, similarity))
-        if new.isEmpty():
-            break
         classes, tested = joined_classes(classes, new), tested.union(pairs)
+    large = open_large(grouped, classes)
+    if not large.isEmpty():
+        pairs = prefix_pairs(large.join(base, "id_"), similarity).join(tested, ["a", "b"], "left_anti")
+        classes = joined_classes(classes, stored(verified(stored(pairs), base, similarity)))
     out = signed.select("id_").join(classes.select(F.col("node").alias("id_"), "class"), "id_", "left")
     out = out.select("id_", F.coalesce("class", "id_").alias("class_"))
     sizes = out.groupBy("class_").agg(F.count(F.lit(1)).alias("class_size"))
@@ -191,9 +198,9 @@ def joined_classes(classes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def open_pairs(grouped: DataFrame, classes: DataFrame, tested: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
-    """The groups that still hold several classes, and their pairs of different classes that no round has compared yet.
+    """The groups that still hold several classes, and pairs of different classes that no round has compared yet.
 
-    Classes only ever grow together, so a group of one class needs no further look.
+    Pairs are all of small groups, and those of one more leader of large ones. Classes only ever grow together, so a group of one class needs no further look.
     """
     named = grouped.join(classes.select(F.col("node").alias("id_"), "class"), "id_", "left")
     named = named.select("key_", "n_", "id_", F.coalesce("class", "id_").alias("class_"))
@@ -209,6 +216,74 @@ def open_pairs(grouped: DataFrame, classes: DataFrame, tested: DataFrame, turn:
     return rows.select("key_", "n_", "id_"), stored(pairs.join(tested, ["a", "b"], "left_anti"))
 
 
+def open_large(grouped: DataFrame, classes: DataFrame) -> DataFrame:
+    """Members (``id_, class_``) of the large groups that still hold several classes."""
+    named = grouped.filter(F.col("n_") > SMALL_GROUP).join(classes.select(F.col("node").alias("id_"), "class"), "id_", "left")
+    named = named.select("key_", "id_", F.coalesce("class", "id_").alias("class_"))
+    mixed = named.groupBy("key_").agg(F.min("class_").alias("lo"), F.max("class_").alias("hi")).filter("lo <> hi").select("key_")
+    return stored(named.join(mixed, "key_", "left_semi").select("id_", "class_").distinct())
+
+
+def elements(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Text number and hash of each run with its number among the equal runs of the text, so that multisets become sets."""
+    doc, run, count = weighted(texts)
+    item = np.repeat(np.arange(len(doc)), count)
+    turn = np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+    return doc[item], mix(run[item] + turn.astype(np.uint64) * BASE)
+
+
+def prefix_pairs(texts: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (``a``, ``b``) of ``id_, class_, text_`` of different classes, among them all of at least ``similarity``.
+
+    The runs of all texts have one order, from rare to common by counters that runs share. Texts of sizes n and m and the
+    similarity t have t / (1 + t) * (n + m) runs in common, so the first common run has at least as many runs of
+    each text from it on. Rows are the runs that can be such; of a run's texts, those outside its commonest class are
+    compared with all of other classes.
+    """
+    spark = texts.sparkSession
+
+    def count(batches):
+        for b in slices(batches, "text_"):
+            _, element = elements(b.column("text_").to_pylist())
+            slot, n = np.unique(element % np.uint64(COUNTERS), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n.astype(np.int64))], names=["slot_", "n_"])
+
+    counted = texts.select("text_").mapInArrow(count, "slot_ int, n_ bigint").groupBy("slot_").agg(F.sum("n_").alias("n_")).toArrow()
+    often = np.zeros(COUNTERS, np.int64)
+    often[counted["slot_"].to_numpy()] = counted["n_"].to_numpy()
+    shared = spark.sparkContext.broadcast(often)
+
+    def cut(batches):
+        for b in slices(batches, "text_"):
+            doc, element = elements(b.column("text_").to_pylist())
+            order = np.lexsort((element, shared.value[element % np.uint64(COUNTERS)], doc))
+            doc, element = doc[order], element[order]
+            size = np.bincount(doc, minlength=b.num_rows)
+            rest = size[doc] - (np.arange(len(doc)) - (np.cumsum(size) - size)[doc])
+            first = rest >= similarity * size[doc] - 1e-6
+            doc = doc[first]
+            arrays = [b.column("id_").take(pa.array(doc)), b.column("class_").take(pa.array(doc))]
+            arrays += [pa.array(element[first].view(np.int64)), pa.array(rest[first]), pa.array(size[doc])]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id_", "class_", "run_", "rest_", "size_"])
+
+    rows = stored(texts.select("id_", "class_", "text_").mapInArrow(cut, "id_ bigint, class_ bigint, run_ bigint, rest_ bigint, size_ bigint"))
+    per = rows.groupBy("run_", "class_").agg(F.count(F.lit(1)).alias("n_")).groupBy("run_")
+    per = per.agg(F.max(F.struct("n_", "class_")).alias("most"), F.sum("n_").alias("n_"), F.count(F.lit(1)).alias("classes_"))
+    parts = F.ceil(F.col("n_") / DEALT).cast("int").alias("parts_")
+    mixed = per.filter("classes_ > 1").select("run_", F.col("most.class_").alias("most_"), parts)
+    rows = stored(rows.join(mixed, "run_"))
+    one = rows.filter("class_ <> most_").select("run_", F.explode(F.expr("sequence(0, parts_ - 1)")).alias("part_"), *named_ends("x"))
+    two = rows.select("run_", F.expr("cast(pmod(xxhash64(id_), parts_) as int)").alias("part_"), *named_ends("y"))
+    need = similarity / (1 + similarity) * (F.col("size_x") + F.col("size_y")) - 1e-6
+    near = (F.col("class_x") != F.col("class_y")) & (F.least("rest_x", "rest_y") >= need)
+    pairs = one.join(two, ["run_", "part_"]).filter(near)
+    return pairs.select(F.greatest("id_x", "id_y").alias("a"), F.least("id_x", "id_y").alias("b")).distinct()
+
+
+def named_ends(end: str) -> list:
+    return [F.col(f"{c}_").alias(f"{c}_{end}") for c in ("id", "class", "rest", "size")]
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs``, all columns as they are, whose document is kept."""
     own, (id_, text) = plain_names(docs, id_col, text_col)

@@ -121,3 +121,19 @@ def test_query_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = catalog.QUERIES["op10_bagminhash"](spark, SF).collect()
     assert {r.doc_id: r.class_id for r in got} == brute_classes(docs)
+
+
+def test_small_classes_beside_a_hot_one(documents):
+    """Links between texts whose band groups are full of texts of other classes."""
+    common = [f"c{k}" for k in range(264)]
+
+    def text(*own):
+        return " ".join([*common, *(f"{name}{k}" for name, n in own for k in range(n))])
+
+    rows = [(k, text(("hot", 44), (f"h{k}_", 1))) for k in range(20)]
+    rows += [(100 + k, text((f"s{k}_", 44))) for k in range(200)]
+    rows += [(1000 + k, text((f"u{k}_", 24))) for k in range(2)]
+    expected = brute_classes(rows)
+    assert len(set(expected.values())) == 1 + 200 + 1
+    got = near_duplicates(documents([(i, t, "en", "s") for i, t in rows])).collect()
+    assert {r.doc_id: r.class_id for r in got} == expected
