@@ -467,13 +467,15 @@ def _(i: Inputs):
 
 @query("crop_regions")
 def _(i: Inputs):
-    # page images whose pixels are the bytes of the document
-    pixels = F.encode(F.rpad("lang", 1024, "0123456789"), "utf-8")
+    # page images whose pixels are all bytes of the document, in rows of 32, the last one filled up
+    size = F.greatest(F.octet_length("text"), F.lit(1))
+    rows = F.ceil(size / 32).cast("int")
+    pixels = F.rpad(F.encode("text", "utf-8"), rows * 32, F.lit(b"\0"))
     image = F.struct(
-        F.lit(32).alias("height"), F.lit(32).alias("width"), F.lit(1).alias("nChannels"), pixels.alias("data")
+        rows.alias("height"), F.lit(32).alias("width"), F.lit(1).alias("nChannels"), pixels.alias("data")
     )
     images = i.doc_pages().join(
-        i.table("documents").select(F.col("doc_id").alias("unit_id"), "lang"), "unit_id"
+        i.table("documents").select(F.col("doc_id").alias("unit_id"), F.coalesce("text", F.lit("")).alias("text")), "unit_id"
     ).select(*PAGE, image.alias("image"))
     outline = F.array(F.array("bx1", "by1"), F.array("bx2", "by1"), F.array("bx2", "by2"))
     crops = seams.crop_regions(images, i.regions().withColumn("polygon", outline), use_polygon=True)
