@@ -10,6 +10,7 @@ from pagemill.llm.bagminhash import near_duplicates
 from pagemill.llm.bpe import bpe_digests
 from pagemill.llm.common import table
 from pagemill.llm.exact_dedup import content_sort
+from pagemill.llm.filter_audit import audit
 from pagemill.llm.line_templates import line_report
 from pagemill.llm.packing import pack
 from pagemill.llm.quality import classify
@@ -98,3 +99,52 @@ def op9_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_bagminhash")
 def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query(
+    "op13_filter_audit",
+    r"""
+    with recursive words as (
+        select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text,
+               regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+               min(doc_id) over (partition by coalesce(text, '')) as first
+        from documents
+    ), known as (
+        select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic
+        from labels group by doc_id
+    ), judged as (
+        select w.part, coalesce(k.good, 0) as good, coalesce(k.toxic, 0) as toxic,
+               case when len(words) < 200 then 'A' else '' end
+               || case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' else '' end
+               || case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) then 'C' else '' end
+               || case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end
+               || case when w.doc_id > first then 'E' else '' end as fails
+        from words w left join known k on w.doc_id = k.doc_id
+    ), counted as (select part, good, toxic, fails, count(*) as n from judged group by all),
+    letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as f),
+    orders as (
+        select f as filter_order from letters
+        union all
+        select filter_order || f from orders join letters on not contains(filter_order, f)
+    ), steps as (
+        select filter_order, step, substr(filter_order, step, 1) as f, substr(filter_order, 1, step - 1) as before
+        from orders, (select unnest(range(1, 6)) as step) where length(filter_order) = 5
+    ), outcomes as (
+        select part, filter_order, step, f, n, good, toxic, contains(fails, f) as here, fails = f as alone,
+               fails <> '' and len(list_intersect(string_split(fails, ''), string_split(before, ''))) > 0 as gone
+        from counted, steps
+    ), summed as (
+        select part, filter_order, step::int as step, f,
+               sum(case when not here and not gone then n else 0 end)::bigint as kept,
+               sum(case when here and not gone then n else 0 end)::bigint as removed,
+               sum(case when here and gone then n else 0 end)::bigint as redundant,
+               sum(case when alone then n else 0 end)::bigint as unique_fails,
+               sum(case when here and not gone then n * good else 0 end)::bigint as good_lost,
+               sum(case when here and not gone then n * toxic else 0 end)::bigint as toxic_lost
+        from outcomes group by all
+    )
+    select * exclude (f), sum(removed) over (partition by part, f)::bigint as shapley from summed
+    """,
+)
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
