@@ -13,6 +13,7 @@ from pagemill.llm.exact_dedup import content_sort
 from pagemill.llm.filter_audit import audit
 from pagemill.llm.line_templates import line_report
 from pagemill.llm.packing import pack
+from pagemill.llm.periodic_runs import periodic_runs
 from pagemill.llm.quality import classify
 from pagemill.llm.sharding import hilbert_shards
 from pagemill.llm.suffix_dedup import suffix_digests
@@ -101,6 +102,11 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs(table(spark, sf_dir, "documents"))
+
+
 @query(
     "op13_filter_audit",
     r"""
