@@ -11,6 +11,7 @@ from pagemill.llm.bpe import bpe_digests
 from pagemill.llm.common import table
 from pagemill.llm.exact_dedup import content_sort
 from pagemill.llm.filter_audit import audit
+from pagemill.llm.language_id import identify
 from pagemill.llm.line_templates import line_report
 from pagemill.llm.packing import pack
 from pagemill.llm.periodic_runs import periodic_runs
@@ -22,6 +23,8 @@ from pagemill.llm.winnowing import edit_fingerprints
 
 #: The tokenizer file of the token queries.
 TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+#: The vocabulary of the language models.
+PIECES = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,6 +105,11 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query("op11_segment_unigrams")
+def op11_segment_unigrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(table(spark, sf_dir, "documents"), PIECES)
+
+
 @query("op12_periodic_runs")
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs(table(spark, sf_dir, "documents"))
