@@ -3,7 +3,7 @@
 The pieces are the byte strings of a fixed public vocabulary, every single byte among them, so each word has at least one
 segmentation. A language gives every piece a probability; the probability of a word is the sum, over all ways to cut it
 into pieces, of the product of their probabilities, found by a forward pass over its bytes. A text is as likely as all its
-words together. The probabilities are fitted by expectation and maximisation on counted words, never on texts.
+words together. Words are runs of letters and their marks: digits, signs and junk say nothing about a language. The probabilities are fitted by expectation and maximisation on counted words, never on texts.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ WORK, RESCALE = 1 << 20, 12
 #: Words in one lattice of the fit.
 FIT_WORDS = 8192
 WHITE = re.compile(rb"\s")
+LETTERS = regex.compile(r"[\p{L}\p{M}]+")
 #: The answer where a text is null, has no letter, or no language could be learned.
 UNDECIDED = "und"
 
@@ -160,8 +162,8 @@ def word_scores(pieces: Pieces, model: Model, words: list[bytes]) -> np.ndarray:
 
 
 def spaced(text: str) -> list[bytes]:
-    """The words of a text, split at ASCII white space, with the space before them that the vocabulary's pieces have."""
-    return [b" " + w for w in text.encode().split()]
+    """The runs of letters of a text, with the space before them that the vocabulary's pieces have."""
+    return [b" " + w.encode() for w in LETTERS.findall(text)]
 
 
 class Scorer:
