@@ -12,6 +12,7 @@ from pagemill.plans.catalog.registry import query
 from pagemill.plans.catalog.task_queries import PROGRESS_SQL, snapshots
 from pagemill.plans.fixtures import Inputs, duckdb_with
 from pagemill.session import shared_dir
+from pagemill.sources import store
 from pagemill.streaming import completion, streams
 
 
@@ -24,9 +25,11 @@ def _stream(i: Inputs, table: str):
 def _ready_units(i: Inputs):
     events = i._sql(fixtures.UNIT_EVENTS, events=_stream(i, "events"))
     # what a unit expects comes with its final event, so some units still wait
-    finals = events.where("kind = 'unit_final'").select("unit_id", (F.lit(15) + F.col("unit_id") % 6).alias("expected"))
-    counts = completion.new_region_counts(events.where("kind = 'region_done'"))
-    return completion.complete_units(counts, finals)
+    finals = events.where("kind = 'unit_final'").select("unit_id", "ts", (F.lit(15) + F.col("unit_id") % 6).alias("expected"))
+    # the events of the table lie in no order of time, so none may count as late
+    timed = {"time": "ts", "delay": "36500 days", "keep": "1 day"}
+    counts = completion.new_region_counts(events.where("kind = 'region_done'"), **timed)
+    return completion.complete_units(counts, finals, **timed)
 
 
 _READY = """ready as (select unit_id, 15+unit_id%6 as expected from fx_unit_events where kind='region_done'
@@ -51,6 +54,12 @@ def _(i: Inputs):
     ready = streams.run_available(_ready_units(i))
     ready.write.parquet(f"{folder}/ready")
     units = i.spark.readStream.schema(ready.schema).parquet(f"{folder}/ready")
+    tables = {"regions": i.regions(), "pages": i.doc_pages(), "crops": i.crops()}
+    for name, rows in tables.items():
+        store.write_units(rows, f"{folder}/{name}")
+
+    def load(name: str):
+        return lambda wanted: store.read_units(store.open_store(i.spark, f"{folder}/{name}", tables[name].schema), wanted)
 
     def write(documents, epoch: int) -> None:
         documents.select("unit_id", "part_page", "part_seq", "n_pages", "n_regions", "markdown").write.mode("overwrite").parquet(
@@ -59,15 +68,30 @@ def _(i: Inputs):
 
     streams.stream_finished_documents(
         units,
-        lambda wanted: i.regions().join(wanted, "unit_id", "left_semi"),
-        lambda wanted: i.doc_pages().join(wanted, "unit_id", "left_semi"),
+        load("regions"),
+        load("pages"),
         write,
         f"{folder}/state",
-        lambda wanted: i.crops().join(wanted, "unit_id", "left_semi"),
+        load("crops"),
     ).awaitTermination()
     return i.spark.read.parquet(f"{folder}/documents").drop("epoch")
 
 
+@query(
+    "regions_of_units",
+    duckdb_with(
+        ["fx_regions"],
+        "select unit_id, page_idx, idx, native_label, content, bx1, by1, bx2, by2 from fx_regions where unit_id in (select user_id from events where event_type = 'signup')",
+    ),
+)
+def _(i: Inputs):
+    path = f"{shared_dir(i.spark).rstrip('/')}/units-{uuid.uuid4().hex}"
+    regions = i.regions()
+    store.write_units(regions, path)
+    wanted = i.table("events").where("event_type = 'signup'").select(F.col("user_id").alias("unit_id"))
+    return store.read_units(store.open_store(i.spark, path, regions.schema), wanted)
+
+
 @query("stream_progress", PROGRESS_SQL)
 def _(i: Inputs):
     folder = f"{shared_dir(i.spark).rstrip('/')}/stream-{uuid.uuid4().hex}"

@@ -14,10 +14,12 @@ from pyspark.sql.types import IntegerType, LongType, StringType, StructField, St
 from pagemill.functions.source import is_document_path, sniff_kind
 from pagemill.operators import tasks
 from pagemill.session import shared_dir
-from pagemill.streaming.completion import ROCKSDB
+from pagemill.streaming.completion import ROCKSDB, milliseconds
 
 # --- fixed value: pages in flight, used as back-pressure ---------------------
 FILES_PER_TRIGGER = 100
+#: How long finished tasks are remembered.
+KEEP_TASKS = "7 days"
 
 
 def stream_documents(spark: SparkSession, path: str, files_per_trigger: int = FILES_PER_TRIGGER) -> DataFrame:
@@ -85,7 +87,13 @@ def _row(key, state) -> pd.DataFrame:
 
 
 class TaskState(StatefulProcessor):
-    """Latest state of a task; a lease that runs out moves it on by itself."""
+    """Latest state of a task; a lease that runs out moves it on by itself.
+
+    A finished task is forgotten ``keep_ms`` after its last update; open tasks stay.
+    """
+
+    def __init__(self, keep_ms: int):
+        self.keep_ms = keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -111,12 +119,20 @@ class TaskState(StatefulProcessor):
         self.state.update(current)
         if current[0] == tasks.PROCESSING and current[4] is not None:
             self.handle.registerTimer(int(current[4].timestamp() * 1000))
+        self.forget_later(current)
         yield _row(key, current)
 
+    def forget_later(self, current: tuple) -> None:
+        if current[0] in (*tasks.FINISHED, tasks.DEAD_LETTER):
+            self.handle.registerTimer(int(current[1].timestamp() * 1000) + self.keep_ms)
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         if not self.state.exists():
             return
         status, at, retries, most, lease = self.state.get()
+        if status in (*tasks.FINISHED, tasks.DEAD_LETTER):
+            self.state.clear()
+            return
         if status != tasks.PROCESSING or lease is None:
             return
         if retries < most:
@@ -125,6 +141,7 @@ class TaskState(StatefulProcessor):
         else:
             current = (tasks.DEAD_LETTER, lease, retries, most, lease)
         self.state.update(current)
+        self.forget_later(current)
         yield _row(key, current)
 
     def close(self) -> None:
@@ -136,10 +153,11 @@ def _latest_updates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame.sort_values("at", kind="stable").drop_duplicates("task_id", keep="last")
 
 
-def stream_task_state(updates: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def stream_task_state(updates: DataFrame, delay: str = "0 seconds", keep: str = KEEP_TASKS) -> DataFrame:
     """State of every task after each micro-batch of updates, lease timeouts included.
 
-    Leases are compared with the event-time watermark, so a replay gives the same result.
+    A finished task is forgotten ``keep`` after its last update; updates older than the watermark are left out, so none
+    of them can open it again. Leases are compared with the event-time watermark, so a replay gives the same result.
     """
     typed = updates.select(*[F.col(f.name).cast(f.dataType) for f in TASK_STATE.fields])
     # only the last update of a task counts, so of a batch only that one is shuffled
@@ -148,7 +166,7 @@ def stream_task_state(updates: DataFrame, delay: str = "0 seconds") -> DataFrame
         .withWatermark("at", delay)
         .groupBy("task_id")
         .transformWithStateInPandas(
-            statefulProcessor=TaskState(),
+            statefulProcessor=TaskState(milliseconds(updates.sparkSession, keep)),
             outputStructType=TASK_STATE,
             outputMode="Update",
             timeMode="EventTime",

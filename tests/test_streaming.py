@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from datetime import datetime, timedelta
 
+import numpy as np
+
+from pagemill.sources import store
 from pagemill.streaming import completion, streams
 
 
@@ -27,6 +30,66 @@ def test_completion_in_any_order(spark, tmp_path):
     assert sorted(rows) == [(1, 2), (2, 2), (3, 0)]  # each once; unit 4 still waits
 
 
+def test_intervals():
+    rng = np.random.default_rng(1)
+    for _ in range(200):
+        seen, ids = b"", set()
+        for _ in range(6):
+            add = np.unique(rng.integers(-20, 40, rng.integers(0, 15)))
+            seen, n = completion.add_to_intervals(seen, add)
+            assert n == len(set(add.tolist()) - ids)
+            ids |= set(add.tolist())
+            pairs = np.frombuffer(seen, np.int64).reshape(-1, 2).tolist()
+            assert sorted(k for a, b in pairs for k in range(a, b)) == sorted(ids)
+            assert all(b < c for (_, b), (c, _) in zip(pairs, pairs[1:]))  # neighbours are joined
+
+
+def test_state_is_forgotten_after_emission(spark, tmp_path):
+    at = lambda h: datetime(2024, 1, 1) + timedelta(hours=h)
+    far = [[(100 + h, 0, at(h))] for h in (60, 61)]  # later events, so that time passes
+    done = feed(
+        spark, tmp_path, "done", "unit_id bigint, region_id bigint, ts timestamp",
+        [[(1, k, at(0)) for k in range(500)], [(1, k, at(1)) for k in range(500)], [(2, 1, at(2)), (3, 7, at(2))], *far],
+    )
+    final = feed(
+        spark, tmp_path, "final", "unit_id bigint, expected bigint, ts timestamp",
+        [[(1, 500, at(1))], [(2, 1, at(2))], [(1, 500, at(3))], [(100 + h, 2, at(h)) for h in (60,)], [(100 + h, 2, at(h)) for h in (61,)]],
+    )
+    timed = {"time": "ts", "delay": "1 hour", "keep": "10 hours"}
+    counts = completion.new_region_counts(done, buckets=3, **timed)
+    ready = completion.complete_units(counts, final, **timed)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", completion.ROCKSDB)
+    try:
+        query = (
+            ready.writeStream.format("memory").queryName("told").option("checkpointLocation", str(tmp_path / "state"))
+            .trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    rows = [(r.unit_id, r.expected) for r in spark.table("told").collect()]
+    assert sorted(rows) == [(1, 500), (2, 1)]  # each once, replays or not; the others wait
+    last = [s["numRowsTotal"] for s in query.lastProgress["stateOperators"]]
+    most = [max(p["stateOperators"][k]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]) for k in range(2)]
+    # units 3, 160 and 161 wait; of the others no row is left, and of the buckets those of the last two events
+    assert all(now < before for now, before in zip(last, most)), (last, most)
+
+
+def test_store_prunes_folders(spark, tmp_path):
+    rows = spark.range(2000).selectExpr("id % 500 as unit_id", "id as n")
+    path = str(tmp_path / "store")
+    store.write_units(rows, path, slots=16)
+    store.write_units(spark.createDataFrame([(None, -1), (3, -2)], "unit_id bigint, n bigint"), path, slots=16)
+    stored = store.open_store(spark, path, rows.schema)
+    wanted = spark.createDataFrame([(3,), (3,), (77,), (9999,)], "unit_id bigint")
+    got = store.read_units(stored, wanted, slots=16)
+    assert got.columns == ["unit_id", "n"]
+    assert sorted(r.n for r in got.collect()) == [-2, 3, 77, 503, 577, 1003, 1077, 1503, 1577]
+    scan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(unit_slot" in scan or "PartitionFilters: [unit_slot" in scan, scan
+    assert store.read_units(stored, wanted.limit(0), slots=16).count() == 0
+
+
 def test_lease_timeout(spark, tmp_path):
     start = datetime(2024, 1, 1)
     at = lambda m: start + timedelta(minutes=m)
@@ -46,3 +109,22 @@ def test_lease_timeout(spark, tmp_path):
     assert latest[1] == ("pending", 1)
     assert latest[2] == ("dead_letter", 3)
     assert latest[3] == ("completed", 0)
+
+
+def test_finished_tasks_are_forgotten(spark, tmp_path):
+    at = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
+    schema = "task_id bigint, status string, at timestamp, retry_count int, max_retries int, lock_expires_at timestamp"
+    days = [[(k, "completed", at(d), 0, 3, None) for k in range(50)] for d in (0,)] + [[(100 + d, "pending", at(d), 0, 3, None)] for d in (3, 20, 21)]
+    updates = feed(spark, tmp_path, "tasks", schema, days)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", completion.ROCKSDB)
+    try:
+        query = (
+            streams.stream_task_state(updates, keep="5 days").writeStream.format("memory").queryName("task_states")
+            .option("checkpointLocation", str(tmp_path / "state")).outputMode("update").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    assert spark.table("task_states").count() == 53
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(rows) > 50 and rows[-1] < 20, rows
