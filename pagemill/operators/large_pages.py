@@ -1,9 +1,10 @@
 """Layout rules for pages with too many boxes for one array.
 
-The rules only ever relate boxes that overlap, so candidates come from an equi-join
-on grid cells. The grid has one level per power of two of box size: a box covers at
-most four cells of its own level, whatever the size of the page. Identical boxes are
-collapsed before the join, so a pile of copies produces no pairs.
+The rules only ever relate boxes that overlap, so boxes meet in the cells of a grid. The
+grid has one level per power of two of box size: a box covers at most four cells of its
+own level, whatever the size of the page. Suppression reads the boxes of a band of the
+page in order of their score; containment looks for one witness per box. Neither writes
+pairs of boxes, and neither takes rounds.
 """
 
 from __future__ import annotations
@@ -11,16 +12,19 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagemill import config
 from pagemill.functions import boxes
+from pagemill.operators import crowded
 from pagemill.operators.ordering import ChunkedOrder, before
 from pagemill.session import materialise
 
 PAGE = config.PAGE_KEYS
 TOP_LEVEL = 20  # 2**20 pixels, larger than any page side
+#: Pixels of a stripe of a page, where bands of boxes may be parted.
+STRIPE = 16
 Test = Callable[[Column], Column]
 
 
@@ -64,102 +68,122 @@ def overlapping(small: DataFrame, large: DataFrame, down: int, up: int | None) -
     return pairs.where((corner_x == F.col("_cx")) & (corner_y == F.col("_cy"))).select(*PAGE, "a", "b")
 
 
+def _bands(detections: DataFrame) -> DataFrame:
+    """Rows with ``_band``: boxes of different bands of a page do not touch.
+
+    A band ends at a stripe of the page that no box reaches into. What is ordered is a row per stripe of a page, not per
+    box, so its number depends on the height of pages only.
+    """
+    stripe = F.floor(F.col("y1") / STRIPE)
+    reach = F.greatest(stripe, F.floor((F.col("y2") + 1) / STRIPE))
+    rows = detections.withColumn("_stripe", stripe)
+    stripes = rows.groupBy(*PAGE, "_stripe").agg(F.max(reach).alias("_reach"))
+    down = Window.partitionBy(*PAGE).orderBy("_stripe")
+    above = F.max("_reach").over(down.rowsBetween(Window.unboundedPreceding, -1))
+    starts = stripes.withColumn("_starts", F.when(F.col("_stripe") > above, 1).otherwise(0))
+    bands = starts.select(*PAGE, "_stripe", F.sum("_starts").over(down).alias("_band"))
+    return rows.join(bands, [*PAGE, "_stripe"]).drop("_stripe")
+
+
 def nms(detections: DataFrame, iou_same: float, iou_other: float) -> DataFrame:
-    """Greedy suppression as rounds over the graph of conflicting boxes.
+    """Greedy suppression of each band of a page, its boxes read in order of their score.
 
-    A box without a live, better conflicting box is kept; boxes in conflict with a kept
-    one go. Repeating this until no conflict is left gives exactly the greedy result.
+    One sort, whatever the chains of overlaps: a box meets the kept boxes of its size in the cells around it, and a task
+    holds only what was kept. Polygons and other columns stay where they are.
     """
     lowest = min(iou_same, iou_other)
     if lowest > 1:
         return detections
-    copies = [*PAGE, "cls_id", *boxes.SIDES]
-    best = F.min(F.struct((-F.col("score")).alias("neg"), "det_id"))
-    first = (
-        detections.groupBy(*copies)
-        .agg(best.alias("rank"))
-        .select(*copies, F.col("rank.det_id").alias("det_id"), "rank")
-    )
-    first = materialise(first)
     # sides of boxes that reach the threshold differ by at most the factor 1/threshold
     levels = 1
     while 2.0**levels < 1 / lowest:
         levels += 1
-    threshold = F.when(F.col("a.cls_id") == F.col("b.cls_id"), F.lit(iou_same)).otherwise(F.lit(iou_other))
-    found = overlapping(first, first, levels, levels).where(
-        (F.col("b.rank") < F.col("a.rank")) & (boxes.iou(F.col("a"), F.col("b")) >= threshold)
-    )
-    edges = materialise(found.select(*PAGE, F.col("a.det_id").alias("low"), F.col("b.det_id").alias("high")))
-    gone: list[DataFrame] = []
-    while not edges.isEmpty():
-        waiting = edges.select(*PAGE, F.col("low").alias("high")).distinct()
-        winners = edges.join(waiting, [*PAGE, "high"], "left_anti").select(*PAGE, "high").distinct()
-        losers = materialise(edges.join(winners, [*PAGE, "high"]).select(*PAGE, "low").distinct())
-        gone.append(losers)
-        left = edges.join(losers, [*PAGE, "low"], "left_anti")
-        edges = materialise(left.join(losers.withColumnRenamed("low", "high"), [*PAGE, "high"], "left_anti"))
-    kept = first.select(*PAGE, "det_id")
-    if gone:
-        lost = reduce(DataFrame.unionByName, gone).withColumnRenamed("low", "det_id")
-        kept = kept.join(lost, [*PAGE, "det_id"], "left_anti")
+    keys = [*PAGE, "_band"]
+    ranked = _bands(detections.select(*PAGE, "det_id", "cls_id", (-F.col("score")).alias("_neg"), *boxes.SIDES))
+    in_order = ranked.repartition(*keys).sortWithinPartitions(*keys, "_neg", "det_id")
+    schema = detections.select(*PAGE, "det_id").schema
+    kept = in_order.mapInPandas(crowded.suppress(keys, iou_same, iou_other, levels, TOP_LEVEL), schema)
     return detections.join(kept, [*PAGE, "det_id"], "left_semi")
 
 
-def _contained(detections: DataFrame, preserved: Sequence[int]) -> tuple[DataFrame, list[str]]:
-    """Pairs ``a`` inside ``b`` of collapsed boxes, with a box inside its own copies."""
+def _witnesses(
+    detections: DataFrame, preserved: Sequence[int], conditions: Mapping[str, tuple[str, Test, Test, str]]
+) -> tuple[DataFrame, list[str]]:
+    """A row per shape that meets a condition, with a column 0 or 1 for each.
+
+    A condition ``(side, inner_ok, outer_ok, relation)`` holds for the ``inner`` or the ``outer`` box of a pair, some box
+    inside another one, that passes both tests and whose classes are the ``same``, ``other`` or ``any``. Copies are
+    collapsed first; a shape lies inside its own copies. Only whether there is such a pair is asked for, so pairs are
+    looked at in the cells of a grid until a witness is found and never written.
+    """
     shape = [*PAGE, "cls_id", *boxes.SIDES]
-    shapes = materialise(detections.groupBy(*shape).agg(F.count(F.lit(1)).alias("n")))
-    movable = shapes.where(~F.col("cls_id").isin(list(preserved))) if preserved else shapes
-    # a box is at most 1/0.8 times as long as the one that holds 0.8 of its area
-    pairs = overlapping(movable, shapes, 1, None).where(
-        boxes.is_contained(F.col("a"), F.col("b"), config.CONTAINED_RATIO)
-        & ~(_same(F.col("a"), F.col("b")) & (F.col("a.n") == 1))
+    movable = ~F.col("cls_id").isin(list(preserved)) if preserved else F.lit(True)
+    own = F.struct("cls_id", *boxes.SIDES)
+
+    def bits(test: int) -> Column:
+        return reduce(
+            lambda x, y: x + y, [F.when(c[test](own), 1 << k).otherwise(0) for k, c in enumerate(conditions.values())]
+        ).cast("bigint")
+
+    shapes = materialise(
+        detections.groupBy(*shape)
+        .agg(F.count(F.lit(1)).alias("n"), F.min("det_id").alias("det_id"))
+        .withColumns({"inner_bits": F.when(movable, bits(1)).otherwise(0), "outer_bits": bits(2)})
     )
-    return materialise(pairs), shape
-
-
-def _same(a: Column, b: Column) -> Column:
-    return reduce(lambda x, y: x & y, [a[c] == b[c] for c in ("cls_id", *boxes.SIDES)])
+    probes = shapes.where(F.col("inner_bits") != 0)
+    holders = shapes.where(F.col("outer_bits") != 0)
+    # a box is at most 1/0.8 times as long as the one that holds 0.8 of its area
+    levels = F.sequence(F.greatest(_level(probes) - 1, F.lit(0)), F.lit(TOP_LEVEL))
+    cell = [*PAGE, "_lv", "_cx", "_cy"]
+    filed = _in_cells(holders, F.array(_level(holders)))
+    probing = _in_cells(probes, levels).join(filed.select(*cell).distinct(), cell, "left_semi")
+    rows = probing.withColumn("probe", F.lit(True)).unionByName(filed.withColumn("probe", F.lit(False)))
+    sides = {side: sum(1 << k for k, c in enumerate(conditions.values()) if c[0] == side) for side in ("inner", "outer")}
+    relation = [c[3] for c in conditions.values()]
+    step = crowded.witnesses(cell, config.CONTAINED_RATIO, relation, sides["inner"], sides["outer"])
+    schema = shapes.select(*PAGE, "det_id", "inner_bits", "outer_bits").schema
+    found = rows.repartition(*cell).sortWithinPartitions(*cell).mapInPandas(step, schema)
+    either = F.bit_or(F.col("inner_bits").bitwiseOR(F.col("outer_bits")))
+    met = found.groupBy(*PAGE, "det_id").agg(either.alias("_met"))
+    flags = [(F.col("_met").bitwiseAND(F.lit(1 << k)) != 0).cast("int").alias(name) for k, name in enumerate(conditions)]
+    return shapes.select(*shape, "det_id").join(met, [*PAGE, "det_id"]).select(*shape, *flags), shape
 
 
-def _shapes_of(pairs: DataFrame, side: str, shape: list[str]) -> DataFrame:
-    return pairs.select(*PAGE, *[F.col(f"{side}.{c}").alias(c) for c in shape if c not in PAGE]).distinct()
+def _any(_: Column) -> Column:
+    return F.lit(True)
 
 
 def containment_flags(detections: DataFrame, preserved: Sequence[int], inner_ok: Test, outer_ok: Test) -> DataFrame:
-    pairs, shape = _contained(detections, preserved)
-    pairs = pairs.where(inner_ok(F.col("a")) & outer_ok(F.col("b")))
-    outer = _shapes_of(pairs, "b", shape).withColumn("_outer", F.lit(1))
-    inner = _shapes_of(pairs, "a", shape).withColumn("_inner", F.lit(1))
-    return (
-        detections.join(outer, shape, "left")
-        .join(inner, shape, "left")
-        .select(
-            *detections.columns,
-            F.coalesce("_outer", F.lit(0)).alias("contains_other"),
-            F.coalesce("_inner", F.lit(0)).alias("contained_by_other"),
-        )
+    conditions = {"_outer": ("outer", inner_ok, outer_ok, "any"), "_inner": ("inner", inner_ok, outer_ok, "any")}
+    met, shape = _witnesses(detections, preserved, conditions)
+    return detections.join(met, shape, "left").select(
+        *detections.columns,
+        F.coalesce("_outer", F.lit(0)).alias("contains_other"),
+        F.coalesce("_inner", F.lit(0)).alias("contained_by_other"),
     )
 
 
 def merge_boxes(detections: DataFrame, mode: str | Mapping[int, str], preserved: Sequence[int]) -> DataFrame:
     from pagemill.operators.geometry import split_modes
 
-    pairs, shape = _contained(detections, preserved)
-    inner = _shapes_of(pairs, "a", shape)
     if mode == "large":
-        dropped = inner
+        conditions = {"_held": ("inner", _any, _any, "any")}
+        drop = F.col("_held") == 1
     elif mode == "small":
-        dropped = _shapes_of(pairs, "b", shape).join(inner, shape, "left_anti")
+        conditions = {"_held": ("inner", _any, _any, "any"), "_holds": ("outer", _any, _any, "any")}
+        drop = (F.col("_holds") == 1) & (F.col("_held") == 0)
     else:
         large, small = split_modes(mode)
-        by_large = _shapes_of(pairs.where(F.col("b.cls_id").isin(large)), "a", shape)
-        outer = pairs.where(F.col("a.cls_id").isin(small))
-        other_class = _shapes_of(outer.where(F.col("a.cls_id") != F.col("b.cls_id")), "b", shape)
-        same_class = _shapes_of(outer.where(F.col("a.cls_id") == F.col("b.cls_id")), "b", shape)
-        by_small = other_class.unionByName(same_class.join(inner, shape, "left_anti"))
-        dropped = by_large.unionByName(by_small).distinct()
-    return detections.join(dropped, shape, "left_anti").select(*detections.columns)
+        is_large, is_small = (lambda b: b["cls_id"].isin(large)), (lambda b: b["cls_id"].isin(small))
+        conditions = {
+            "_held": ("inner", _any, _any, "any"),
+            "_by_large": ("inner", _any, is_large, "any"),
+            "_other": ("outer", is_small, _any, "other"),
+            "_same": ("outer", is_small, _any, "same"),
+        }
+        drop = (F.col("_by_large") == 1) | (F.col("_other") == 1) | ((F.col("_same") == 1) & (F.col("_held") == 0))
+    met, shape = _witnesses(detections, preserved, conditions)
+    return detections.join(met.where(drop).select(*shape), shape, "left_anti").select(*detections.columns)
 
 
 def reading_order(detections: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import uuid
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -158,3 +160,70 @@ def test_points_on_crowded_pages(spark):
     for limit in (2048, 5):
         got = {r.point_id: r.block_id for r in geometry.blocks_at_points(point_df, block_df, limit).collect()}
         assert got == wanted
+
+
+def chain(n):
+    """Every box overlaps the next one too much, so what stays depends on all boxes before it."""
+    return [(1, 0, k, 22, 1 - k / n, 3.0 * k, 0.0, 3.0 * k + 20, 30.0, 0) for k in range(n)]
+
+
+def pile(n, seed=1):
+    """Jittered boxes of one place, and a far group in a band of its own."""
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        x, y = rng.uniform(0, 6), rng.uniform(0, 6) + (500 if k % 5 == 0 else 0)
+        rows.append((1, 0, k, rng.choice([21, 22]), rng.random(), x, y, x + rng.uniform(90, 110), y + rng.uniform(90, 110), 0))
+    return rows
+
+
+def jobs_of(spark, build):
+    """How many Spark jobs it takes to build and collect."""
+    tracker = spark.sparkContext.statusTracker()
+    group = uuid.uuid4().hex
+    spark.sparkContext.setJobGroup(group, "counted")
+    try:
+        rows = build()
+        return rows, len(tracker.getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_long_chains_take_no_rounds(spark):
+    # thresholds so low that only every few boxes stay
+    rows = chain(5000)
+    kept, jobs = jobs_of(spark, lambda: keys(geometry.nms(detections(spark, rows), 0.6, 0.6)))
+    expected, last = [], None
+    for r in rows:
+        if last is None or (21 - (r[5] - last)) * 31 / (21 * 31 * 2 - (21 - (r[5] - last)) * 31) < 0.6:
+            expected.append(r[:3])
+            last = r[5]
+    assert kept == sorted(expected) and jobs < 20
+
+
+def test_jittered_pile(spark):
+    rows = pile(1500)
+    df = detections(spark, rows)
+    assert keys(geometry.nms(df, 0.6, 0.98, limit=5)) == brute_nms(rows, 0.6, 0.98)
+    large = pile(20_000)
+    kept, jobs = jobs_of(spark, lambda: keys(geometry.nms(detections(spark, large), 0.6, 0.98)))
+    assert 0 < len(kept) < 1000 and jobs < 20
+
+
+@pytest.mark.parametrize("mode", ["large", "small", {21: "small", 22: "large"}])
+def test_merge_of_a_jittered_pile(spark, mode):
+    df = detections(spark, pile(1500, 2))
+    assert keys(geometry.merge_boxes(df, mode, limit=5)) == keys(geometry.merge_boxes(df, mode))
+    flags = [keys(geometry.containment_flags(df, limit=n), "contains_other", "contained_by_other") for n in (5, 2048)]
+    assert flags[0] == flags[1]
+
+
+def test_pile_writes_no_pairs(spark):
+    from pagemill.operators import crowded
+
+    frame = detections(spark, pile(20_000)).toPandas()
+    frame = frame.assign(n=1, inner_bits=3, outer_bits=3, cell=0, probe=True).rename(columns={"page_idx": "page"})
+    both = pd.concat([frame, frame.assign(probe=False)])
+    step = crowded.witnesses(["unit_id", "page", "cell"], 0.8, ["any", "any"], 1, 2)
+    found = pd.concat(step(iter([both.iloc[:30_000], both.iloc[30_000:]])))
+    assert 20_000 < len(found) <= 40_000
