@@ -10,10 +10,11 @@ from pagemill.functions import source as source_functions
 from pagemill.operators import assemble, content, repair, sft
 from pagemill.plans.catalog.registry import query
 from pagemill.plans.catalog.text_queries import FORMATTED, SQL_WORD, sql_punctuation
-from pagemill.plans.documents import documents, on_pages, page_documents
+from pagemill.plans.documents import document_pages, documents, on_pages, page_documents
 from pagemill.plans.fixtures import Inputs, duckdb_with
 from pagemill.session import materialise, shared_dir
 from pagemill.sources import readers, sinks
+from pagemill.sources.document_files import write_document_pages
 
 PAGE = ["unit_id", "page_idx"]
 REGION = "unit_id, page_idx, idx, native_label, label, content"
@@ -171,14 +172,56 @@ from fx_doc_pages p left join (select r4.*, image_no from r4 left join images us
     ),
 )
 def _(i: Inputs):
-    docs = documents(i.regions(), i.doc_pages(), i.crops())
-    pages = docs.select("unit_id", "part_page", F.posexplode("json_result").alias("pos", "page"))
-    pages = pages.withColumn("page_idx", (F.col("part_page") + F.col("pos")).cast("int"))
-    return pages.select("unit_id", "page_idx", F.explode_outer("page").alias("r")).select(
-        "unit_id", "page_idx", "r.idx", "r.label", "r.content", "r.image_path"
+    pages = document_pages(i.regions(), i.doc_pages(), i.crops())
+    region = "array<struct<index: int, label: string, content: string, image_path: string>>"
+    return pages.select(*PAGE, F.explode_outer(F.from_json("page_json", region)).alias("r")).select(
+        *PAGE, F.col("r.index").alias("idx"), "r.label", "r.content", "r.image_path"
     )
 
 
+@query(
+    "document_files",
+    duckdb_with(
+        _VIEWS,
+        f"with {_TEXTS}\nselect unit_id, n_pages, n_regions, case when trim(markdown, ' ' || chr(10)) = '' then null else markdown end as markdown from docs",
+        True,
+    ),
+)
+def _(i: Inputs):
+    out = f"{shared_dir(i.spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    pages = document_pages(i.regions(), i.doc_pages(), i.crops())
+    named = pages.withColumns(
+        {"rel_dir": F.format_string("part %d", F.col("unit_id") % 10), "stem": F.format_string("doc_%d", "unit_id"), "raw_json": F.lit(None).cast("string")}
+    )
+    write_document_pages(named, out)
+
+    def files(kind: str):
+        read = i.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}").text(out, wholetext=True)
+        number = F.regexp_extract(F.input_file_name(), r"doc_(\d+)\.[a-z]+$", 1).cast("bigint")
+        return read.select(number.alias("unit_id"), F.col("value").alias(kind))
+
+    lists = F.from_json("json", "array<array<struct<index: int>>>")
+    found = files("json").withColumn("pages", lists).join(files("md"), "unit_id", "left")
+    counted = F.aggregate("pages", F.lit(0), lambda n, p: n + F.size(p))
+    return found.select("unit_id", F.size("pages").alias("n_pages"), counted.alias("n_regions"), F.col("md").alias("markdown"))
+
+
+_ONLY_FORMATTED = _TEXTS.replace("from r4 r left join images", "from r1 r left join images").replace("else content end", "else '<p>' || content || '</p>' end")
+
+
+@query(
+    "documents_by_formatter",
+    duckdb_with(_VIEWS, f"with {_ONLY_FORMATTED}\nselect unit_id, n_pages, n_regions, markdown from docs", True),
+)
+def _(i: Inputs):
+    def paragraphs(rows, order):
+        formatted = repair.format_regions(rows, order)
+        return formatted.withColumn("content", F.concat(F.lit("<p>"), "content", F.lit("</p>")))
+
+    docs = documents(i.regions(), i.doc_pages(), i.crops(), formatter=paragraphs)
+    return docs.select("unit_id", "n_pages", "n_regions", "markdown")
+
+
 @query(
     "number_images",
     duckdb_with(_VIEWS, f"with {_IMAGES}\nselect unit_id, page_idx, src as idx, cast(image_no as int) as image_no from images"),

@@ -12,20 +12,25 @@ from pyspark.sql import functions as F
 from pagemill.functions.source import sanitize_name
 
 
+def _region(r: Column, image_path: bool) -> Column:
+    fields = [
+        r["idx"].alias("index"),
+        r["label"].alias("label"),
+        r["content"].alias("content"),
+        F.array(r["bx1"], r["by1"], r["bx2"], r["by2"]).alias("bbox_2d"),
+        r["native_label"].alias("native_label"),
+    ]
+    return F.struct(*fields, r["image_path"].alias("image_path")) if image_path else F.struct(*fields)
+
+
+def page_json(regions: Column, image_path: bool = True) -> Column:
+    """The regions of a page, or of a piece of it, as a JSON list."""
+    return F.to_json(F.transform(regions, lambda r: _region(r, image_path)), {"ignoreNullFields": "false"})
+
+
 def region_json(pages: Column, image_path: bool = True) -> Column:
     """List of pages of regions as JSON text; absent content stays as null."""
-
-    def region(r: Column) -> Column:
-        fields = [
-            r["idx"].alias("index"),
-            r["label"].alias("label"),
-            r["content"].alias("content"),
-            F.array(r["bx1"], r["by1"], r["bx2"], r["by2"]).alias("bbox_2d"),
-            r["native_label"].alias("native_label"),
-        ]
-        return F.struct(*fields, r["image_path"].alias("image_path")) if image_path else F.struct(*fields)
-
-    shaped = F.transform(pages, lambda page: F.transform(page, region))
+    shaped = F.transform(pages, lambda page: F.transform(page, lambda r: _region(r, image_path)))
     return F.to_json(shaped, {"ignoreNullFields": "false"})
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import source
 from pagemill.operators import pages, seams
 from pagemill.sources import readers, sinks
+from pagemill.sources.document_files import write_document_pages
 from pagemill.streaming import streams
 
 
@@ -66,6 +67,48 @@ def test_document_files(spark, tmp_path):
     ]
 
 
+PAGES = "unit_id bigint, rel_dir string, stem string, page_idx int, fragment int, page_json string, raw_json string, page_text string"
+
+
+def test_one_file_per_document(spark, tmp_path):
+    region = lambda k: json.dumps({"index": k, "content": f"é {k}"})
+    rows = [(1, "long", "a", p, 0, f"[{region(p)}]", None, f"page {p}") for p in range(3000)]
+    crowded = [(1, "long", "a", 1500, f, "[" + ",".join(region(k) for k in range(f * 1000, f * 1000 + 1000)) + "]", None, f"piece {f}") for f in range(1, 5)]
+    rows += crowded
+    rows += [(2, None, "b", 0, 0, "[]", None, ""), (2, None, "b", 3, 0, "[]", None, " \n"), (3, "", "c", 0, 0, "[]", None, None)]
+    rows += [(3, "", "c", 1, 0, None, '[{"x": 1}]', "text"), (3, "", "c", 1, 1, "[]", '[{"x": 2}]', "more"), (3, "", "c", 7, 0, "[]", None, "end")]
+    df = spark.createDataFrame(rows, PAGES).repartition(5)
+    out = f"file://{tmp_path}/out"
+    for _ in range(2):  # writing again leaves the same files
+        write_document_pages(df, out)
+    names = sorted(str(p.relative_to(tmp_path / "out")) for p in (tmp_path / "out").rglob("*") if p.is_file() and p.suffix in (".json", ".md"))
+    assert names == ["b/b.json", "c/c.json", "c/c.md", "c/c_model.json", "long/a/a.json", "long/a/a.md"]
+    pages = json.loads((tmp_path / "out/long/a/a.json").read_text())
+    assert len(pages) == 3000 and [r["index"] for r in pages[1500]] == [1500, *range(1000, 5000)] and pages[7][0]["content"] == "é 7"
+    text = (tmp_path / "out/long/a/a.md").read_text()
+    assert text.startswith("page 0\n\npage 1\n\n") and "page 1500\n\npiece 1\n\npiece 2" in text and text.endswith("page 2999")
+    assert json.loads((tmp_path / "out/b/b.json").read_text()) == [[], []]
+    assert json.loads((tmp_path / "out/c/c_model.json").read_text()) == [[], [{"x": 1}, {"x": 2}], []]
+    assert (tmp_path / "out/c/c.md").read_text() == "\n\ntext\n\nmore\n\nend"
+    assert (tmp_path / "out/_SUCCESS").exists() and not list((tmp_path / "out/_temporary").iterdir())
+    failing = df.withColumn("page_text", F.when(F.col("page_idx") == 2000, F.raise_error(F.lit("stop"))).otherwise(F.col("page_text")))
+    with pytest.raises(Exception, match="stop"):
+        write_document_pages(failing, f"{tmp_path}/failed")
+    assert not (tmp_path / "failed/_SUCCESS").exists() and not (tmp_path / "failed/long").exists()
+
+
+def test_pages_of_any_size(spark):
+    from pagemill.plans.documents import document_pages
+
+    rows = [(1, p, k, "text", f"word {p} {k}", 1, 2, 3, 4) for p, n in ((0, 2), (2, 5000)) for k in range(n)]
+    regions = spark.createDataFrame(rows, "unit_id bigint, page_idx int, idx int, native_label string, content string, bx1 int, by1 int, bx2 int, by2 int")
+    pages = spark.createDataFrame([(1, p) for p in range(3)], "unit_id bigint, page_idx int")
+    got = document_pages(regions, pages).orderBy("page_idx", "fragment").collect()
+    assert [(r.page_idx, r.fragment) for r in got] == [(0, 0), (1, 0), (2, 0), (2, 1)]
+    assert [r["index"] for part in got[2:] for r in json.loads(part.page_json)] == list(range(5000))
+    assert got[1].page_json == "[]" and got[1].page_text == "" and got[0].page_text == "word 0 0\n\nword 0 1"
+
+
 def test_crops(spark, folder):
     image = spark.read.format("image").load(str(folder / "in" / "a.PNG"))
     images = image.select(F.lit(1).cast("bigint").alias("unit_id"), F.lit(0).alias("page_idx"), "image")
