@@ -232,43 +232,52 @@ def is_plausible_word(word: Column, frequency: Column | None = None) -> Column:
 
 # --- image references in Markdown -------------------------------------------
 
-_REFERENCE = r"!\[\]\(page=\d+,bbox=\[[\d,\s]+\]\)"
+REFERENCE = r"!\[\]\(page=\d+,bbox=\[[\d,\s]+\]\)"
+
+
+def reference_page(ref: Column) -> Column:
+    """The page that an image reference names."""
+    return F.regexp_extract(ref, r"page=(\d+)", 1).try_cast("int")
+
+
+def scaled_reference(ref: Column, page: Column, width: Column, height: Column) -> Column:
+    """An image reference with its box in thousandths of the page; as it is without page size or four numbers."""
+    raw = F.regexp_extract(ref, r"bbox=\[([\d,\s]+)\]", 1)
+    numbers = F.transform(F.split(raw, ","), lambda n: strip(n).try_cast("double"))
+    parsed = F.struct(
+        page.alias("page"), numbers.alias("numbers"), width.alias("width"), height.alias("height"), ref.alias("ref")
+    )
+    return bind(parsed, _scaled)
+
+
+def _scaled(parsed: Column) -> Column:
+    numbers, width, height = parsed["numbers"], parsed["width"], parsed["height"]
+    sides = F.transform(
+        numbers,
+        lambda side, i: F.bround(side * 1000 / F.when(i % 2 == 0, width).otherwise(height)).cast("bigint").cast("string"),
+    )
+    usable = (F.size(numbers) == 4) & ~F.exists(numbers, lambda n: n.isNull()) & (width > 0) & (height > 0)
+    joined = F.concat(
+        F.lit("![](page="), parsed["page"].cast("string"), F.lit(",bbox=["), F.array_join(sides, ", "), F.lit("])")
+    )
+    return F.when(F.coalesce(usable, F.lit(False)), joined).otherwise(parsed["ref"])
 
 
 def rewrite_image_refs(markdown: Column, page_sizes: Column) -> Column:
     """Bring the boxes of image references to thousandths of their page.
 
-    ``page_sizes`` is an array of ``struct(width, height)``. References to unknown
+    ``page_sizes`` is an array of ``struct(width, height)``; for documents of very many pages see
+    :func:`pagemill.operators.tags.rewrite_references`. References to unknown
     pages, pages without size or with other than four numbers stay.
     """
 
     def rewritten(ref: Column) -> Column:
-        page = F.regexp_extract(ref, r"page=(\d+)", 1).try_cast("int")
-        raw = F.regexp_extract(ref, r"bbox=\[([\d,\s]+)\]", 1)
-        numbers = F.transform(F.split(raw, ","), lambda n: strip(n).try_cast("double"))
-        parsed = F.struct(
-            page.alias("page"), numbers.alias("numbers"), F.get(page_sizes, page).alias("size"), ref.alias("ref")
-        )
-        return bind(parsed, scaled)
-
-    def scaled(parsed: Column) -> Column:
-        numbers, size = parsed["numbers"], parsed["size"]
-        sides = F.transform(
-            numbers,
-            lambda side, i: F.bround(side * 1000 / F.when(i % 2 == 0, size["width"]).otherwise(size["height"]))
-            .cast("bigint")
-            .cast("string"),
-        )
-        usable = (F.size(numbers) == 4) & ~F.exists(numbers, lambda n: n.isNull())
-        usable = usable & (size["width"] > 0) & (size["height"] > 0)
-        joined = F.concat(
-            F.lit("![](page="), parsed["page"].cast("string"), F.lit(",bbox=["), F.array_join(sides, ", "), F.lit("])")
-        )
-        return F.when(F.coalesce(usable, F.lit(False)), joined).otherwise(parsed["ref"])
+        size = F.get(page_sizes, reference_page(ref))
+        return scaled_reference(ref, reference_page(ref), size["width"], size["height"])
 
     # the text between references, each piece but the first behind its reference
-    between = F.split(markdown, _REFERENCE, -1)
-    refs = F.concat(F.array(F.lit("")), F.transform(F.regexp_extract_all(markdown, F.lit(_REFERENCE), F.lit(0)), rewritten))
+    between = F.split(markdown, REFERENCE, -1)
+    refs = F.concat(F.array(F.lit("")), F.transform(F.regexp_extract_all(markdown, F.lit(REFERENCE), F.lit(0)), rewritten))
     joined = F.array_join(F.zip_with(refs, between, lambda ref, text: F.concat(ref, text)), "")
     touched = markdown.contains("![](page=") & (F.size(page_sizes) > 0)
     return F.when(F.coalesce(touched, F.lit(False)), joined).otherwise(markdown)

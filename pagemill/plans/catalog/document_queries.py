@@ -12,6 +12,7 @@ from pagemill.plans.catalog.registry import query
 from pagemill.plans.catalog.text_queries import FORMATTED, SQL_WORD, sql_punctuation
 from pagemill.plans.documents import document_pages, documents, on_pages, page_documents
 from pagemill.plans.fixtures import Inputs, duckdb_with
+from pagemill.plans.service import service_results
 from pagemill.session import materialise, shared_dir
 from pagemill.sources import readers, sinks
 from pagemill.sources.document_files import write_document_pages
@@ -512,3 +513,71 @@ def _(i: Inputs):
         F.col("messages")[0]["content"].alias("question"),
         F.col("messages")[1]["content"].alias("answer"),
     )
+
+
+# --- the service path --------------------------------------------------------
+
+# Markdown names every region of an image in pixels; two thirds of the pages can be cropped
+_SERVICE_VIEWS = ["fx_regions", "fx_doc_pages"]
+_SERVICE = """boxes as (select r.*, cast(round_even(bx1*1000.0::double/width, 0) as int) as nx1, cast(round_even(by1*1000.0::double/height, 0) as int) as ny1,
+  cast(round_even(bx2*1000.0::double/width, 0) as int) as nx2, cast(round_even(by2*1000.0::double/height, 0) as int) as ny2,
+  r.native_label = 'image' and (unit_id+page_idx)%3 <> 0 as cropped from fx_regions r join fx_doc_pages p using (unit_id, page_idx)),
+shown as (select *, cast(count(*) filter (where cropped) over (partition by unit_id order by page_idx, idx) - 1 as varchar(20)) as image_no from boxes)"""
+
+
+def _service_responses(i: Inputs):
+    box = F.array(*BOX)
+    image = F.col("native_label") == "image"
+    tag = F.concat(F.lit("![](page="), F.col("page_idx").cast("string"), F.lit(",bbox=["), F.concat_ws(",", *BOX), F.lit("])"))
+    region = F.struct(
+        F.col("idx").alias("index"), F.col("native_label").alias("label"), "content", box.alias("bbox_2d")
+    )
+    piece = F.when(image, tag).otherwise(F.coalesce("content", F.lit("")))
+    by_page = i.regions().groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("idx", region.alias("r"), piece.alias("t")))).alias("rows"))
+    pages = i.doc_pages().join(by_page, PAGE, "left")
+    empty = F.array().cast(by_page.schema["rows"].dataType)
+    whole = pages.groupBy("unit_id").agg(
+        F.sort_array(F.collect_list(F.struct("page_idx", "width", "height", F.coalesce("rows", empty).alias("rows")))).alias("pages")
+    )
+    response = F.struct(
+        F.transform("pages", lambda p: F.transform(p["rows"], lambda r: r["r"])).alias("layout_details"),
+        F.array_join(F.flatten(F.transform("pages", lambda p: F.transform(p["rows"], lambda r: r["t"]))), "\n").alias("md_results"),
+        F.struct(F.transform("pages", lambda p: F.struct(p["width"].alias("width"), p["height"].alias("height"))).alias("pages")).alias("data_info"),
+        F.struct(F.col("unit_id").alias("total_tokens")).alias("usage"),
+    )
+    return whole.select("unit_id", F.to_json(response, {"ignoreNullFields": "false"}).alias("response"))
+
+
+@query(
+    "service_results",
+    duckdb_with(
+        _SERVICE_VIEWS,
+        f"""with {_SERVICE},
+texts as (select unit_id, string_agg(case when native_label <> 'image' then coalesce(content, '')
+    when cropped then '![Image ' || page_idx || '-' || image_no || '](imgs/cropped_page' || page_idx || '_idx' || image_no || '.jpg)'
+    else '![](page=' || page_idx || ',bbox=[' || nx1 || ', ' || ny1 || ', ' || nx2 || ', ' || ny2 || '])' end, chr(10) order by page_idx, idx) as markdown
+  from shown group by unit_id),
+sizes as (select unit_id, cast(count(*) as int) as n_pages, cast(max(width) as int) as widest from fx_doc_pages group by unit_id)
+select unit_id, n_pages, markdown, unit_id as total_tokens, widest from texts join sizes using (unit_id)""",
+    ),
+)
+def _(i: Inputs):
+    results, _ = service_results(_service_responses(i), i.doc_pages().where("(unit_id + page_idx) % 3 <> 0"))
+    widths = F.from_json("data_info", "struct<pages: array<struct<width: int>>>")["pages"]["width"]
+    tokens = F.get_json_object("usage", "$.total_tokens").cast("bigint")
+    return results.select("unit_id", "n_pages", "markdown", tokens.alias("total_tokens"), F.array_max(widths).alias("widest"))
+
+
+@query(
+    "service_regions",
+    duckdb_with(
+        _SERVICE_VIEWS,
+        f"""with {_SERVICE}
+select unit_id, cast(page_idx as int) as page_idx, cast(idx as int) as idx, native_label as label, coalesce(content, '') as content, nx1, ny2,
+  case when cropped then 'imgs/cropped_page' || page_idx || '_idx' || image_no || '.jpg' end as image_path from shown""",
+    ),
+)
+def _(i: Inputs):
+    _, regions = service_results(_service_responses(i), i.doc_pages().where("(unit_id + page_idx) % 3 <> 0"))
+    box = F.col("bbox_2d")
+    return regions.select(*PAGE, "idx", "label", "content", box[0].alias("nx1"), box[3].alias("ny2"), "image_path")
