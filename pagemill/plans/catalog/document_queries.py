@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from pagemill.functions import source as source_functions
-from pagemill.operators import assemble, content, repair, sft
+from pagemill.operators import assemble, content, repair, sampling, sft
 from pagemill.plans.catalog.registry import query
 from pagemill.plans.catalog.text_queries import FORMATTED, SQL_WORD, sql_punctuation
 from pagemill.plans.documents import document_pages, documents, on_pages, page_documents
@@ -515,6 +515,30 @@ def _(i: Inputs):
     )
 
 
+_KEY = "unit_id || '-' || page_idx || '-' || idx"
+
+
+@query(
+    "sample_n",
+    duckdb_with(["fx_regions"], f"select unit_id, page_idx, idx, content from fx_regions order by md5('7:' || {_KEY}) limit 500"),
+)
+def _(i: Inputs):
+    rows = i.regions().select("unit_id", "page_idx", "idx", "content")
+    return sampling.sample_n(rows, 500, F.concat_ws("-", "unit_id", "page_idx", "idx"), seed=7)
+
+
+@query(
+    "truncate_tokens",
+    duckdb_with(
+        [],
+        r"""with cut as (select doc_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda t: t <> '') as tokens from documents)
+select doc_id, case when len(tokens) > 100 then array_to_string(tokens[1:100], ' ') else text end as text from cut""",
+    ),
+)
+def _(i: Inputs):
+    return i.table("documents").select("doc_id", sampling.truncate_tokens(F.col("text"), 100).alias("text"))
+
+
 # --- the service path --------------------------------------------------------
 
 # Markdown names every region of an image in pixels; two thirds of the pages can be cropped
