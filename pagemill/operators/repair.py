@@ -18,6 +18,7 @@ from pagemill.functions import text
 from pagemill.functions.strings import drop_last, is_blank, lstrip, rstrip
 from pagemill.operators import content as content_rules
 from pagemill.operators.ordering import WindowOrder, before, upto
+from pagemill.session import materialise
 
 PAGE = config.PAGE_KEYS
 PAGE_ORDER = WindowOrder(PAGE, "idx")
@@ -138,13 +139,20 @@ def merge_hyphenated(
 
 
 def _with_frequency(rows: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Look joined words up in a table ``(word, zipf)``."""
+    """Look joined words up in a table ``(word, zipf)`` of any size.
+
+    Only the distinct words that occur are looked up: they prune the lexicon, and what is found of them, far less than
+    either table, is what meets the rows. It is broadcast only where it was counted to be small.
+    """
+    token = F.lower(F.col("_word"))
+    asked = rows.where(F.col("_word").isNotNull()).select(token.alias("_token")).distinct()
     words = lexicon.groupBy(F.col("word").alias("_token")).agg(F.max("zipf").alias("_frequency"))
-    small = lexicon.limit(config.BROADCAST_ROWS + 1).count() <= config.BROADCAST_ROWS
+    found = materialise(words.join(asked, "_token", "left_semi"))
+    if found.count() <= config.BROADCAST_ROWS:
+        return rows.withColumn("_token", token).join(F.broadcast(found), "_token", "left").drop("_token")
     # rows without a word get a key of their own, so they do not meet in one task
     nobody = F.concat(F.lit("\u0001"), F.xxhash64(*PAGE, "idx").cast("string"))
-    keyed = rows.withColumn("_token", F.coalesce(F.lower(F.col("_word")), nobody))
-    return keyed.join(F.broadcast(words) if small else words, "_token", "left").drop("_token")
+    return rows.withColumn("_token", F.coalesce(token, nobody)).join(found, "_token", "left").drop("_token")
 
 
 def infill_bullets(

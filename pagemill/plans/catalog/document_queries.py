@@ -84,6 +84,32 @@ def _(i: Inputs):
     return rows.select(*PAGE, "idx", "native_label", "label", "content")
 
 
+# the words that hyphens part, each with a frequency by its length: about half of them count as words
+_LEXICON = r"""lexicon as (select distinct word, 2.0 + length(word)%2 as zipf from (
+  select lower(regexp_extract(a.line, '(\S+)\s*$', 1) || regexp_extract(b.line, '^\s*(\S+)', 1)) as word
+  from fx_lines a join fx_lines b on a.doc_id = b.doc_id and a.pos + 1 = b.pos) t where word <> '')"""
+
+
+@query(
+    "merge_hyphenated_with_lexicon",
+    _repair_sql(
+        _LEXICON,
+        _R1,
+        _R2,
+        _R3.replace(SQL_WORD.format("word"), "exists (select 1 from lexicon l where l.word = joined.word and l.zipf >= 2.5)"),
+        last="r3",
+    ),
+)
+def _(i: Inputs):
+    lines = i.lines()
+    after = lines.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("line").alias("next"))
+    ends = [F.regexp_extract("line", r"(\S+)\s*$", 1), F.regexp_extract("next", r"^\s*(\S+)", 1)]
+    words = lines.join(after, ["doc_id", "pos"]).select(F.lower(F.concat(*ends)).alias("word")).where("word <> ''").distinct()
+    lexicon = words.withColumn("zipf", F.lit(2.0) + F.length("word") % 2)
+    rows = on_pages(i.regions(), lambda df, o: repair.repair_regions(df, o, bullets=False, lexicon=lexicon))
+    return rows.select(*PAGE, "idx", "native_label", "label", "content")
+
+
 @query("infill_bullets", _repair_sql(_R1, _R2, _R3, _R4, last="r4"))
 def _(i: Inputs):
     return on_pages(i.regions(), repair.repair_regions).select(*PAGE, "idx", "native_label", "label", "content")

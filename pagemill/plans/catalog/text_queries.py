@@ -374,7 +374,7 @@ def _(i: Inputs):
     "is_plausible_word_with_lexicon",
     duckdb_with(
         ["fx_lines"],
-        """with words as (select lower(w) as w, count(*) as n from (select unnest(string_split(line, ' ')) as w from fx_lines) t where w <> '' group by 1),
+        """with words as materialized (select lower(w) as w, count(*) as n from (select unnest(string_split(line, ' ')) as w from fx_lines) t where w <> '' group by 1),
 lexicon as (select w, log10(n)+1 as zipf from words where n >= 3)
 select words.w, n, coalesce(zipf >= 2.5, false) as ok from words left join lexicon using (w)""",
     ),
