@@ -9,6 +9,7 @@ words together. Words are runs of letters and their marks: digits, signs and jun
 from __future__ import annotations
 
 import base64
+import hashlib
 import re
 from collections import Counter
 from dataclasses import dataclass
@@ -161,9 +162,14 @@ def word_scores(pieces: Pieces, model: Model, words: list[bytes]) -> np.ndarray:
     return out
 
 
-def spaced(text: str) -> list[bytes]:
-    """The runs of letters of a text, with the space before them that the vocabulary's pieces have."""
-    return [b" " + w.encode() for w in LETTERS.findall(text)]
+def words_of(text: str) -> list[str]:
+    """The runs of letters of a text."""
+    return LETTERS.findall(text)
+
+
+def spaced(words: list[str]) -> list[bytes]:
+    """Words with the space before them that the vocabulary's pieces have."""
+    return [b" " + w.encode() for w in words]
 
 
 class Scorer:
@@ -171,22 +177,22 @@ class Scorer:
 
     def __init__(self, pieces: Pieces, model: Model):
         self.pieces, self.model = pieces, model
-        self.known: dict[bytes, int] = {}
+        self.known: dict[str, int] = {}
         self.scores = np.zeros((0, len(model.langs)))
 
     def log_odds(self, texts: list[str]) -> np.ndarray:
         """Log of prior times likelihood of every text in every language."""
-        words = [spaced(t) for t in texts]
+        words = [words_of(t) for t in texts]
         if len(self.known) > MEMO_WORDS:
             self.known, self.scores = {}, self.scores[:0]
-        new = list({w for doc in words for w in doc if w not in self.known})
+        new = list(set().union(*words).difference(self.known))
         if new:
-            self.known |= {w: k for k, w in enumerate(new, len(self.known))}
-            self.scores = np.concatenate([self.scores, word_scores(self.pieces, self.model, new)])
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+            self.scores = np.concatenate([self.scores, word_scores(self.pieces, self.model, spaced(new))])
         out = np.tile(np.log(self.model.prior), (len(texts), 1))
         for k, doc in enumerate(words):
             if doc:
-                out[k] += self.scores[[self.known[w] for w in doc]].sum(axis=0)
+                out[k] += self.scores[list(map(self.known.__getitem__, doc))].sum(axis=0)
         return out
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -225,7 +231,7 @@ def counted_words(docs: DataFrame, lang_col: str, text_col: str) -> DataFrame:
 
         for b in slices(batches, "text_"):
             for lang, text in zip(b.column("lang_").to_pylist(), b.column("text_").to_pylist()):
-                for w in spaced(text):
+                for w in spaced(words_of(text)):
                     for k in range(0, len(w), FIT_BYTES):
                         total[lang, w[k : k + FIT_BYTES]] += 1
             if len(total) > COUNTED_WORDS:
@@ -270,8 +276,8 @@ def fit(
     shares = [(la, min(1.0, fit_docs / share[la])) for la in langs]
     chance = spark.createDataFrame(shares, "lang_ string, chance_ double")
     draw = F.pmod(F.xxhash64(F.col(id_col), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
-    # a row per language on the right side
-    chosen = known.join(chance, known[lang_col] == chance["lang_"]).filter(draw < F.col("chance_")).drop("lang_", "chance_")
+    # a row per language, far smaller than the model that every task holds; a shuffle of texts by language is spared
+    chosen = known.join(F.broadcast(chance), known[lang_col] == chance["lang_"]).filter(draw < F.col("chance_")).drop("lang_", "chance_")
     words = stored(counted_words(chosen.select(lang_col, text_col), lang_col, text_col))
     number = {la: k for k, la in enumerate(langs)}
     p = np.full((n_pieces, len(langs)), 1.0 / n_pieces)
@@ -312,10 +318,13 @@ def identify(
     are ignored.
     """
     source, key = read_vocabulary(docs.sparkSession, path)
-    shared = docs.sparkSession.sparkContext.broadcast(model or fit(docs, path, id_col, text_col, lang_col))
+    model = model or fit(docs, path, id_col, text_col, lang_col)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = hashlib.sha256(repr((key, model.langs)).encode() + model.prior.tobytes() + model.p.tobytes()).hexdigest()
 
     def run(batches):
-        scorer = Scorer(kept(f"pieces{key}", lambda: Pieces(source.value)), shared.value)
+        # words that a worker has met in an earlier task are known already
+        scorer = kept(f"scorer{own}", lambda: Scorer(kept(f"pieces{key}", lambda: Pieces(source.value)), shared.value))
         for b in slices(batches, "text_"):
             names, sure = scorer.predict(b.column("text_").to_pylist())
             arrays = [b.column("doc_id"), b.column("held_out"), pa.array(names, pa.string()), pa.array(sure, pa.float64())]
