@@ -247,9 +247,10 @@ class Suffixes:
 def compare(c: Contexts, length: int, gram: int) -> Iterator[np.ndarray]:
     """Spans of strings of ``length`` bytes around equal anchors that a smaller document has too.
 
-    Only anchors with several documents are looked at. For each offset of the anchor in the string the suffixes that
-    begin there are sorted, and equal strings find each other; all but those of their smallest document are covered.
-    Bytes are compared before two strings count as equal.
+    Only anchors with several documents are looked at. For each offset of the anchor in the string, the strings whose
+    hash several documents have are sorted as suffixes, and equal ones find each other; all but those of their smallest
+    document are covered. Strings are dealt by their hash, so one anchor with very many surroundings is worked on in
+    parts of bounded size. Bytes are compared before two strings count as equal.
     """
     order = np.argsort(c.anchor, kind="stable")
     starts = group_starts(c.anchor[order])
@@ -259,28 +260,82 @@ def compare(c: Contexts, length: int, gram: int) -> Iterator[np.ndarray]:
     group = by_group(starts, len(order))
     keep = (low != high)[group]
     order, group = order[keep], group[keep]
-    before, width = length - gram, c.rows.shape[1]
-    per = max(1, SORTED // (before + 1))
+    offsets = length - gram + 1
+    per = max(1, SORTED // offsets)
     done = 0
     while done < len(order):
         stop = min(done + per, len(order))
-        if stop < len(order):  # a group stays together
+        if stop < len(order):  # a group stays together, a large one goes by few offsets at a time
             stop = int(np.searchsorted(group, group[stop - 1], side="right"))
         part, number = order[done:stop], group[done:stop]
-        flat = c.rows[part].reshape(-1)
-        row = np.repeat(np.arange(len(part)), before + 1)
-        offset = np.tile(np.arange(before + 1), len(part))
-        whole = (offset <= c.left[part][row]) & (length - offset <= c.right[part][row])
-        row, offset = row[whole], offset[whole]
-        by = np.lexsort((row, offset, number[row]))
-        row, offset = row[by], offset[by]
-        segment = number[row] * (before + 1) + offset
-        suffixes = Suffixes(flat, row * width + before - offset, length)
-        _, joined = suffixes.sort(segment)
-        yield covered(c, part, suffixes, joined, row, offset, length)
+        at_once = max(1, SORTED // len(part))
+        for first in range(0, offsets, at_once):
+            row, offset, key = repeated_strings(c, part, number, range(first, min(first + at_once, offsets)), length, gram)
+            for piece in pieces(key, c.doc[part][row], SORTED // 4):
+                yield from sorted_strings(c, part, number, row[piece], offset[piece], length, gram)
         done = stop
 
 
+def repeated_strings(c: Contexts, part, number, offsets: range, length: int, gram: int):
+    """Row, offset and key of the strings that occur in several documents by their hash; equal strings have equal keys."""
+    before, width = length - gram, c.rows.shape[1]
+    found = []
+    for k in range(0, len(part), BLOCK):
+        rows = part[k : k + BLOCK]
+        sums = PrefixHash(c.rows[rows].reshape(-1))
+        for offset in offsets:
+            own = np.flatnonzero((offset <= c.left[rows]) & (length - offset <= c.right[rows]))
+            at = own * width + before - offset
+            salt = mix((number[k + own] * (before + 1) + offset).astype(np.uint64))
+            found.append((k + own, np.full(len(own), offset), mix(sums.of(at, at + length) ^ salt)))
+    row, offset, key = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(key, kind="stable")
+    starts = group_starts(key[order])
+    if not len(starts):
+        return row, offset, key
+    doc = c.doc[part][row[order]]
+    several = np.minimum.reduceat(doc, starts) != np.maximum.reduceat(doc, starts)
+    order = order[several[by_group(starts, len(order))]]
+    return row[order], offset[order], key[order]
+
+
+def pieces(key: np.ndarray, doc: np.ndarray, most: int) -> Iterator[np.ndarray]:
+    """Numbers of sorted keys in pieces of about ``most`` that keep equal keys together.
+
+    A key with more entries goes in several pieces, each with an entry of its smallest document in front.
+    """
+    starts = group_starts(key)
+    stops = np.append(starts[1:], len(key))
+    held, size = [], 0
+    for a, b in zip(starts.tolist(), stops.tolist()):
+        if b - a > most:
+            head = a + int(np.argmin(doc[a:b]))
+            for k in range(a, b, most):
+                yield np.unique(np.append(np.arange(k, min(k + most, b)), head))
+            continue
+        if size + b - a > most and held:
+            yield np.concatenate(held)
+            held, size = [], 0
+        held.append(np.arange(a, b))
+        size += b - a
+    if held:
+        yield np.concatenate(held)
+
+
+def sorted_strings(c: Contexts, part, number, row, offset, length: int, gram: int) -> Iterator[np.ndarray]:
+    """Spans that the suffix sort of some strings finds covered."""
+    before = length - gram
+    by = np.lexsort((row, offset, number[row]))
+    row, offset = row[by], offset[by]
+    flat = np.empty((len(row), length), np.uint8)
+    for k in range(0, len(row), BLOCK):
+        at = before - offset[k : k + BLOCK, None] + np.arange(length)
+        flat[k : k + BLOCK] = c.rows[part[row[k : k + BLOCK], None], at]
+    suffixes = Suffixes(flat.reshape(-1), np.arange(len(row)) * length, length)
+    _, joined = suffixes.sort(number[row] * (before + 1) + offset)
+    yield covered(c, part, suffixes, joined, row, offset, length)
+
+
 def covered(c: Contexts, part, suffixes: Suffixes, joined, row, offset, length: int) -> np.ndarray:
     """Spans of the strings that have joined one of a smaller document, or been joined by one."""
     mine = np.flatnonzero(joined != np.arange(len(joined)))

@@ -110,3 +110,38 @@ def test_query_whole_table(spark):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     got = catalog.QUERIES["op3_suffix_sort"](spark, SF).collect()
     assert {r.doc_id: tuple(r) for r in got} == brute(docs)[0]
+
+
+def surroundings(n, seed=3):
+    """One gram with ``n`` surroundings that differ, parts of which are shared."""
+    rng = np.random.default_rng(seed)
+    gram, length = 24, 50
+    before, after = (rng.integers(97, 123, (n, 26), dtype=np.uint8) for _ in range(2))
+    for k in range(0, n - 1, 7):  # the end of what is before it, and the start of what is after it
+        cut = int(rng.integers(0, 27))
+        before[k + 1, cut:], after[k + 1, : 27 - cut] = before[k, cut:], after[k, : 27 - cut]
+    rows = np.hstack([before, np.full((n, gram), ord("#"), np.uint8), after])
+    full = np.full(n, 26, np.int64)
+    doc = rng.permutation(n).astype(np.int64)
+    zero = np.zeros(n, np.uint64)
+    return suffix_dedup.Contexts(zero, np.arange(n).astype(np.uint64), doc, np.full(n, 100), full, full + gram, rows)
+
+
+def test_one_anchor_with_many_surroundings(monkeypatch):
+    for n, at_once in ((400, 900), (400, 400_000), (60_000, 400_000)):
+        monkeypatch.setattr(suffix_dedup, "SORTED", at_once)
+        c = surroundings(n)
+        found = [s for part in suffix_dedup.compare(c, 50, 24) for s in part.tolist()]
+        first, expected = {}, set()
+        order = np.argsort(c.doc)
+        for k in order:
+            raw = c.rows[k].tobytes()
+            for offset in range(27):
+                if first.setdefault((offset, raw[26 - offset : 76 - offset]), c.doc[k]) != c.doc[k]:
+                    expected.add((int(c.doc[k]), 100 - offset, 150 - offset))
+        assert set(map(tuple, found)) == expected and expected
+    # one string that all of them have
+    c.rows[:] = c.rows[0]
+    monkeypatch.setattr(suffix_dedup, "SORTED", 4_000)
+    found = np.concatenate(list(suffix_dedup.compare(c, 50, 24)))
+    assert len(np.unique(found[:, 0])) == 59_999 and found[:, 0].min() == 1
