@@ -9,6 +9,7 @@ import tempfile
 import unicodedata
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import cache, cached_property
 from heapq import heapify, heappop, heappush
 from itertools import chain, repeat
 
@@ -17,6 +18,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Regex as LibraryRegex
+from tokenizers import Tokenizer, pre_tokenizers
 
 from pagemill.llm.common import slices
 
@@ -33,6 +36,16 @@ SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"\p{White_Space}+")
 
 
+@cache
+def newer_characters() -> regex.Pattern:
+    """Characters that this Python's Unicode tables do not know; the tokenizers library may."""
+    unknown = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
+    edges = [k for k in range(1, len(unknown)) if unknown[k] != unknown[k - 1] + 1]
+    runs = zip([0, *edges], [*edges, len(unknown)])
+    return regex.compile("[" + "".join(f"\\U{unknown[a]:08x}-\\U{unknown[b - 1]:08x}" for a, b in runs) + "]")
+
+
+
 def byte_symbols() -> list[str]:
     """The printable character that stands for each byte in a byte-level vocabulary."""
     plain = [*range(ord("!"), ord("~") + 1), *range(ord("¡"), ord("¬") + 1), *range(ord("®"), ord("ÿ") + 1)]
@@ -45,6 +58,7 @@ class Vocabulary:
 
     def __init__(self, source: bytes):
         data = json.loads(source)
+        self.source = source
         model = data["model"]
         self.end: str = model["end_of_word_suffix"]
         self.ids: dict[str, int] = dict(model["vocab"])
@@ -57,12 +71,16 @@ class Vocabulary:
         self.inner = [self.ids[c] for c in symbols]
         self.last = [self.ids[c + self.end] for c in symbols]
         splits = [p for p in data["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split"]
-        self.words = regex.compile(splits[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
+        split = splits[0]
+        self.library_split = pre_tokenizers.Split(LibraryRegex(split["pattern"]["Regex"]), split["behavior"].lower(), split["invert"])
+        self.words = regex.compile(split["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         self.any_special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
     def chunks(self, text: str) -> list[str]:
         """Normalised runs between white space of a text without special tokens."""
         if not text.isascii():
+            if newer_characters().search(text):
+                return [c for c in WHITE.split(self.library.normalizer.normalize_str(text)) if c]
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # each letter is lowered by itself
         text = text.lower()
         if SEPARATORS.search(text):
@@ -75,8 +93,15 @@ class Vocabulary:
             return [chunk]
         if chunk[-1] in MARKS and chunk[:-1].isalpha():
             return [chunk[:-1], chunk[-1]]
+        if not chunk.isascii() and newer_characters().search(chunk):
+            return [w for w, _ in self.library_split.pre_tokenize_str(chunk)]
         return self.words.findall(chunk)
 
+    @cached_property
+    def library(self) -> Tokenizer:
+        """The library's tokenizer: it normalises texts with characters that are newer than the tables here."""
+        return Tokenizer.from_str(self.source.decode())
+
     def merge(self, word: str) -> tuple[int, ...]:
         """Exact BPE of one word: the pair of lowest rank, the leftmost on ties, is merged until none is left."""
         raw = word.encode()

@@ -12,7 +12,7 @@ import pytest
 from tokenizers import Tokenizer
 
 from pagemill.llm import catalog
-from pagemill.llm.bpe import Lexicon, Vocabulary, bpe_decode, bpe_digests, bpe_tokens, mapped
+from pagemill.llm.bpe import Lexicon, Vocabulary, bpe_decode, bpe_digests, bpe_tokens, mapped, newer_characters
 from pagemill.llm.packing import best_two_fit, pack, tightest_pair
 
 SF = "/root/testdata/sf0.001"
@@ -20,6 +20,7 @@ ODD = [
     "Hello  World it's 12 a<|startoftext|>b ΣΑΣ x <|ENDOFTEXT|>c don'T 'sure",
     "é É \x1c q ​ z \x85 a\xa0b ß ẞ ½ ² ①",
     "</w> a<|x|> 🎉🎉!! <|startoftext|> ",
+    "a\U0001c89b x\ua7cb\U00010d50 1\U00010d40 \U00016d67\U00016d67",
     "日本語テキスト。テスト İSTANBUL ǅ ﬁ",
     "\x00 \x1f\x1e   ",
     "<|endoftext|><|endoftext|>",
@@ -53,6 +54,24 @@ def test_lexicon_is_minimal_and_exact():
     assert Lexicon(mapped(Lexicon.compile({}))).find(["a"]) == [None]
 
 
+def test_every_character_splits_as_in_the_library(library):
+    with open(catalog.TOKENIZER, "rb") as f:
+        v = Vocabulary(f.read())
+    planes = [*range(0xD800), *range(0xE000, 0x33480), *range(0xE0000, 0xE0200), 0xF0000, 0x10FFFD]
+    rng = random.Random(6)
+    texts = [f"a{chr(c)} 1{chr(c)}b" for c in planes]
+    newer = [c for c in planes if newer_characters().search(chr(c))]
+    texts += ["".join(chr(rng.choice(newer if rng.random() < 0.5 else planes)) for _ in range(8)) for _ in range(20_000)]
+    wrong = []
+    for k in range(0, len(texts), 50_000):
+        lot = texts[k : k + 50_000]
+        for text, found in zip(lot, library.encode_batch(lot, add_special_tokens=False)):
+            ids = [i for chunk in v.chunks(text) for word in v.split(chunk) for i in v.merge(word)]
+            if ids != found.ids:
+                wrong.append(text)
+    assert not wrong, (len(wrong), [[hex(ord(c)) for c in t] for t in wrong[:5]])
+
+
 @pytest.mark.parametrize("n_words", [5, 200_000])
 def test_bpe_cases(documents, library, n_words):
     rows = [(i, t, "en", "s") for i, t in enumerate(ODD)] + [(0, ODD[0], "en", "s")]
