@@ -1,26 +1,33 @@
-"""Quality classifier by co-training a text view and a metadata view."""
+"""Quality classifier by co-training a text view and a metadata view; a second target, toxicity, is trained alike."""
 
 from __future__ import annotations
 
 import zlib
 from dataclasses import dataclass
-from operator import eq
+from functools import reduce
+from operator import eq, or_
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import plain_names, slices
-
-#: Bounds of the sample that the classifiers are fitted on: labelled documents, and documents for pseudo-labels.
-LABELLED, POOL = 6000, 6000
-#: Rounds of co-training; what share of the pool a view may label in a round; how sure it must be.
-ROUNDS, SHARE, SURE = 4, 0.1, 0.95
-#: Share of the labelled documents that is kept back to calibrate the views.
-HELD_OUT = 0.3
-#: Documents less likely to be good than this are rejected.
-THRESHOLD = 0.5
+from pagemill.llm.common import plain_names, slices, stored
+from pagemill.operators import sampling
+
+#: Bound of the labelled documents that the classifiers are fitted on, drawn by a hash of the identifier.
+LABELLED = 6000
+#: Rounds of co-training; pseudo-labelled documents, about, that a view hands to the other in a round, drawn by a hash from
+#: all documents of the corpus that it is sure of; how sure it must be.
+ROUNDS, HANDED, SURE = 3, 600, 0.95
+#: Share of the labelled documents that is kept back to calibrate the views, and to see of which classes a view is sure
+#: rightly; of so many documents kept back it must be.
+HELD_OUT, TRIED = 0.3, 3
+#: Documents less likely to be good than this, or more likely to be toxic, are rejected.
+THRESHOLD, TOXIC = 0.5, 0.3
+#: Word stems whose number is a feature: those that part the labelled toxic documents best from the others; letters of a
+#: stem, and labelled documents that must have it.
+TELLING, STEM, STEM_DOCS = 48, 5, 5
 BIGRAM_BUCKETS, SOURCE_BUCKETS, LANG_BUCKETS, SIZE_BUCKETS = 64, 24, 8, 12
 GROUPS = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\r", "\n", ".,;:'\"-()?", "!", "|", "#$%&*+<=>@\\^_`~{}[]/")
 KIND = np.full(256, len(GROUPS), np.int64)  # other bytes: letters beyond ASCII, control characters
@@ -28,6 +35,20 @@ for _k, _chars in enumerate(GROUPS):
     KIND[[ord(c) for c in _chars]] = _k
 
 
+#: Marks and digits become spaces before words are looked for.
+SPACES = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalpha()})
+
+
+def word_features(texts: list[str], words: tuple[str, ...]) -> np.ndarray:
+    """A row per text: the logarithm of how many of its words begin with each of ``words``."""
+    out = np.zeros((len(texts), len(words)))
+    asked = [f" {w}" for w in words]
+    for k, t in enumerate(texts if words else ()):
+        padded = " " + t.lower().translate(SPACES)
+        out[k] = [padded.count(w) for w in asked]
+    return np.log1p(out)
+
+
 def text_features(texts: list[str]) -> np.ndarray:
     """A row per text: shares of kinds of bytes, shape of words and lines, repetition, hashed pairs of bytes."""
     n = len(texts)
@@ -124,7 +145,7 @@ class Model:
     views: tuple[View, View] | None
 
     def scores(self, x_text: np.ndarray, x_meta: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Probability of good by text, by metadata, and by both taken as independent given the class."""
+        """Probability of the target by text, by metadata, and by both taken as independent given the class."""
         if self.views is None:
             flat = np.full(len(x_text), sigmoid(np.array(self.prior)))
             return flat, flat, flat
@@ -132,45 +153,88 @@ class Model:
         return sigmoid(a), sigmoid(b), sigmoid(a + b - self.prior)
 
 
+class Student:
+    """A target that two views learn together; ``otherwise`` is what holds where the labels lack one of the classes."""
+
+    def __init__(self, text: np.ndarray, meta: np.ndarray, y: np.ndarray, otherwise: float = 1.0, seed: int = 1):
+        self.good = float(y.mean()) if len(y) else otherwise
+        self.teachable = len(y) >= 10 and 0 < self.good < 1
+        if not self.teachable:
+            return
+        order = np.random.default_rng(seed).permutation(len(y))
+        n_back = max(5, int(HELD_OUT * len(y)))
+        back, front = order[:n_back], order[n_back:]
+        if len(set(y[front])) < 2 or len(set(y[back])) < 2:
+            back = front = order
+        self.own = [(text[front], y[front]), (meta[front], y[front])]
+        self.back = [(text[back], y[back]), (meta[back], y[back])]
+        self.taken: set = set()
+
+    def views(self) -> list[View]:
+        return [View.fit(*o) for o in self.own]
+
+    def teachers(self) -> list[tuple[View, list[int]]]:
+        """The views, each with the classes it may hand over: those it is sure of rightly on the documents kept back."""
+        out = []
+        for view, (x, y) in zip(self.views(), self.back):
+            label = sure_of(view, x)
+            right = [(label == c).sum() >= TRIED and (y[label == c] == c).mean() >= SURE for c in (0, 1)]
+            out.append((view, [c for c in (0, 1) if right[c]]))
+        return out
+
+    def learn(self, ids: list, text: np.ndarray, meta: np.ndarray, view: np.ndarray, label: np.ndarray) -> None:
+        """Take documents that ``view`` is sure of into the training set of the other view, each document once."""
+        new = np.array([k for k, i in enumerate(ids) if not (i in self.taken or self.taken.add(i))], np.int64)
+        for mine, pool in ((0, meta), (1, text)):
+            k = new[view[new] == mine]
+            x, y = self.own[1 - mine]
+            self.own[1 - mine] = np.vstack([x, pool[k]]), np.concatenate([y, label[k]])
+
+    def model(self) -> Model:
+        if not self.teachable:
+            return Model(35.0 if self.good > 0 else -35.0, None)
+        views = self.views()
+        for view, held in zip(views, self.back):
+            view.calibrate(*held)
+        return Model(float(np.log(self.good / (1 - self.good))), (views[0], views[1]))
+
+
+def sure_of(view: View, x: np.ndarray, classes: tuple | list = (0, 1)) -> np.ndarray:
+    """1 or 0 where the view is sure of that class, one of ``classes``, else -1."""
+    p = sigmoid(view.margin(x))
+    label = np.where(p >= SURE, 1, np.where(p <= 1 - SURE, 0, -1))
+    return np.where(np.isin(label, classes), label, -1)
+
+
 def co_train(
     text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = ROUNDS, seed: int = 1
 ) -> Model:
-    """Train both views; in each round each hands the documents of the pool that it is surest of to the other."""
-    good = y.mean() if len(y) else 1.0
-    if len(y) < 10 or not 0 < good < 1:
-        return Model(35.0 if good > 0 else -35.0, None)
-    order = np.random.default_rng(seed).permutation(len(y))
-    n_back = max(5, int(HELD_OUT * len(y)))
-    back, front = order[:n_back], order[n_back:]
-    if len(set(y[front])) < 2 or len(set(y[back])) < 2:
-        back = front = order
-    own = [(text[front], y[front]), (meta[front], y[front])]
-    pools = (pool_text, pool_meta)
-    free = np.arange(len(pool_text))
-    for _ in range(rounds):
-        views = [View.fit(*o) for o in own]
-        if not len(free):
-            break
-        taken = []
-        for mine in (0, 1):
-            p = sigmoid(views[mine].margin(pools[mine][free]))
-            quota = max(1, int(SHARE * len(pool_text)))
-            for label, sure, part in ((1.0, p, good), (0.0, 1 - p, 1 - good)):
-                best = np.argsort(-sure, kind="stable")[: max(1, int(quota * part))]
-                best = best[sure[best] >= SURE]
-                picked = free[best]
-                other = 1 - mine
-                x, labels = own[other]
-                own[other] = np.vstack([x, pools[other][picked]]), np.concatenate([labels, np.full(len(picked), label)])
-                taken.append(picked)
-        taken = np.concatenate(taken)
-        if not len(taken):
-            break
-        free = np.setdiff1d(free, taken)
-    views = [View.fit(*o) for o in own]
-    for view, x in zip(views, (text, meta)):
-        view.calibrate(x[back], y[back])
-    return Model(float(np.log(good / (1 - good))), (views[0], views[1]))
+    """Train both views on arrays; in each round each hands the documents of the pool that it is sure of to the other."""
+    student = Student(text, meta, y, seed=seed)
+    for _ in range(rounds if student.teachable else 0):
+        for mine, ((view, classes), pool) in enumerate(zip(student.teachers(), (pool_text, pool_meta))):
+            label = sure_of(view, pool, classes)
+            k = np.flatnonzero(label >= 0)
+            student.learn(k.tolist(), pool_text[k], pool_meta[k], np.full(len(k), mine), label[k].astype(float))
+    return student.model()
+
+
+@dataclass
+class Judge:
+    """The fitted targets, and the beginnings of words that are counted."""
+
+    quality: Model
+    toxic: Model
+    words: tuple[str, ...]
+
+    def features(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        return both_features(b, self.words)
+
+    def scores(self, b: pa.RecordBatch) -> list[np.ndarray]:
+        """Quality by text, by metadata and by both, and toxicity by both."""
+        x, m = self.features(b)
+        n = x.shape[1] - len(self.words)
+        return [*self.quality.scores(x[:, :n], m), self.toxic.scores(x, m)[2]]
 
 
 def inputs(docs: DataFrame, id_col: str, text_col: str) -> list:
@@ -183,62 +247,145 @@ def inputs(docs: DataFrame, id_col: str, text_col: str) -> list:
     ]
 
 
-def both_features(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+def both_features(b: pa.RecordBatch, words: tuple[str, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Features of the text, those of words last, and of the metadata."""
     meta = (b.column(c).to_pylist() for c in ("lang_", "source_", "n_chars_"))
-    return text_features(b.column("text_").to_pylist()), meta_features(*meta)
+    texts = b.column("text_").to_pylist()
+    return np.hstack([text_features(texts), word_features(texts, words)]), meta_features(*meta)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", target: str = "quality") -> Model:
-    """Fit on at most ``LABELLED`` labelled and ``POOL`` other documents, chosen by a hash of the identifier."""
-    known = labels.filter(F.col(target).isNotNull() & F.col(id_col).isNotNull())
-    known = known.select(F.col(id_col).cast("bigint").alias("doc_id"), (F.col(target) > 0).cast("double").alias("label_"))
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(LABELLED)
-    pool = docs.select(F.col(id_col).cast("bigint").alias("doc_id")).orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(POOL)
-    asked = known.unionByName(pool.select("doc_id", F.lit(None).cast("double").alias("label_")))
-    asked = asked.groupBy("doc_id").agg(F.max("label_").alias("label_"))  # at most LABELLED + POOL rows
+def labelled_sample(labels: DataFrame, id_col: str) -> DataFrame:
+    """At most ``LABELLED`` documents with ``quality_`` and ``toxic_``, 0, 1 or null; a label of 1 wins over one of 0."""
+    targets = [
+        F.max((F.col(c) > 0).cast("double")).alias(f"{c}_") if c in labels.columns else F.lit(None).cast("double").alias(f"{c}_")
+        for c in ("quality", "toxic")
+    ]
+    known = labels.filter(F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("bigint").alias("doc_id")).agg(*targets)
+    return sampling.sample_n(known.filter("quality_ is not null or toxic_ is not null"), LABELLED, F.col("doc_id"))
 
-    def features(batches):
-        for b in slices(batches, "text_"):
-            x, m = both_features(b)
-            arrays = [pa.array(a.tolist(), pa.list_(pa.float64())) for a in (x, m)]
-            yield pa.RecordBatch.from_arrays([b.column("label_"), *arrays], names=["label_", "x", "m"])
 
-    rows = docs.select(*inputs(docs, id_col, text_col)).join(F.broadcast(asked), "doc_id")
-    seen = rows.mapInArrow(features, "label_ double, x array<double>, m array<double>").limit(2 * (LABELLED + POOL)).collect()
+def telling_words(texts: DataFrame) -> tuple[str, ...]:
+    """The first letters of words of labelled texts (``text_, toxic_``) that raise the odds of toxicity most surely."""
+    judged = texts.filter("toxic_ is not null")
+    words = judged.select("toxic_", F.explode(F.array_distinct(F.transform(F.split(F.lower("text_"), r"[^\p{L}]+"), lambda w: F.substring(w, 1, STEM)))).alias("word")).filter("word <> ''")
+    total = judged.agg(F.count("*").alias("n"), F.sum("toxic_").alias("bad")).first()
+    bad, fine = float(total.bad or 0), float(total.n - (total.bad or 0))
+    counts = words.groupBy("word").agg(F.sum("toxic_").alias("a"), F.sum(1 - F.col("toxic_")).alias("b")).filter(F.col("a") + F.col("b") >= STEM_DOCS)
+    odds = F.log((F.col("a") + 0.5) / (bad - F.col("a") + 0.5)) - F.log((F.col("b") + 0.5) / (fine - F.col("b") + 0.5))
+    sure = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
+    return tuple(r.word for r in counts.orderBy(F.desc(sure), "word").limit(TELLING).collect())
 
-    def matrix(chosen, name):
-        return np.array([r[name] for r in chosen]) if chosen else np.zeros((0, 1))
 
-    labelled = sorted((r for r in seen if r.label_ is not None), key=lambda r: (r.x, r.m))
-    others = sorted((r for r in seen if r.label_ is None), key=lambda r: (r.x, r.m))
-    y = np.array([r.label_ for r in labelled])
-    return co_train(matrix(labelled, "x"), matrix(labelled, "m"), y, matrix(others, "x"), matrix(others, "m"))
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Judge:
+    """Fit on at most ``LABELLED`` labelled documents; pseudo-labels come from scores of all documents.
 
+    The features of all documents are computed once and stored. In each round every document is scored by every view, and
+    of those that a view is sure of about ``HANDED`` of each class, fewer of the rarer one, go to the other view. Only
+    labelled and handed documents reach the driver.
+    """
+    spark = docs.sparkSession
+    sample = stored(labelled_sample(labels, id_col))
+    rows = docs.select(*inputs(docs, id_col, text_col)).join(F.broadcast(sample), "doc_id", "left")  # at most LABELLED rows
+    words = telling_words(rows.filter("quality_ is not null or toxic_ is not null"))
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Score all documents where they lie: ``doc_id, p_text, p_meta, quality, kept``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    def features(batches):
+        for b in slices(batches, "text_"):
+            x, m = (a.astype(np.float32) for a in both_features(b, words))
+            packed = [pa.array([r.tobytes() for r in a], pa.binary()) for a in (x, m)]
+            names = ["doc_id", "quality_", "toxic_"]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), *packed], names=[*names, "x", "m"])
+
+    seen = stored(rows.mapInArrow(features, "doc_id bigint, quality_ double, toxic_ double, x binary, m binary"))
+    chosen = seen.filter("quality_ is not null or toxic_ is not null").groupBy("doc_id").agg(F.min(F.struct("quality_", "toxic_", "x", "m")).alias("r"))
+    known = sorted(chosen.select("doc_id", "r.*").collect(), key=lambda r: r.doc_id)  # repeated rows count once
+    students = {}
+    for target, otherwise in (("quality", 1.0), ("toxic", 0.0)):
+        own = [r for r in known if r[f"{target}_"] is not None]
+        x, m = (unpacked([r[c] for r in own]) for c in ("x", "m"))
+        x = x if target == "toxic" else x[:, : x.shape[1] - len(words)]
+        students[target] = Student(x, m, np.array([r[f"{target}_"] for r in own]), otherwise)
+    for turn in range(rounds):
+        teach(spark, seen, {t: s for t, s in students.items() if s.teachable}, len(words), turn)
+    return Judge(students["quality"].model(), students["toxic"].model(), words)
+
+
+def unpacked(blobs: list[bytes]) -> np.ndarray:
+    if not blobs:
+        return np.zeros((0, 1))
+    return np.frombuffer(b"".join(blobs), np.float32).reshape(len(blobs), -1).astype(float)
+
+
+def teach(spark, seen: DataFrame, students: dict[str, Student], n_words: int, turn: int) -> None:
+    """One round: every view of every target scores all documents without a label and hands some it is sure of on."""
+    if not students:
+        return
+    names = sorted(students)
+    shared = spark.sparkContext.broadcast({t: students[t].teachers() for t in names})
+
+    def sure(batches):
+        for b in batches:
+            x, m = (unpacked(b.column(c).to_pylist()) for c in ("x", "m"))
+            for number, target in enumerate(names):
+                free = b.column(f"{target}_").is_null().to_numpy(zero_copy_only=False)
+                views = shared.value[target]
+                for mine, own in enumerate((x if target == "toxic" else x[:, : x.shape[1] - n_words], m)):
+                    label = sure_of(views[mine][0], own, views[mine][1])
+                    k = pa.array(np.flatnonzero(free & (label >= 0)))
+                    kind = number * 4 + mine * 2 + label[k.to_numpy()]
+                    arrays = [pa.array(kind, pa.int32()), *(b.column(c).take(k) for c in ("doc_id", "draw_", "x", "m"))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=["kind_", "doc_id", "draw_", "x", "m"])
+
+    draw = F.pmod(F.xxhash64("doc_id", F.lit(100 + turn)), F.lit(1 << 30)) / float(1 << 30)
+    scored = seen.withColumn("draw_", draw).mapInArrow(sure, "kind_ int, doc_id bigint, draw_ double, x binary, m binary")
+    counts = {r[0]: r[1] for r in scored.groupBy("kind_").count().collect()}
+
+    def chance(kind: int) -> float:
+        good = students[names[kind // 4]].good
+        return 2 * HANDED * (good if kind % 2 else 1 - good) / counts[kind]
+
+    wanted = [(F.col("kind_") == kind) & (F.col("draw_") < chance(kind)) for kind in counts]
+    if not wanted:
+        return
+    rows = sorted(scored.filter(reduce(or_, wanted)).collect(), key=lambda r: (r.kind_, r.draw_, r.doc_id or 0, r.x, r.m))
+    for number, target in enumerate(names):
+        own = [r for r in rows if r.kind_ // 4 == number]
+        if own:
+            x, m, kind = unpacked([r.x for r in own]), unpacked([r.m for r in own]), np.array([r.kind_ for r in own])
+            x = x if target == "toxic" else x[:, : x.shape[1] - n_words]
+            students[target].learn([r.doc_id for r in own], x, m, kind // 2 % 2, (kind % 2).astype(float))
+    shared.unpersist()
+
+
+def verdict(scores: list[np.ndarray], threshold: float, toxic: float) -> np.ndarray:
+    return (scores[2] >= threshold) & (scores[3] <= toxic)
+
+
+def score(docs: DataFrame, judge: Judge, threshold: float = THRESHOLD, toxic: float = TOXIC, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Score all documents where they lie: ``doc_id, p_text, p_meta, quality, toxic, kept``."""
+    shared = docs.sparkSession.sparkContext.broadcast(judge)
 
     def run(batches):
         for b in slices(batches, "text_"):
-            a, m, both = shared.value.scores(*both_features(b))
-            arrays = [pa.array(v) for v in (a, m, both, both >= threshold)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], names=["doc_id", "p_text", "p_meta", "quality", "kept"])
+            found = shared.value.scores(b)
+            arrays = [pa.array(v) for v in (*found, verdict(found, threshold, toxic))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], names=["doc_id", "p_text", "p_meta", "quality", "toxic", "kept"])
 
-    schema = "doc_id bigint, p_text double, p_meta double, quality double, kept boolean"
+    schema = "doc_id bigint, p_text double, p_meta double, quality double, toxic double, kept boolean"
     return docs.select(*inputs(docs, id_col, text_col)).mapInArrow(run, schema)
 
 
-def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose document is not rejected."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def keep_good(docs: DataFrame, judge: Judge, threshold: float = THRESHOLD, toxic: float = TOXIC, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose document is not rejected.
+
+    Null texts are judged as empty ones, null identifiers do not matter here. An empty table gives no rows.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(judge)
     own, _ = plain_names(docs)
     names = own.columns
 
     def run(batches):
         for b in slices(batches, "text_"):
-            *_, both = shared.value.scores(*both_features(b))
-            kept = b.filter(pa.array(both >= threshold))
+            kept = b.filter(pa.array(verdict(shared.value.scores(b), threshold, toxic)))
             yield pa.RecordBatch.from_arrays(kept.columns[: len(names)], names=names)
 
     rows = docs.select(*(docs[c].alias(n) for c, n in zip(docs.columns, names)), *inputs(docs, id_col, text_col)[1:])
@@ -248,8 +395,9 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = THRESHOLD, id_co
 def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Fit on ``labels`` and score all of ``docs``.
 
-    Null texts count as empty, null or missing metadata as a value of their own. Without at least ten labels of both
-    classes nothing can be learned: all documents get the score of the one class there is (good when there is none).
-    Labels that contradict each other for one document count as good. Repeated rows get equal scores.
+    Null texts count as empty, null or missing metadata as a value of their own; other columns are ignored. Without at
+    least ten labels of both classes nothing can be learned of a target: all documents get the score of the one class
+    there is (good and not toxic when there is none). Labels that contradict each other for one document count as good,
+    and as toxic. Repeated rows get equal scores, an empty table gives no rows.
     """
     return score(docs, fit(docs, labels), **options)
