@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from tokenizers import Regex as LibraryRegex
 from tokenizers import Tokenizer, pre_tokenizers
 
-from pagemill.llm.common import slices
+from pagemill.llm.common import slices, stored
 
 #: Words in the lexicon: a fixed bound, whatever the corpus.
 LEXICON_WORDS = 200_000
+#: Steps of the histogram of uses for each doubling of them.
+LEVELS = 32
 #: Chunks between white space that a worker remembers; then only those met again since then stay. Bounds its memory.
 MEMO_CHUNKS = 400_000
 NO_PAIR = 1 << 62
@@ -325,10 +327,11 @@ def kept(key: str, make: Callable[[], object]):
 
 
 def frequent_words(df: DataFrame, text_col: str, vocabulary, key: str, n: int = LEXICON_WORDS) -> DataFrame:
-    """The ``n`` words with most uses over all texts (ties by word): ``word, n_uses``.
+    """At most ``n`` words, those used most often over all texts: ``word, n_uses``.
 
     A task sums up its part before anything is shuffled; words that it has met once only are not reported, since no
-    word is frequent for them. The choice steers speed, never results.
+    word is frequent for them. Where the list ends is read off a histogram of the uses, so no task sees the candidates of
+    all others; words used about equally often are taken or left together. The choice steers speed, never results.
     """
 
     def count(batches):
@@ -354,7 +357,16 @@ def frequent_words(df: DataFrame, text_col: str, vocabulary, key: str, n: int =
         yield words()
 
     counted = df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text_")).mapInArrow(count, "word string, n_uses bigint")
-    return counted.groupBy("word").agg(F.sum("n_uses").alias("n_uses")).orderBy(F.desc("n_uses"), "word").limit(n)
+    words = counted.groupBy("word").agg(F.sum("n_uses").alias("n_uses"))
+    words = stored(words.withColumn("level_", F.floor(F.log2("n_uses") * LEVELS)))
+    total, lowest = 0, None
+    for level, size in sorted((tuple(r) for r in words.groupBy("level_").count().collect()), reverse=True):
+        total += size
+        if total > n:
+            break
+        lowest = level
+    few = words.filter(F.col("level_") >= lowest) if lowest is not None else words.limit(0)
+    return few.select("word", "n_uses")
 
 
 def read_vocabulary(spark: SparkSession, path: str):

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.llm.common import slices, stored
+from pagemill.operators import sampling
 from pagemill.session import shared_dir
 
 #: Magic of the skippable frame that holds a dictionary (fixed value of the format).
@@ -216,8 +217,9 @@ def write_archives(
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), url.alias("url"), payload.alias("payload_"))
-    sample = rows.select(F.substring("payload_", 1, SAMPLE_BYTES).alias("s")).orderBy(F.xxhash64("s")).limit(SAMPLE_PAGES)
-    dictionary = spark.sparkContext.broadcast(train([bytes(r.s) for r in sample.collect()]))
+    few = rows.select("page_id", F.substring("payload_", 1, SAMPLE_BYTES).alias("s"))
+    sample = sampling.sample_n(few, SAMPLE_PAGES, F.col("page_id")).collect()
+    dictionary = spark.sparkContext.broadcast(train(sorted(bytes(r.s) for r in sample)))
 
     def write(batches):
         from pyarrow import fs
