@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import source as source_functions
 from pagemill.operators import assemble, content, repair, sampling, sft
 from pagemill.plans.catalog.registry import query
-from pagemill.plans.catalog.text_queries import FORMATTED, SQL_WORD, sql_punctuation
+from pagemill.plans.catalog.text_queries import FORMATTED, SQL_WORD, sql_clean
 from pagemill.plans.documents import document_pages, documents, on_pages, page_documents
 from pagemill.plans.fixtures import Inputs, duckdb_with
 from pagemill.plans.service import service_results
@@ -295,8 +295,8 @@ _PLAIN = f"""src as (select doc_id as unit_id, page_idx, string_agg(line, chr(10
     duckdb_with(
         ["fx_lines"],
         f"""with {_PLAIN},
-cleaned as (select unit_id, page_idx, trim({sql_punctuation('c')}, ' ' || chr(10)) as c from src)
-select unit_id, 0 as part_page, cast(count(*) as int) as n_pages, string_agg(c, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page_idx) as markdown from cleaned group by 1""",
+{sql_clean('unit_id, page_idx', 'src')}
+select unit_id, 0 as part_page, cast(count(*) as int) as n_pages, string_agg(body, chr(10) || chr(10) || '---' || chr(10) || chr(10) order by page_idx) as markdown from cleaned group by 1""",
     ),
 )
 def _(i: Inputs):
@@ -305,7 +305,7 @@ def _(i: Inputs):
         F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("l")
     )
     texts = grouped.select(*PAGE, F.array_join(F.transform("l", lambda x: x["line"]), "\n").alias("content"))
-    return assemble.format_plain_pages(texts, cut_long=False).select("unit_id", "part_page", "n_pages", "markdown")
+    return assemble.format_plain_pages(texts).select("unit_id", "part_page", "n_pages", "markdown")
 
 
 @query(
@@ -464,7 +464,15 @@ def _(i: Inputs):
     )
 
 
-@query("clean_content_rows", None)
+@query(
+    "clean_content_rows",
+    duckdb_with(
+        [],
+        f"""with src as (select doc_id, text as c from documents),
+{sql_clean('doc_id', 'src')}
+select doc_id, cast(length(body) as int) as n, md5(body) as digest from cleaned""",
+    ),
+)
 def _(i: Inputs):
     docs = i.table("documents").select("doc_id", F.col("text").alias("c"))
     return content.clean_content(docs, "c").select("doc_id", F.length("c").alias("n"), F.md5("c").alias("digest"))

@@ -92,9 +92,39 @@ def sql_punctuation(col: str) -> str:
     return f"regexp_replace({steps}, '(\\\\_){{3,}}', '\\\\_\\\\_\\\\_', 'g')"
 
 
-@query("clean_content", _over_lines(_CLEAN, f"trim({sql_punctuation('c')}, ' ' || chr(10))"))
+def sql_repeated_lines(keys: str, source: str, prefix: str = "") -> str:
+    """CTEs ``<prefix>line_cut(keys, p)``: the line after which ``source(keys, s)`` is cut, where one line makes up most of it."""
+    return f"""{prefix}lines as (select {keys}, generate_subscripts(string_split(s, chr(10)), 1) as p, trim(unnest(string_split(s, chr(10)))) as line from {source}),
+{prefix}full_ as (select *, row_number() over (partition by {keys} order by p) as i, count(*) over (partition by {keys}) as total from {prefix}lines where line <> ''),
+{prefix}counted as (select {keys}, line, count(*) as n, any_value(total) as total, min(i) as first_i from {prefix}full_ group by {keys}, line),
+{prefix}top as (select {keys}, line, n, total from {prefix}counted qualify row_number() over (partition by {keys} order by n desc, first_i) = 1),
+{prefix}three as (select *, lead(line) over w as l1, lead(line, 2) over w as l2 from {prefix}full_ window w as (partition by {keys} order by i)),
+{prefix}line_cut as (select {keys}, min(p) as p from {prefix}three join {prefix}top using ({keys}, line) where l1=line and l2=line and n >= 10 and n/{prefix}top.total >= 0.8 group by {keys})"""
+
+
+def sql_clean(keys: str, source: str) -> str:
+    """CTEs up to ``cleaned(keys, body)``: the clean-up of ``source(keys, c)``, long texts cut at repetitions.
+
+    No line of the tables has a dollar span, so formulas stay as they are.
+    """
+    return f"""punctuated as (select {keys}, {sql_punctuation('c')} as s from {source}),
+long_ as (select * from punctuated where length(s) >= 2048),
+{sql_cut(keys, 'long_')},
+{sql_repeated_lines(keys, 'long_', 'rep_')},
+cleaned as (select {keys}, trim(case when n_keep is not null then substr(s, 1, n_keep)
+  when p is not null then array_to_string(string_split(s, chr(10))[1:p], chr(10)) else s end, ' ' || chr(10)) as body
+  from punctuated left join kept using ({keys}) left join rep_line_cut using ({keys}))"""
+
+
+@query(
+    "clean_content",
+    duckdb_with(
+        ["fx_lines"],
+        f"with {marked_sql(*_CLEAN)},\n{sql_clean('doc_id, pos', 'marked')}\nselect doc_id, pos, body as c from cleaned",
+    ),
+)
 def _(i: Inputs):
-    return content.clean_content(_marked(i, *_CLEAN), "c", cut_long=False)
+    return content.clean_content(_marked(i, *_CLEAN), "c")
 
 
 @query(
@@ -120,11 +150,13 @@ def _(i: Inputs):
     )
 
 
-_REPEATED = """shaped as (select doc_id, case doc_id%4
+# three texts of four go on with lines that repeat, so often that one line makes up most of the text
+_REPEATED = """sized as (select *, len(string_split(text, chr(10))) as m, string_split(text, chr(10))[1] as line_1 from documents),
+shaped as (select doc_id, case doc_id%4
   when 0 then text
-  when 1 then 'head' || chr(10) || repeat(' ' || string_split(text, chr(10))[1] || chr(10), 12) || 'tail'
-  when 2 then repeat(string_split(text, chr(10))[1] || chr(10) || chr(10), 9) || text
-  else repeat('a' || doc_id || chr(10) || 'b' || chr(10) || 'b' || chr(10) || 'b' || chr(10) || 'b' || chr(10), 11) end as c from documents)"""
+  when 1 then text || chr(10) || repeat(' ' || line_1 || chr(10), 12 + 5*m) || 'tail'
+  when 2 then repeat(line_1 || chr(10) || chr(10), 9) || text
+  else text || chr(10) || repeat('a' || doc_id || chr(10) || repeat('b' || chr(10), 8), 11 + m) end as s from sized)"""
 
 
 @query(
@@ -132,34 +164,29 @@ _REPEATED = """shaped as (select doc_id, case doc_id%4
     duckdb_with(
         [],
         f"""with {_REPEATED},
-lines as (select doc_id, generate_subscripts(string_split(c, chr(10)), 1) as p, trim(unnest(string_split(c, chr(10)))) as line from shaped),
-full_ as (select *, row_number() over (partition by doc_id order by p) as i, count(*) over (partition by doc_id) as total from lines where line <> ''),
-counted as (select doc_id, line, count(*) as n, any_value(total) as total, min(i) as first_i from full_ group by doc_id, line),
-top as (select doc_id, line, n, total from counted qualify row_number() over (partition by doc_id order by n desc, first_i) = 1),
-runs as (select f.doc_id, f.p from (select *, lead(line) over w as l1, lead(line, 2) over w as l2 from full_ window w as (partition by doc_id order by i)) f
-  join top t on f.doc_id=t.doc_id and f.line=t.line where l1=f.line and l2=f.line and t.n >= 10 and t.n/t.total >= 0.8),
-cut as (select doc_id, min(p) as p from runs group by doc_id)
-select s.doc_id, md5(case when k.p is not null then array_to_string(string_split(s.c, chr(10))[1:k.p], chr(10)) else s.c end) as digest
-from shaped s left join cut k using (doc_id)""",
+{sql_repeated_lines('doc_id', 'shaped')}
+select s.doc_id, md5(case when k.p is not null then array_to_string(string_split(s.s, chr(10))[1:k.p], chr(10)) else s.s end) as digest
+from shaped s left join line_cut k using (doc_id)""",
     ),
 )
 def _(i: Inputs):
-    line = F.get(F.split("text", "\n"), F.lit(0))
+    line, m = F.get(F.split("text", "\n"), F.lit(0)), F.size(F.split("text", "\n"))
     nl = F.lit("\n")
     shaped = _case(
         [
             (0, F.col("text")),
-            (1, F.concat(F.lit("head\n"), F.repeat(F.concat(F.lit(" "), line, nl), F.lit(12)), F.lit("tail"))),
+            (1, F.concat("text", nl, F.repeat(F.concat(F.lit(" "), line, nl), 12 + 5 * m), F.lit("tail"))),
             (2, F.concat(F.repeat(F.concat(line, nl, nl), F.lit(9)), F.col("text"))),
         ],
         F.col("doc_id") % 4,
-        F.repeat(F.concat(F.lit("a"), F.col("doc_id").cast("string"), F.lit("\nb\nb\nb\nb\n")), F.lit(11)),
+        F.concat("text", nl, F.repeat(F.concat(F.lit("a"), F.col("doc_id").cast("string"), nl, F.lit("b\n" * 8)), 11 + m)),
     )
     docs = i.table("documents").select("doc_id", shaped.alias("c"))
     return content.cut_repeated_lines(docs, "c").select("doc_id", F.md5("c").alias("digest"))
 
 
-_WORD = "regexp_replace(line, '[^A-Za-z]', '', 'g')"
+# whole lines; only a dollar or a backslash, which would open or escape a further formula, is another sign
+_WORD = "trim(translate(line, '$' || chr(92), '§/'))"
 
 
 @query(
@@ -171,7 +198,7 @@ when 2 then w || ' $' || ' $ z' else w || 'q $x$ y $$ ' || w || ' $$' end as c f
     ),
 )
 def _(i: Inputs):
-    word = F.regexp_replace("line", "[^A-Za-z]", "")
+    word = F.trim(F.translate("line", "$\\", "§/"))
     shaped = _case(
         [
             (0, F.concat(F.lit("a$ "), word, F.lit("x $b"))),
