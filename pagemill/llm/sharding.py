@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import ranked
+from pagemill.llm.common import ranked, shuffle_partitions, stored
 
 #: Bits per dimension: each is cut into 2 ** BITS cells at quantiles.
 BITS = 5
@@ -45,10 +47,36 @@ def hilbert_index(cells: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
-def leading_number(text: Column) -> Column:
-    """The first 6 bytes of a string as a number, so that numbers sort as the strings do; null is -1."""
-    bytes6 = F.rpad(F.hex(F.substring(text.cast("binary"), 1, 6)), 12, "0")
-    return F.coalesce(F.conv(bytes6, 16, 10).cast("bigint"), F.lit(-1))
+def value_cuts(rows: DataFrame, column: str, cells: int) -> list[bytes]:
+    """At most ``cells - 1`` values of a binary column, in order, that part its rows into runs as even as its values allow.
+
+    Values are compared whole. They are counted, range-partitioned and summed up in order; a number per partition and the
+    values at which a further share of the rows is full are all that reaches the driver.
+    """
+    spark = rows.sparkSession
+
+    def sums(batches):
+        from pyspark import TaskContext
+
+        part, total = TaskContext.get().partitionId(), 0
+        for b in batches:
+            upto = total + np.cumsum(b.column("n").to_numpy())
+            total = int(upto[-1]) if len(upto) else total
+            arrays = [b.column("value"), b.column("n"), pa.array(upto), pa.array(np.full(b.num_rows, part, np.int32))]
+            yield pa.RecordBatch.from_arrays(arrays, names=["value", "n", "upto", "part"])
+
+    counted = rows.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("value")).agg(F.count("*").alias("n"))
+    dealt = counted.repartitionByRange(shuffle_partitions(spark), "value").sortWithinPartitions("value")
+    summed = stored(dealt.mapInArrow(sums, "value binary, n bigint, upto bigint, part int"))
+    before, total = [], 0
+    for part, n in sorted(tuple(r) for r in summed.groupBy("part").agg(F.max("upto")).collect()):
+        before.append((part, total))
+        total += n
+    if not total:
+        return []
+    shifted = summed.join(F.broadcast(spark.createDataFrame(before, "part int, before bigint")), "part")
+    full = shifted.filter(F.expr(f"(before + upto) * {cells} div {total} > (before + upto - n) * {cells} div {total}"))
+    return sorted(bytes(r.value) for r in full.select("value").collect())[: cells - 1]
 
 
 def hilbert_shards(
@@ -56,14 +84,15 @@ def hilbert_shards(
 ) -> DataFrame:
     """Order documents along a Hilbert curve over (lang, source, size) and cut the order into even runs.
 
-    Each dimension is quantised at its quantiles over all rows (approximate percentiles, ``2**bits - 1``
-    numbers each, are all that reaches the driver). Rows of one cell follow each other by identifier, so a
+    Each dimension is quantised at its quantiles over all rows (see :func:`value_cuts` for strings; approximate
+    percentiles for sizes): ``2**bits - 1`` values each are all that reaches the driver. Rows of one cell follow each other by identifier, so a
     source with a third of all rows spreads over a third of the shards. Law ``rows``: with n documents, shard s holds
     ranks ``ceil(s*n/n_shards)`` to ``ceil((s+1)*n/n_shards) - 1``; counts differ by one at most.
 
     Returns ``doc_id, size, text_crc32, law, shard, slot, grown_shard, curve``. Null texts count as empty, null
-    metadata sorts first, missing metadata columns count as null, ties go by identifier, checksum and size. Rows
-    that are equal in all of these are interchangeable. With fewer documents than shards some shards stay empty.
+    metadata lies in the first cell, missing metadata columns count as null, ties go by identifier, checksum and size. Rows
+    that are equal in all of these are interchangeable. With fewer documents than shards some shards stay empty, an empty table gives no rows; other
+    columns are ignored.
     """
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     named = {c: (F.col(c) if c in df.columns else F.lit(None)).cast("string") for c in ("lang", "source")}
@@ -71,19 +100,21 @@ def hilbert_shards(
         F.col(id_col).cast("bigint").alias("doc_id"),
         (F.octet_length(text) + 16).cast("bigint").alias("size"),
         F.crc32(text).alias("text_crc32"),
-        leading_number(named["lang"]).alias("d0_"),
-        leading_number(named["source"]).alias("d1_"),
+        named["lang"].cast("binary").alias("d0_"),
+        named["source"].cast("binary").alias("d1_"),
     )
-    dims = ["d0_", "d1_", "size"]
     steps = [k / 2**bits for k in range(1, 2**bits)]
-    cuts = rows.agg(*[F.percentile_approx(d, steps, 1000).alias(d) for d in dims]).first()
-    bounds = [np.unique(np.array(cuts[d] or [], dtype=np.int64)) for d in dims]
+    sizes = np.unique(np.array(rows.agg(F.percentile_approx("size", steps, 1000)).first()[0] or [], dtype=np.int64))
+    bounds = {d: value_cuts(rows, d, 2**bits) for d in ("d0_", "d1_")}
 
     def place(batches):
         for b in batches:
-            values = [b.column(d).to_numpy(zero_copy_only=False) for d in dims]
-            cells = np.stack([np.searchsorted(c, v, side="left") for c, v in zip(bounds, values)], axis=1)
-            curve = hilbert_index(cells, bits)
+            cells = [np.searchsorted(sizes, b.column("size").to_numpy(), side="left")]
+            for d, cuts in bounds.items():
+                values = b.column(d).to_pylist()
+                cell = {v: 0 if v is None else bisect_left(cuts, v) for v in set(values)}
+                cells.append(np.array([cell[v] for v in values], np.int64))
+            curve = hilbert_index(np.stack([cells[1], cells[2], cells[0]], axis=1), bits)
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(curve)], names=["doc_id", "size", "text_crc32", "curve"])
 
     placed = rows.mapInArrow(place, "doc_id bigint, size bigint, text_crc32 bigint, curve bigint")

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 
-from pagemill.llm import catalog
+from pagemill.llm import catalog, sharding
 from pagemill.llm.exact_dedup import content_sort
 from pagemill.llm.sharding import hilbert_index, hilbert_shards, write_shards
 
@@ -79,3 +79,28 @@ def test_shards(spark, documents, tmp_path):
 def test_shard_query_whole_table(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
     check_shards(docs, catalog.QUERIES["op7_hilbert_shards"](spark, SF).collect(), 40)
+
+
+def test_cuts_of_values_with_a_common_start(spark):
+    """Whole values are compared, so that sources with one start lie in different cells."""
+    names = [f"https://example.org/crawl/{k:03d}" for k in range(60)]
+    counts = [1 + (k * 7) % 11 + (400 if k == 20 else 0) for k in range(60)]
+    values = [n for n, c in zip(names, counts) for _ in range(c)]
+    rows = spark.createDataFrame([(v.encode(),) for v in values] + [(None,)] * 5, "v binary").repartition(3)
+    for cells in (2, 8, 32):
+        expected, upto = [], 0
+        for n, c in zip(names, counts):
+            if (upto + c) * cells // len(values) > upto * cells // len(values):
+                expected.append(n.encode())
+            upto += c
+        assert sharding.value_cuts(rows, "v", cells) == expected[: cells - 1]
+    assert sharding.value_cuts(rows.limit(0), "v", 8) == []
+
+
+def test_files_can_be_pruned_by_long_sources(documents):
+    rows = [(i, f"text {i}", "en", f"https://example.org/crawl/{i % 16:03d}") for i in range(1600)]
+    got = sharding.hilbert_shards(documents(rows), n_shards=32).collect()
+    held = {}
+    for r in got:
+        held.setdefault(r.shard, set()).add(r.doc_id % 16)
+    assert len(got) == 1600 and max(map(len, held.values())) <= 4
