@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 from functools import reduce
 from operator import eq, or_
@@ -40,12 +41,13 @@ SPACES = str.maketrans({c: " " for c in map(chr, range(128)) if not c.isalpha()}
 
 
 def word_features(texts: list[str], words: tuple[str, ...]) -> np.ndarray:
-    """A row per text: the logarithm of how many of its words begin with each of ``words``."""
+    """A row per text: the logarithm of how many of its words begin with each of ``words``, stems of ``STEM`` letters."""
     out = np.zeros((len(texts), len(words)))
-    asked = [f" {w}" for w in words]
+    place = {w: k for k, w in enumerate(words)}
     for k, t in enumerate(texts if words else ()):
-        padded = " " + t.lower().translate(SPACES)
-        out[k] = [padded.count(w) for w in asked]
+        stems = Counter([w[:STEM] for w in t.lower().translate(SPACES).split()])
+        for w in stems.keys() & place.keys():
+            out[k, place[w]] = stems[w]
     return np.log1p(out)
 
 
@@ -227,12 +229,11 @@ class Judge:
     toxic: Model
     words: tuple[str, ...]
 
-    def features(self, b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        return both_features(b, self.words)
-
     def scores(self, b: pa.RecordBatch) -> list[np.ndarray]:
         """Quality by text, by metadata and by both, and toxicity by both."""
-        x, m = self.features(b)
+        return self.of_features(*both_features(b, self.words))
+
+    def of_features(self, x: np.ndarray, m: np.ndarray) -> list[np.ndarray]:
         n = x.shape[1] - len(self.words)
         return [*self.quality.scores(x[:, :n], m), self.toxic.scores(x, m)[2]]
 
@@ -277,7 +278,12 @@ def telling_words(texts: DataFrame) -> tuple[str, ...]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> Judge:
-    """Fit on at most ``LABELLED`` labelled documents; pseudo-labels come from scores of all documents.
+    """The targets as :func:`fitted` fits them."""
+    return fitted(docs, labels, id_col, text_col, rounds)[0]
+
+
+def fitted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = ROUNDS) -> tuple[Judge, DataFrame]:
+    """Targets and the stored features, fitted on at most ``LABELLED`` labelled documents; pseudo-labels come from scores of all documents.
 
     The features of all documents are computed once and stored. In each round every document is scored by every view, and
     of those that a view is sure of about ``HANDED`` of each class, fewer of the rarer one, go to the other view. Only
@@ -306,7 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         students[target] = Student(x, m, np.array([r[f"{target}_"] for r in own]), otherwise)
     for turn in range(rounds):
         teach(spark, seen, {t: s for t, s in students.items() if s.teachable}, len(words), turn)
-    return Judge(students["quality"].model(), students["toxic"].model(), words)
+    return Judge(students["quality"].model(), students["toxic"].model(), words), seen
 
 
 def unpacked(blobs: list[bytes]) -> np.ndarray:
@@ -360,18 +366,23 @@ def verdict(scores: list[np.ndarray], threshold: float, toxic: float) -> np.ndar
     return (scores[2] >= threshold) & (scores[3] <= toxic)
 
 
+SCORED = "doc_id bigint, p_text double, p_meta double, quality double, toxic double, kept boolean"
+
+
+def scored_batch(b: pa.RecordBatch, found: list[np.ndarray], threshold: float, toxic: float) -> pa.RecordBatch:
+    arrays = [pa.array(v) for v in (*found, verdict(found, threshold, toxic))]
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], names=["doc_id", "p_text", "p_meta", "quality", "toxic", "kept"])
+
+
 def score(docs: DataFrame, judge: Judge, threshold: float = THRESHOLD, toxic: float = TOXIC, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Score all documents where they lie: ``doc_id, p_text, p_meta, quality, toxic, kept``."""
     shared = docs.sparkSession.sparkContext.broadcast(judge)
 
     def run(batches):
         for b in slices(batches, "text_"):
-            found = shared.value.scores(b)
-            arrays = [pa.array(v) for v in (*found, verdict(found, threshold, toxic))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *arrays], names=["doc_id", "p_text", "p_meta", "quality", "toxic", "kept"])
+            yield scored_batch(b, shared.value.scores(b), threshold, toxic)
 
-    schema = "doc_id bigint, p_text double, p_meta double, quality double, toxic double, kept boolean"
-    return docs.select(*inputs(docs, id_col, text_col)).mapInArrow(run, schema)
+    return docs.select(*inputs(docs, id_col, text_col)).mapInArrow(run, SCORED)
 
 
 def keep_good(docs: DataFrame, judge: Judge, threshold: float = THRESHOLD, toxic: float = TOXIC, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -392,12 +403,21 @@ def keep_good(docs: DataFrame, judge: Judge, threshold: float = THRESHOLD, toxic
     return rows.mapInArrow(run, own.schema).toDF(*docs.columns)
 
 
-def classify(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """Fit on ``labels`` and score all of ``docs``.
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, toxic: float = TOXIC, **options) -> DataFrame:
+    """Fit on ``labels`` and score all of ``docs`` by the features that the fit has stored.
 
     Null texts count as empty, null or missing metadata as a value of their own; other columns are ignored. Without at
     least ten labels of both classes nothing can be learned of a target: all documents get the score of the one class
     there is (good and not toxic when there is none). Labels that contradict each other for one document count as good,
     and as toxic. Repeated rows get equal scores, an empty table gives no rows.
     """
-    return score(docs, fit(docs, labels), **options)
+    judge, seen = fitted(docs, labels, **options)
+    shared = docs.sparkSession.sparkContext.broadcast(judge)
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                x, m = (unpacked(b.column(c).to_pylist()) for c in ("x", "m"))
+                yield scored_batch(b, shared.value.of_features(x, m), threshold, toxic)
+
+    return seen.select("doc_id", "x", "m").mapInArrow(run, SCORED)
