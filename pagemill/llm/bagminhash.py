@@ -135,6 +135,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, id_col: str
     Returns one row per input row: ``doc_id, class_id, class_size, kept``; ``class_id`` is the smallest identifier of the
     class, whose row is kept. Null texts count as empty; texts without words are near only to equal texts. Rows that
     repeat an identifier are one document (all kept or none, counted each); a null identifier counts as smaller than others.
+    An empty table gives no rows; other columns are ignored.
     """
     base = docs.select(
         F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("id_"), F.coalesce(F.col(text_col), F.lit("")).alias("text_")
@@ -285,7 +286,11 @@ def named_ends(end: str) -> list:
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs``, all columns as they are, whose document is kept."""
+    """The rows of ``docs``, all columns as they are, whose document is kept.
+
+    Null texts count as empty ones and are near to each other only; a null identifier is smaller than others; rows that
+    repeat an identifier are all kept or none. An empty table gives no rows.
+    """
     own, (id_, text) = plain_names(docs, id_col, text_col)
     kept = near_duplicates(own, id_col=id_, text_col=text, **options).filter("kept").select(F.col("doc_id").alias("kept_id_")).distinct()
     return own.join(kept, own[id_].cast("bigint").eqNullSafe(F.col("kept_id_")), "left_semi").toDF(*docs.columns)

@@ -439,7 +439,8 @@ def bpe_digests(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     """Encode and decode every document: ``doc_id, n_tokens, ids_sha256, decoded_sha256``.
 
     Special tokens written in a text are taken as such, as the tokenizer file says. Null texts count as empty and
-    have no tokens; repeated rows give repeated results; an empty table gives no rows and builds an empty lexicon.
+    have no tokens; repeated rows give repeated results; an empty table gives no rows and builds an empty lexicon;
+    other columns are ignored.
     """
     docs = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text_"))
     lexicon = build_lexicon(docs, "text_", path, n_words)

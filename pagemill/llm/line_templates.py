@@ -161,7 +161,11 @@ def cut_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **o
 
 
 def line_report(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per row: ``doc_id, n_lines, n_dropped, kept_sha256`` of the text without recurring lines; null counts as empty, which has one line."""
+    """Per row: ``doc_id, n_lines, n_dropped, kept_sha256`` of the text without recurring lines; null counts as empty, which has one line.
+
+    An empty table gives no rows. Rows repeated with identifier and text are cut alike; counts are of texts, so there are no
+    ties to settle. Other columns are ignored.
+    """
     own = df.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = with_gone_lines(own, "doc_id", "text", **options)
     return rows.select(

@@ -137,7 +137,7 @@ def pack(
     sees all of them. Returns a row per piece: ``doc_id, piece, start, length, ids_crc32, sequence_id, offset``.
 
     Null and empty texts are one separator long. Repeated rows are packed one by one; pieces equal in
-    length, identifier, number and checksum are interchangeable. An empty table gives no rows.
+    length, identifier, number and checksum are interchangeable. An empty table gives no rows; other columns are ignored.
     """
     spark = df.sparkSession
     cut = stored(pieces(df, path, id_col, text_col, length, separator))

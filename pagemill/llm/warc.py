@@ -282,7 +282,8 @@ def archive_pages(spark: SparkSession, pages: DataFrame, **columns) -> DataFrame
 
     Null payloads count as empty, null urls are left out, a null identifier is written as an empty one. Payloads under
     100 bytes are never revisits. Rows repeated with one identifier are all written; those with the smallest
-    identifier of their payload are all responses. An empty table gives no archive and no rows.
+    identifier of their payload are all responses. An empty table gives no archive and no rows; columns other than
+    identifier, url and payload are ignored.
     """
     folder = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
     folder = folder if "://" in folder else "file://" + folder.removeprefix("file:")

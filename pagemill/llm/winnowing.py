@@ -80,7 +80,8 @@ def edit_fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Returns ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``. Null texts
     count as empty. Rows repeated with identifier and text stand at one place in the order; equal identifiers with
-    different texts go by a hash of the text, a null identifier comes first. One document alone follows itself.
+    different texts go by a hash of the text, a null identifier comes first. One document alone follows itself. An empty
+    table gives no rows; other columns are ignored.
     """
     # an identifier and a hash of the text name a row in every branch of the plan
     docs = df.select(
