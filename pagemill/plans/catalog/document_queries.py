@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from pagemill.functions import source as source_functions
-from pagemill.operators import assemble, content, repair, sampling, sft
+from pagemill.operators import assemble, content, repair, sampling, sft, tasks
 from pagemill.plans.catalog.registry import query
 from pagemill.plans.catalog.text_queries import FORMATTED, SQL_WORD, sql_clean
 from pagemill.plans.documents import document_pages, documents, on_pages, page_documents
@@ -352,6 +352,31 @@ def _(i: Inputs):
     return report.select("unit_id", "part_page", "part_seq", F.size("layout").alias("n_blocks"), "full_markdown")
 
 
+@query(
+    "task_report_documents",
+    duckdb_with(
+        ["fx_tasks", "fx_regions", "fx_doc_pages"],
+        f"""with {_BLOCKS},
+reports as (select unit_id, string_agg(block_content || chr(10), '' order by block_id) as full_markdown, cast(count(*) as int) as n_blocks,
+  max(block_id) as last_block, max_by(page_index, block_id) as last_page, max_by(bx2, block_id) as last_x2 from merged group by 1),
+metadata as (select unit_id, '{{"document_id":' || unit_id || ',"total_pages":' || count(*) || ',"widest":' || max(width) || '}}' as metadata from fx_doc_pages group by 1)
+select task_id, status, priority, retry_count, worker_id, metadata, full_markdown, n_blocks, last_block, cast(last_page as int) as last_page, last_x2
+from fx_tasks left join reports on task_id = reports.unit_id left join metadata on reports.unit_id = metadata.unit_id""",
+    ),
+)
+def _(i: Inputs):
+    described = i.doc_pages().groupBy("unit_id").agg(F.count("*").alias("total_pages"), F.max("width").alias("widest"))
+    metadata = described.select("unit_id", F.to_json(F.struct(F.col("unit_id").alias("document_id"), "total_pages", "widest")).alias("metadata"))
+    reports = assemble.merged_document(assemble.merge_blocks(i.regions()), metadata).withColumnRenamed("unit_id", "task_id")
+    rows = tasks.task_report(i.tasks(), reports)
+    last = F.try_element_at("layout", F.lit(-1))
+    return rows.select(
+        "task_id", "status", "priority", "retry_count", "worker_id", "metadata", "full_markdown",
+        F.when(F.col("layout").isNotNull(), F.size("layout")).alias("n_blocks"),
+        last["block_id"].alias("last_block"), last["page_index"].alias("last_page"), last["bbox"][2].alias("last_x2"),
+    )
+
+
 @query(
     "label_profile",
     duckdb_with(["fx_regions"], "select unit_id, page_idx, native_label, count(*) as n from fx_regions group by 1, 2, 3"),
