@@ -118,7 +118,8 @@ class TaskState(StatefulProcessor):
             self.handle.deleteTimer(timer)
         self.state.update(current)
         if current[0] == tasks.PROCESSING and current[4] is not None:
-            self.handle.registerTimer(int(current[4].timestamp() * 1000))
+            # a timer runs out at its time, a lease only after it
+            self.handle.registerTimer(int(current[4].timestamp() * 1000) + 1)
         self.forget_later(current)
         yield _row(key, current)
 

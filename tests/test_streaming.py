@@ -111,6 +111,15 @@ def test_lease_timeout(spark, tmp_path):
     assert latest[3] == ("completed", 0)
 
 
+def test_a_lease_ends_after_its_time(spark, tmp_path):
+    at = lambda ms: datetime(2024, 1, 1) + timedelta(milliseconds=ms)
+    schema = "task_id bigint, status string, at timestamp, retry_count int, max_retries int, lock_expires_at timestamp"
+    leases = [(k, "processing", at(0), 0, 3, at(ms)) for k, ms in ((1, 999), (2, 1000), (3, 1001))]
+    updates = feed(spark, tmp_path, "tasks", schema, [leases, [(9, "pending", at(1000), 0, 3, None)]])
+    rows = streams.run_available(streams.stream_task_state(updates), "append").collect()
+    assert sorted(r.task_id for r in rows if r.retry_count == 1) == [1]  # the others have not run out by then
+
+
 def test_finished_tasks_are_forgotten(spark, tmp_path):
     at = lambda d: datetime(2024, 1, 1) + timedelta(days=d)
     schema = "task_id bigint, status string, at timestamp, retry_count int, max_retries int, lock_expires_at timestamp"
