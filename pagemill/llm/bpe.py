@@ -38,14 +38,22 @@ SEPARATORS = regex.compile("[\x1c-\x1f]")
 WHITE = regex.compile(r"\p{White_Space}+")
 
 
-@cache
-def newer_characters() -> regex.Pattern:
+class NewerCharacters:
     """Characters that this Python's Unicode tables do not know; the tokenizers library may."""
-    unknown = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-    edges = [k for k in range(1, len(unknown)) if unknown[k] != unknown[k - 1] + 1]
-    runs = zip([0, *edges], [*edges, len(unknown)])
-    return regex.compile("[" + "".join(f"\\U{unknown[a]:08x}-\\U{unknown[b - 1]:08x}" for a, b in runs) + "]")
 
+    def __init__(self):
+        self.unknown = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
+
+    def search(self, text: str) -> bool:
+        """Whether ``text`` has one; they are never printable, so most words need no look at the table."""
+        if text.isprintable():
+            return False
+        return bool(self.unknown[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
+
+
+@cache
+def newer_characters() -> NewerCharacters:
+    return NewerCharacters()
 
 
 def byte_symbols() -> list[str]:

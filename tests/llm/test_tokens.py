@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import time
+import unicodedata
 import zlib
 from collections import defaultdict
 
@@ -72,6 +74,15 @@ def test_every_character_splits_as_in_the_library(library):
     assert not wrong, (len(wrong), [[hex(ord(c)) for c in t] for t in wrong[:5]])
 
 
+def test_newer_characters_are_found_at_once():
+    newer = newer_characters()
+    wrong = [c for c in range(0x110000) if newer.search(chr(c)) != (unicodedata.category(chr(c)) == "Cn")]
+    assert not wrong and newer.search("word\nwörd \ud800 \U0003fffe") and not newer.search("word\nwörd \ud800")
+    start = time.process_time()
+    assert not newer.search("wörter und\n" * 500_000)  # a look at each character's range took 7 s
+    assert time.process_time() - start < 1
+
+
 @pytest.mark.parametrize("n_words", [5, 200_000])
 def test_bpe_cases(documents, library, n_words):
     rows = [(i, t, "en", "s") for i, t in enumerate(ODD)] + [(0, ODD[0], "en", "s")]
