@@ -15,7 +15,7 @@ from pagemill.plans.fixtures import Inputs, duckdb_with
 from pagemill.plans.service import service_results
 from pagemill.session import materialise, shared_dir
 from pagemill.sources import readers, sinks
-from pagemill.sources.document_files import write_document_pages
+from pagemill.sources.document_files import read_document_files, write_document_pages
 
 PAGE = ["unit_id", "page_idx"]
 REGION = "unit_id, page_idx, idx, native_label, label, content"
@@ -222,13 +222,8 @@ def _(i: Inputs):
     )
     write_document_pages(named, out)
 
-    def files(kind: str):
-        read = i.spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}").text(out, wholetext=True)
-        number = F.regexp_extract(F.input_file_name(), r"doc_(\d+)\.[a-z]+$", 1).cast("bigint")
-        return read.select(number.alias("unit_id"), F.col("value").alias(kind))
-
     lists = F.from_json("json", "array<array<struct<index: int>>>")
-    found = files("json").withColumn("pages", lists).join(files("md"), "unit_id", "left")
+    found = read_document_files(i.spark, out).withColumn("pages", lists)
     counted = F.aggregate("pages", F.lit(0), lambda n, p: n + F.size(p))
     return found.select("unit_id", F.size("pages").alias("n_pages"), counted.alias("n_regions"), F.col("md").alias("markdown"))
 

@@ -2,7 +2,9 @@
 
 Rows are pieces of pages in order; a task appends them to the files of the document it is at and holds one batch of rows.
 Files grow under a temporary name and get their own when the document ends, so a repeated task leaves the same files and
-a reader sees whole ones only. The commit of the job adds a mark, its abort removes what has no name yet.
+a reader sees whole ones only. A task that has written documents lists them in a file of its own; the commit of the job
+adds the lists of the tasks that count and a mark, its abort removes what has no name yet. The files are read back by
+these lists in tasks, so nothing collects the names of all files.
 """
 
 from __future__ import annotations
@@ -14,10 +16,16 @@ from urllib.parse import quote
 
 import pyarrow as pa
 import pyarrow.fs
-from pyspark.sql import DataFrame
+import pyarrow.parquet
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 DONE = "_SUCCESS"
+LISTS = "_documents"
+LIST_SCHEMA = pa.schema([("unit_id", pa.int64()), ("rel_dir", pa.string()), ("stem", pa.string())])
+#: Documents that a task lists at a time, and bytes of files that a reading task passes on at a time.
+LIST_ROWS, READ_BYTES = 10_000, 1 << 22
 SCHEMA = "unit_id bigint, rel_dir string, stem string, page_idx int, fragment int, page_json string, raw_json string, page_text string"
 
 
@@ -108,11 +116,38 @@ class Text:
         self.file.finish()
 
 
+def folder_of(out: str, rel_dir: str | None, stem: str) -> str:
+    return "/".join(p for p in (out.rstrip("/"), (rel_dir or "").strip("/"), stem) if p)
+
+
+class Names:
+    """The list of the documents of a task, written as it grows."""
+
+    def __init__(self, fs: pyarrow.fs.FileSystem, path: str):
+        self.writer = pyarrow.parquet.ParquetWriter(path, LIST_SCHEMA, filesystem=fs)
+        self.rows: list[tuple] = []
+
+    def add(self, key: tuple) -> None:
+        self.rows.append(key)
+        if len(self.rows) >= LIST_ROWS:
+            self.flush()
+
+    def flush(self) -> None:
+        columns = [pa.array(c, k) for c, k in zip(zip(*self.rows), LIST_SCHEMA.types)]
+        self.writer.write_batch(pa.RecordBatch.from_arrays(columns, schema=LIST_SCHEMA))
+        self.rows = []
+
+    def finish(self) -> None:
+        if self.rows:
+            self.flush()
+        self.writer.close()
+
+
 class Document:
     """The files of one document, to which its rows are appended in order."""
 
-    def __init__(self, fs: pyarrow.fs.FileSystem, out: str, rel_dir: str, stem: str, temporary: str):
-        folder = "/".join(p for p in (out.rstrip("/"), rel_dir.strip("/"), stem) if p)
+    def __init__(self, fs: pyarrow.fs.FileSystem, out: str, rel_dir: str | None, stem: str, temporary: str):
+        folder = folder_of(out, rel_dir, stem)
         self.json = Lists(Growing(fs, folder, f"{stem}.json", temporary), optional=False)
         self.raw = Lists(Growing(fs, folder, f"{stem}_model.json", temporary), optional=True)
         self.text = Text(Growing(fs, folder, f"{stem}.md", temporary))
@@ -134,6 +169,7 @@ class Document:
 @dataclass
 class Written(WriterCommitMessage):
     n_documents: int
+    names: str | None
 
 
 class FileWriter(DataSourceArrowWriter):
@@ -148,23 +184,32 @@ class FileWriter(DataSourceArrowWriter):
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root, temporary = self.place()
         fs.create_dir(temporary, recursive=True)
-        document, key, n = None, None, 0
-        names = ("unit_id", "rel_dir", "stem", "page_idx", "page_json", "raw_json", "page_text")
+        document, key, n, listed, path = None, None, 0, None, None
+        columns = ("unit_id", "rel_dir", "stem", "page_idx", "page_json", "raw_json", "page_text")
         for batch in iterator:
-            for unit, rel_dir, stem, page, *pieces in zip(*(batch.column(c).to_pylist() for c in names)):
+            for unit, rel_dir, stem, page, *pieces in zip(*(batch.column(c).to_pylist() for c in columns)):
                 if (unit, rel_dir, stem) != key:
                     if document:
                         document.finish()
-                    document, key, n = Document(fs, root, rel_dir or "", stem, temporary), (unit, rel_dir, stem), n + 1
+                    if listed is None:
+                        path = f"{temporary}/{uuid.uuid4().hex}.parquet"
+                        listed = Names(fs, path)
+                    document, key, n = Document(fs, root, rel_dir, stem, temporary), (unit, rel_dir, stem), n + 1
+                    listed.add(key)
                 document.add(page, *pieces)
         if document:
             document.finish()
-        return Written(n)
+            listed.finish()
+        return Written(n, path)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root, temporary = self.place()
+        lists = f"{root.rstrip('/')}/{LISTS}"
+        fs.create_dir(lists, recursive=True)
+        for k, message in enumerate(messages):
+            if message is not None and message.names is not None:
+                fs.move(message.names, f"{lists}/{self.job}-{k}.parquet")
         self.clear(fs, temporary)
-        fs.create_dir(root, recursive=True)
         fs.open_output_stream(f"{root.rstrip('/')}/{DONE}").close()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
@@ -197,6 +242,7 @@ def write_document_pages(pages: DataFrame, out: str) -> None:
 
     ``pages`` has the columns of ``SCHEMA``, a row per page or per piece of a page; no row or task ever holds a whole
     document. Documents must differ in ``(rel_dir, stem)``. ``out`` is a folder, path or URI, that all executors share.
+    :func:`read_document_files` reads the files back.
     """
     spark = pages.sparkSession
     spark.dataSource.register(DocumentFiles)
@@ -204,3 +250,43 @@ def write_document_pages(pages: DataFrame, out: str) -> None:
     document = ["rel_dir", "stem", "unit_id"]
     rows = pages.select(*names).repartition(*document).sortWithinPartitions(*document, "page_idx", "fragment")
     rows.write.format("document_files").mode("append").save(out)
+
+
+def read_document_files(spark: SparkSession, out: str) -> DataFrame:
+    """The files of every document written to ``out``: ``unit_id, rel_dir, stem, json, md``; ``md`` is null where there is none.
+
+    Tasks read the files that the lists of the writing tasks name, some MB of them at a time, and fail where a JSON file
+    is missing. A document written again is read once.
+    """
+    schema = "unit_id bigint, rel_dir string, stem string, json string, md string"
+    fields = pa.schema([*LIST_SCHEMA, ("json", pa.string()), ("md", pa.string())])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = filesystem(out)
+
+        def content(path: str) -> str:
+            with fs.open_input_stream(path, compression=None) as f:
+                return f.read().decode("utf-8")
+
+        def flush(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), fields.types)], schema=fields)
+
+        rows, size = [], 0
+        for batch in batches:
+            for unit, rel_dir, stem in zip(*(c.to_pylist() for c in batch.columns)):
+                path = f"{folder_of(root, rel_dir, stem)}/{stem}"
+                text = fs.get_file_info(f"{path}.md").type == pyarrow.fs.FileType.File
+                rows.append((unit, rel_dir, stem, content(f"{path}.json"), content(f"{path}.md") if text else None))
+                size += len(rows[-1][3]) + len(rows[-1][4] or "")
+                if size >= READ_BYTES:
+                    yield flush(rows)
+                    rows, size = [], 0
+        if rows:
+            yield flush(rows)
+
+    names = [f.name for f in LIST_SCHEMA]
+    kinds = "unit_id bigint, rel_dir string, stem string"
+    listed = spark.read.schema(kinds).parquet(f"{out.rstrip('/')}/{LISTS}").select(*names).distinct()
+    # the names are small beside the files, so Spark must not join their partitions
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return listed.repartition(parts, *names).mapInArrow(read, schema)

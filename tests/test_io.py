@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagemill.functions import source
 from pagemill.operators import pages, seams
 from pagemill.sources import readers, sinks
-from pagemill.sources.document_files import write_document_pages
+from pagemill.sources.document_files import read_document_files, write_document_pages
 from pagemill.streaming import streams
 
 
@@ -97,6 +97,23 @@ def test_one_file_per_document(spark, tmp_path):
     assert not (tmp_path / "failed/_SUCCESS").exists() and not (tmp_path / "failed/long").exists()
 
 
+def test_files_are_read_by_the_lists_of_their_writers(spark, tmp_path):
+    out = f"file://{tmp_path}/my out"
+    rows = [(k, f"part {k % 3}", f"doc {k}", p, 0, f"[{k}]", None, " " if k % 5 else f"é {p}") for k in range(40) for p in range(2)]
+    df = spark.createDataFrame([*rows, (90, None, "x", 0, 0, "[]", None, None)], PAGES)
+    for _ in range(2):
+        write_document_pages(df.repartition(3), out)
+    files = read_document_files(spark, out)
+    assert "BinaryFile" not in (plan := files._jdf.queryExecution().toString()) and "Relation [value" not in plan
+    assert files.count() == 41 and len(files.inputFiles()) <= 2 * 4  # two lists of a writing task at most, not 49 files
+    got = {r.unit_id: (r.rel_dir, r.stem, r.json, r.md) for r in files.collect()}
+    assert got[10] == ("part 1", "doc 10", "[[10],[10]]", "é 0\n\né 1") and got[90] == (None, "x", "[[]]", None)
+    assert all(got[k][3] is None for k in range(40) if k % 5)
+    (tmp_path / "my out/part 1/doc 10/doc 10.json").unlink()
+    with pytest.raises(Exception, match="doc 10.json"):
+        read_document_files(spark, out).collect()
+
+
 def test_pages_of_any_size(spark):
     from pagemill.plans.documents import document_pages
 
