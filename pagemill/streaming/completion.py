@@ -4,7 +4,7 @@ A unit is complete once it is final, so that its number of regions is known, and
 many distinct regions are recognised. Events come in any order and may be replayed.
 
 One unit may own a large share of all events. Region events are therefore first counted
-per ``(unit, bucket)``: each bucket remembers the region ids it has seen and passes on
+per ``(unit, bucket)``, where runs of neighbouring ids share a bucket: each bucket remembers the region ids it has seen and passes on
 only how many were new in the micro-batch. What reaches the state of a unit is at most
 one row per bucket and micro-batch.
 
@@ -28,6 +28,8 @@ from pyspark.sql.types import BinaryType, BooleanType, LongType, StructField, St
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: A prime, so that ids numbered in steps of a round number still spread.
 BUCKETS = 251
+#: Neighbouring region ids that share a bucket, so that a unit of ordinary size has one bucket and not one per region.
+RUN = 1024
 #: How late an event may come, and how long replays are recognised, where there is an event time.
 DELAY, KEEP = "1 hour", "1 day"
 
@@ -177,9 +179,11 @@ def new_region_counts(
     events = region_done.select(F.col("unit_id").cast("long"), F.col("region_id").cast("long"), _timed(region_done, time))
     # copies of an event within a batch go before the shuffle
     unique = events.mapInPandas(_without_copies, events.schema)
-    bucket = F.pmod(F.col("region_id"), F.lit(buckets))
-    number = F.expr(f"(region_id - pmod(region_id, {buckets})) div {buckets}")
-    keyed = unique.select("unit_id", bucket.cast("int").alias("bucket"), number.alias("number"), "at", _at_ms())
+    bucket = F.pmod("run", F.lit(buckets)).cast("int").alias("bucket")
+    # the runs of a bucket follow each other, so ids without gaps stay one interval
+    number = F.expr(f"(run - pmod(run, {buckets})) div {buckets} * {RUN} + pmod(region_id, {RUN})").alias("number")
+    numbered = unique.withColumn("run", F.expr(f"(region_id - pmod(region_id, {RUN})) div {RUN}"))
+    keyed = numbered.select("unit_id", bucket, number, "at", _at_ms())
     return (
         (keyed.withWatermark("at", delay) if time else keyed)
         .groupBy("unit_id", "bucket")

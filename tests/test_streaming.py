@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from pagemill.sources import store
 from pagemill.streaming import completion, streams
@@ -30,6 +31,26 @@ def test_completion_in_any_order(spark, tmp_path):
     assert sorted(rows) == [(1, 2), (2, 2), (3, 0)]  # each once; unit 4 still waits
 
 
+def test_neighbouring_regions_share_their_state(spark, tmp_path):
+    ids = [*range(200), *range(-30, 0), *range(251 * 1024, 251 * 1024 + 40)]
+    first = [(u, k) for u in (1, 2, 3) for k in ids]
+    again = [(1, k) for k in ids] + [(2, 200), (2, -31), (2, 10**12)]
+    done = feed(spark, tmp_path, "done", "unit_id bigint, region_id bigint", [first, again])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", completion.ROCKSDB)
+    try:
+        query = (
+            completion.new_region_counts(done).writeStream.format("memory").queryName("new_regions")
+            .option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    counted = {r.unit_id: r.n for r in spark.table("new_regions").groupBy("unit_id").agg(F.sum("n_new").alias("n")).collect()}
+    assert counted == {1: 270, 2: 273, 3: 270}
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert rows[-1] == 7, rows  # buckets 0 and 250 of each unit and one for the far id, not one per region
+
+
 def test_intervals():
     rng = np.random.default_rng(1)
     for _ in range(200):
