@@ -8,6 +8,7 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -158,6 +159,9 @@ def expand_documents(
 
 # --- cropping ----------------------------------------------------------------
 
+#: Bytes of crops, and their number, that a task passes on at a time.
+CROP_BYTES, CROP_ROWS = 1 << 22, 10_000
+
 
 def crop_array(pixels: np.ndarray, box: Sequence[int], polygon: Sequence[Sequence[int]] | None) -> np.ndarray:
     """Rectangle of an image, white outside the polygon; all coordinates in thousandths."""
@@ -179,7 +183,7 @@ def crop_array(pixels: np.ndarray, box: Sequence[int], polygon: Sequence[Sequenc
 
 def polygon_mask(points: Sequence[tuple[int, int]], width: int, height: int) -> np.ndarray:
     """Pixels inside a polygon or on its outline (even-odd rule)."""
-    xs, ys = np.meshgrid(np.arange(width, dtype=float), np.arange(height, dtype=float))
+    xs, ys = np.arange(width, dtype=float)[None, :], np.arange(height, dtype=float)[:, None]
     inside = np.zeros((height, width), dtype=bool)
     edge = np.zeros((height, width), dtype=bool)
     for (ax, ay), (bx, by) in zip(points, [*points[1:], points[0]]):
@@ -215,24 +219,32 @@ def crop_regions(images: DataFrame, regions: DataFrame, use_polygon: bool = Fals
     unit_type = regions.schema["unit_id"].dataType.simpleString()
     schema = f"unit_id {unit_type}, page_idx int, idx int, height int, width int, nChannels int, data binary, content string"
 
-    def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for row in frame.itertuples(index=False):
-                out = []
-                pixels = None  # a page without image: its regions keep empty content
-                if row.data is not None:
-                    shape = int(row.height), int(row.width), int(row.nChannels)
-                    pixels = np.frombuffer(row.data, dtype=np.uint8).reshape(shape)
-                for region in row.wanted:
-                    outline = region["polygon"]
-                    outline = None if outline is None else [list(p) for p in outline]
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out, size = [], 0
+        for batch in batches:
+            kinds = [batch.schema.field("unit_id").type, *[pa.int32()] * 5, pa.binary(), pa.string()]
+
+            def flush() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=names)
+
+            pages = zip(*(batch.column(c).to_pylist() for c in (*PAGE, "height", "width", "nChannels")))
+            for k, (unit, page, *shape) in enumerate(pages):
+                pixels, data = None, batch.column("data")[k].as_buffer()  # a page without image: its regions keep empty content
+                if data is not None:
+                    pixels = np.frombuffer(data, dtype=np.uint8).reshape(shape)
+                for region in batch.column("_regions")[k].as_py():
                     try:
-                        piece = crop_array(pixels, list(region["box"]), outline)
-                        data = piece.tobytes()
-                        out.append((row.unit_id, row.page_idx, region["idx"], piece.shape[0], piece.shape[1], pixels.shape[2], data, None))
+                        piece = crop_array(pixels, region["box"], region["polygon"])
+                        out.append((unit, page, region["idx"], *piece.shape[:2], pixels.shape[2], piece.tobytes(), None))
+                        size += piece.nbytes
                     except Exception:
-                        out.append((row.unit_id, row.page_idx, region["idx"], None, None, None, None, ""))
-                sizes = ["height", "width", "nChannels"]
-                yield pd.DataFrame(out, columns=[*PAGE, "idx", *sizes, "data", "content"]).astype({c: "Int32" for c in sizes})
-
-    return joined.withColumnRenamed("_regions", "wanted").mapInPandas(cut, schema)
+                        out.append((unit, page, region["idx"], None, None, None, None, ""))
+                    if size >= CROP_BYTES or len(out) >= CROP_ROWS:
+                        yield flush()
+                        out, size = [], 0
+            if out:
+                yield flush()
+                out, size = [], 0
+
+    names = [*PAGE, "idx", "height", "width", "nChannels", "data", "content"]
+    return joined.mapInArrow(cut, schema)
