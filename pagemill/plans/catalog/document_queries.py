@@ -84,6 +84,13 @@ def _(i: Inputs):
     return rows.select(*PAGE, "idx", "native_label", "label", "content")
 
 
+def _parted_words(lines):
+    """Last words of lines joined with the first of the next; taken before the lines meet, so no line is shuffled."""
+    ends = lines.select("doc_id", "pos", F.regexp_extract("line", r"(\S+)\s*$", 1).alias("last"))
+    starts = lines.select("doc_id", (F.col("pos") - 1).alias("pos"), F.regexp_extract("line", r"^\s*(\S+)", 1).alias("first"))
+    return ends.join(starts, ["doc_id", "pos"]).select(F.lower(F.concat("last", "first")).alias("word")).where("word <> ''").distinct()
+
+
 # the words that hyphens part, each with a frequency by its length: about half of them count as words
 _LEXICON = r"""lexicon as (select distinct word, 2.0 + length(word)%2 as zipf from (
   select lower(regexp_extract(a.line, '(\S+)\s*$', 1) || regexp_extract(b.line, '^\s*(\S+)', 1)) as word
@@ -101,10 +108,7 @@ _LEXICON = r"""lexicon as (select distinct word, 2.0 + length(word)%2 as zipf fr
     ),
 )
 def _(i: Inputs):
-    lines = i.lines()
-    after = lines.select("doc_id", (F.col("pos") - 1).alias("pos"), F.col("line").alias("next"))
-    ends = [F.regexp_extract("line", r"(\S+)\s*$", 1), F.regexp_extract("next", r"^\s*(\S+)", 1)]
-    words = lines.join(after, ["doc_id", "pos"]).select(F.lower(F.concat(*ends)).alias("word")).where("word <> ''").distinct()
+    words = _parted_words(i.lines())
     lexicon = words.withColumn("zipf", F.lit(2.0) + F.length("word") % 2)
     rows = on_pages(i.regions(), lambda df, o: repair.repair_regions(df, o, bullets=False, lexicon=lexicon))
     return rows.select(*PAGE, "idx", "native_label", "label", "content")

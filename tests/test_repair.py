@@ -166,3 +166,13 @@ def test_numbers_without_a_window_over_everything(spark):
     names = spark.createDataFrame([(f"{k:03d}",) for k in range(200)], "path string").repartition(7)
     ranked = global_rank(names, ["path"], "at").collect()
     assert sorted((r["at"], r["path"]) for r in ranked) == [(k, f"{k:03d}") for k in range(200)]
+
+
+def test_only_words_of_lines_are_shuffled(spark):
+    from pagemill.plans.catalog.document_queries import _parted_words
+
+    lines = spark.createDataFrame([(1, 0, " an over-  "), (1, 1, "\tLap of"), (1, 2, ""), (1, 3, "x"), (2, 4, "y")], "doc_id bigint, pos int, line string")
+    words = _parted_words(lines)
+    assert sorted(r.word for r in words.collect()) == ["of", "over-lap", "x"]
+    above, _, below = words._jdf.queryExecution().optimizedPlan().toString().partition("Join Inner")
+    assert "regexp_extract" not in above and below.count("Project") >= 2
