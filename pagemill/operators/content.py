@@ -26,8 +26,8 @@ def cut_repeated_lines(
 ) -> DataFrame:
     """Cut after the first of three equal lines in a row when one line makes up most of the text.
 
-    The share is above one half, so the line can only be the majority line, which one
-    pass with a counter finds.
+    The share is above one half, so the line can only be the majority line, which stands in the middle of the sorted
+    lines.
     """
     if share <= 0.5:
         raise ValueError("the share of the common line must be above one half")
@@ -42,18 +42,8 @@ def cut_repeated_lines(
             lambda x: x["line"] != "",
         ),
     )
-    vote = lambda line, votes: F.struct(line.alias("line"), votes.alias("votes"))
-    df = df.withColumn(
-        "_common",
-        F.aggregate(
-            "_lines",
-            vote(F.lit(""), F.lit(0)),
-            lambda acc, x: F.when(acc["votes"] == 0, vote(x["line"], F.lit(1)))
-            .when(acc["line"] == x["line"], vote(acc["line"], acc["votes"] + 1))
-            .otherwise(vote(acc["line"], acc["votes"] - 1)),
-            lambda acc: acc["line"],
-        ),
-    )
+    texts = F.sort_array(F.transform("_lines", lambda x: x["line"]))
+    df = df.withColumn("_common", F.get(texts, F.floor(F.size("_lines") / 2).cast("int")))
     df = df.withColumn("_same", F.transform("_lines", lambda x: x["line"] == F.col("_common")))
     count = F.size(F.filter("_same", lambda same: same))
     total = F.size("_same")

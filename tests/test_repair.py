@@ -176,3 +176,14 @@ def test_only_words_of_lines_are_shuffled(spark):
     assert sorted(r.word for r in words.collect()) == ["of", "over-lap", "x"]
     above, _, below = words._jdf.queryExecution().optimizedPlan().toString().partition("Join Inner")
     assert "regexp_extract" not in above and below.count("Project") >= 2
+
+
+def test_common_lines_are_found_without_a_count_per_line(spark):
+    from pagemill.operators.content import cut_repeated_lines
+
+    same, most = "\n".join(["a"] * 12), "\n".join(["b", *["z", " z", "z "] * 4, "a"])
+    rows = [(1, same), (2, most), (3, "\n".join(["a", "b"] * 10)), (4, "\n \n"), (5, None), (6, "\n".join(["q"] * 9))]
+    cut = cut_repeated_lines(spark.createDataFrame(rows, "id int, c string"), "c")
+    assert {r.id: r.c for r in cut.collect()} == dict(rows) | {1: "a", 2: "b\nz"}
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" in plan and "aggregate(" not in plan
