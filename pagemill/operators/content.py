@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from pagemill import config
 from pagemill.functions import text
-from pagemill.functions.strings import strip
+from pagemill.functions.strings import bind, strip
 
 
 def cut_repeated_lines(
@@ -43,8 +43,9 @@ def cut_repeated_lines(
         ),
     )
     texts = F.sort_array(F.transform("_lines", lambda x: x["line"]))
-    df = df.withColumn("_common", F.get(texts, F.floor(F.size("_lines") / 2).cast("int")))
-    df = df.withColumn("_same", F.transform("_lines", lambda x: x["line"] == F.col("_common")))
+    common = F.get(texts, F.floor(F.size("_lines") / 2).cast("int"))
+    # bound, as Spark would move the expression of a column of its own into the comparison of each line
+    df = df.withColumn("_same", bind(common, lambda c: F.transform("_lines", lambda x: x["line"] == c)))
     count = F.size(F.filter("_same", lambda same: same))
     total = F.size("_same")
     first = F.get(

@@ -187,3 +187,12 @@ def test_common_lines_are_found_without_a_count_per_line(spark):
     assert {r.id: r.c for r in cut.collect()} == dict(rows) | {1: "a", 2: "b\nz"}
     plan = cut._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array" in plan and "aggregate(" not in plan
+
+
+def test_common_line_is_looked_for_once_in_a_text(spark):
+    from pagemill.operators.content import cut_repeated_lines
+
+    df = spark.createDataFrame([(1, "\n".join(["line"] * 4000 + ["end"])), (2, "\n".join(map(str, range(4000))))], "id int, c string")
+    plan = cut_repeated_lines(df, "c")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(sort_array" in plan and ".line = sort_array" not in plan, plan
+    assert {r.id: len(r.c) for r in cut_repeated_lines(df, "c").collect()} == {1: 4, 2: 18889}
