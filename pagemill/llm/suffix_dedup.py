@@ -21,8 +21,10 @@ LENGTH = 50
 GRAM = 24
 #: Anchors that a task gathers before it sends them on; bounds its memory.
 GATHERED = 400_000
-#: Rows of a matrix that are worked on at a time.
-BLOCK = 20_000
+#: Bytes of text whose anchors are looked for at a time: the hashes and their minima are tens of times as large.
+PART = 1 << 18
+#: Rows of a matrix that are worked on at a time: the hashes of their prefixes are tens of times as large.
+BLOCK = 4_000
 #: Suffixes that are sorted at a time.
 SORTED = 400_000
 NO_ID = -(2**63)
@@ -102,11 +104,18 @@ class Contexts:
 
     @staticmethod
     def joined(parts: list[Contexts]) -> Contexts:
-        return Contexts(*(np.concatenate([getattr(p, f) for p in parts]) for f in Contexts.FIELDS))
+        """All rows of ``parts``, which lose their columns one after the other, so that two copies are never held."""
+        return Contexts(*(np.concatenate([p.__dict__.pop(f) for p in parts]) for f in Contexts.FIELDS))
 
     def take(self, index) -> Contexts:
         return Contexts(*(getattr(self, f)[index] for f in self.FIELDS))
 
+    def keep(self, index) -> Contexts:
+        """Only these rows from now on, column by column."""
+        for f in self.FIELDS:
+            setattr(self, f, getattr(self, f)[index])
+        return self
+
     def pack(self) -> bytes:
         """All but the hashes, which the reader computes again, compressed."""
         kinds = zip(self.FIELDS[2:], ("<i8", "<i8", "u1", "u1", "u1"))
@@ -114,20 +123,24 @@ class Contexts:
 
     @staticmethod
     def unpack(blobs: list[bytes], width: int, gram: int) -> Contexts:
-        parts = []
+        sizes = [int.from_bytes(blob[:8], "little") for blob in blobs]
+        total, at_row = sum(sizes), 0
+        kinds = (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64)
+        c = Contexts(*(np.empty(total, k) for k in kinds), np.empty((total, width), np.uint8))
         for blob in blobs:
             n, columns = expanded(blob, ["<i8", "<i8", "u1", "u1", f"V{width}"])
-            doc, place, left, right = columns[0], columns[1], columns[2].astype(np.int64), columns[3].astype(np.int64)
-            rows = columns[4].view(np.uint8).reshape(n, width)
-            anchor, whole = np.empty(n, np.uint64), np.empty(n, np.uint64)
-            for k in range(0, n, BLOCK):
-                sums = PrefixHash(rows[k : k + BLOCK].reshape(-1))
-                at = np.arange(len(rows[k : k + BLOCK])) * width + (width - gram) // 2
-                anchor[k : k + BLOCK] = mix(sums.of(at, at + gram))
-                le, ri = left[k : k + BLOCK], right[k : k + BLOCK]
-                whole[k : k + BLOCK] = mix(sums.of(at - le, at + ri) + (le * 256 + ri).astype(np.uint64))
-            parts.append(Contexts(anchor, whole, doc, place, left, right, rows))
-        return Contexts.joined(parts)
+            own = slice(at_row, at_row + n)
+            c.doc[own], c.place[own], c.left[own], c.right[own] = columns[:4]
+            c.rows[own] = columns[4].view(np.uint8).reshape(n, width)
+            at_row += n
+        for k in range(0, total, BLOCK):
+            own = slice(k, min(k + BLOCK, total))
+            sums = PrefixHash(c.rows[own].reshape(-1))
+            at = np.arange(own.stop - k) * width + (width - gram) // 2
+            c.anchor[own] = mix(sums.of(at, at + gram))
+            le, ri = c.left[own], c.right[own]
+            c.whole[own] = mix(sums.of(at - le, at + ri) + (le * 256 + ri).astype(np.uint64))
+        return c
 
 
 def squeezed(n: int, columns: list[np.ndarray]) -> bytes:
@@ -147,7 +160,7 @@ def expanded(blob: bytes, kinds: list[str]) -> tuple[int, list[np.ndarray]]:
 
 
 def settle(c: Contexts) -> tuple[Contexts, np.ndarray]:
-    """Take out the rows that an equal row of a smaller document covers whole.
+    """Take out of ``c`` the rows that an equal row of a smaller document covers whole.
 
     Returns the rows left and the spans (document, start, stop) covered. Hashes find equal rows and their bytes are
     compared before a span counts; a row that only has an equal hash is left in.
@@ -164,7 +177,7 @@ def settle(c: Contexts) -> tuple[Contexts, np.ndarray]:
     spans = np.stack([c.doc[rows], c.place[rows] - c.left[rows], c.place[rows] + c.right[rows]], axis=1)
     left = np.ones(len(order), bool)
     left[rows] = False
-    return c.take(left), spans
+    return c if left.all() else c.keep(left), spans
 
 
 class Suffixes:
@@ -271,7 +284,7 @@ def compare(c: Contexts, length: int, gram: int) -> Iterator[np.ndarray]:
         at_once = max(1, SORTED // len(part))
         for first in range(0, offsets, at_once):
             row, offset, key = repeated_strings(c, part, number, range(first, min(first + at_once, offsets)), length, gram)
-            for piece in pieces(key, c.doc[part][row], SORTED // 4):
+            for piece in pieces(key, c.doc[part][row], SORTED // 16):
                 yield from sorted_strings(c, part, number, row[piece], offset[piece], length, gram)
         done = stop
 
@@ -431,7 +444,7 @@ def find_anchors(length: int, gram: int, buckets: list[int]):
                 rows.append((buckets[k], None, ANCHORS, squeezed(len(index), columns)))
             yield batch(*zip(*rows)) if rows else batch([], [], [], [])
 
-        for b in slices(batches, "text_"):
+        for b in slices(batches, "text_", PART):
             flat, start, stop = texts_of(b)
             doc = b.column("id_").to_numpy()
             at, _, sums = anchors(flat, stop, length, gram)
@@ -522,7 +535,7 @@ def cut_contexts(length: int, gram: int, buckets: list[int]):
             rows = [(buckets[k], None, ANCHORS, c.take(i).pack()) for k, i in dealt((c.anchor % np.uint64(parts)).astype(np.int64), parts)]
             yield batch(*zip(*rows)) if rows else batch([], [], [], [])
 
-        for b in slices(batches, "text_"):
+        for b in slices(batches, "text_", PART):
             flat, start, stop = texts_of(b)
             doc = b.column("id_").to_numpy()
             at, owner = [], []

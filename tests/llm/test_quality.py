@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -112,3 +114,18 @@ def test_cases(spark, documents):
 def test_query_covers_the_table(spark):
     got = catalog.QUERIES["op9_co_training"](spark, "/root/testdata/sf0.001")
     assert got.count() == 200 and got.filter("quality between 0 and 1").count() == 200
+
+
+def test_long_texts_are_counted_in_parts(monkeypatch):
+    tracemalloc.start()
+    try:
+        quality.text_features(["x" * 4_000_000])
+        assert tracemalloc.get_traced_memory()[1] < 6 * 4_000_000  # arrays of the whole text took 43 times its bytes
+    finally:
+        tracemalloc.stop()
+    rng = np.random.default_rng(3)
+    texts = ["", "a", "é" * 40, "".join(rng.choice(list("ab É!|#\n"), 500)), "", "x y\n" * 9]
+    whole = quality.text_features(texts)
+    for part in (1, 7, 64):
+        monkeypatch.setattr(quality, "PART", part)
+        assert np.array_equal(quality.text_features(texts), whole)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -145,3 +146,25 @@ def test_one_anchor_with_many_surroundings(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SORTED", 4_000)
     found = np.concatenate(list(suffix_dedup.compare(c, 50, 24)))
     assert len(np.unique(found[:, 0])) == 59_999 and found[:, 0].min() == 1
+
+
+def test_surroundings_are_held_once():
+    n, width = 40_000, 76
+    c = surroundings(n)
+    blobs = [c.take(np.arange(k, k + 4_000)).pack() for k in range(0, n, 4_000)]
+    suffix_dedup.PrefixHash(np.zeros(2_000_000, np.uint8))  # its powers are kept
+    tracemalloc.start()
+    try:
+        got = suffix_dedup.Contexts.unpack(blobs, width, 24)
+        tracemalloc.reset_peak()
+        left, spans = suffix_dedup.settle(got)
+        assert tracemalloc.get_traced_memory()[1] < 2.1 * n * (width + 48)  # 2.3 times with a copy of all rows that stay
+    finally:
+        tracemalloc.stop()
+    first = {}
+    for k in np.argsort(c.doc):
+        first.setdefault(c.rows[k].tobytes(), k)
+    stays = np.sort(list(first.values()))
+    assert 0 < len(spans) == n - len(stays)
+    for f in ("doc", "place", "left", "right", "rows"):
+        assert np.array_equal(getattr(left, f), getattr(c, f)[stays])
