@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -76,20 +77,29 @@ TASK_STATE = StructType(
         StructField("lock_expires_at", TimestampType()),
     ]
 )
-_STORED = StructType(TASK_STATE.fields[1:])
+#: The same with times in microseconds, as the state holds them.
+_MICROS = StructType([StructField(f.name, LongType() if f.dataType == TimestampType() else f.dataType) for f in TASK_STATE])
+#: Tasks are dealt to so many buckets by a hash. Reading and writing state, timers and results cost much for each key,
+#: so a key is a bucket of tasks and not one task.
+TASK_BUCKETS = 2048
+_BUCKET = StructType([StructField("tasks", StringType()), StructField("timer", LongType())])
 
 
-def _row(key, state) -> pd.DataFrame:
-    columns = {"task_id": [key[0]]}
-    for field, value in zip(_STORED.fields, state):
-        columns[field.name] = pd.to_datetime([value]) if isinstance(field.dataType, TimestampType) else [value]
-    return pd.DataFrame(columns)
+def _frame(rows: list[list]) -> pd.DataFrame:
+    # as objects, so that numbers stay whole beside nulls
+    return pd.DataFrame({name: pd.Series(values, dtype=object) for name, values in zip(_MICROS.names, zip(*rows))})
+
+
+def _not_before(task: list, held: list) -> bool:
+    """Whether an update is as late as the state; one without a time is older than any."""
+    return held[2] is None or (task[2] is not None and task[2] >= held[2])
 
 
 class TaskState(StatefulProcessor):
-    """Latest state of a task; a lease that runs out moves it on by itself.
+    """Latest state of the tasks of a bucket; a lease that runs out moves a task on by itself.
 
-    A finished task is forgotten ``keep_ms`` after its last update; open tasks stay.
+    A finished task is forgotten ``keep_ms`` after its last update; open tasks stay. A bucket holds its tasks as a JSON
+    list, in the order of ``TASK_STATE``, and has one timer: the next time at which one of them moves on or is forgotten.
     """
 
     def __init__(self, keep_ms: int):
@@ -97,53 +107,67 @@ class TaskState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("task", _STORED)
+        self.state = handle.getValueState("bucket", _BUCKET)
+
+    def due(self, task: list) -> int | None:
+        """When a task moves on or is forgotten, in milliseconds."""
+        _, status, at, _, _, lease = task
+        if status == tasks.PROCESSING and lease is not None:
+            return lease // 1000 + 1  # a timer runs out at its time, a lease only after it
+        if status in (*tasks.FINISHED, tasks.DEAD_LETTER) and at is not None:
+            return at // 1000 + self.keep_ms
+        return None
+
+    def held(self) -> tuple[dict, int | None]:
+        text, timer = self.state.get() or ("[]", None)
+        return {task[0]: task for task in json.loads(text)}, timer
+
+    def hold(self, known: dict, timer: int | None) -> None:
+        due = min((d for d in map(self.due, known.values()) if d is not None), default=None)
+        if due != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if due is not None:
+                self.handle.registerTimer(due)
+        if known:
+            self.state.update((json.dumps(list(known.values())), due))
+        else:
+            self.state.clear()
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        current = self.state.get() if self.state.exists() else None
+        known, timer = self.held()
+        told = {}
         for batch in rows:
-            last = batch.sort_values("at", kind="stable").iloc[-1]
-            if current is None or last["at"].to_pydatetime() >= current[1]:
-                lease = last["lock_expires_at"]
-                current = (
-                    last["status"],
-                    last["at"].to_pydatetime(),
-                    int(last["retry_count"]),
-                    int(last["max_retries"]),
-                    None if pd.isna(lease) else lease.to_pydatetime(),
-                )
-        if current is None:
-            return
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.state.update(current)
-        if current[0] == tasks.PROCESSING and current[4] is not None:
-            # a timer runs out at its time, a lease only after it
-            self.handle.registerTimer(int(current[4].timestamp() * 1000) + 1)
-        self.forget_later(current)
-        yield _row(key, current)
-
-    def forget_later(self, current: tuple) -> None:
-        if current[0] in (*tasks.FINISHED, tasks.DEAD_LETTER):
-            self.handle.registerTimer(int(current[1].timestamp() * 1000) + self.keep_ms)
+            for update in json.loads(f"[{','.join(batch['update'])}]"):
+                task = list(update.values())
+                if task[0] not in known or _not_before(task, known[task[0]]):
+                    known[task[0]] = task
+                told[task[0]] = None
+        self.hold(known, timer)
+        yield _frame([known[task_id] for task_id in told])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.state.exists():
-            return
-        status, at, retries, most, lease = self.state.get()
-        if status in (*tasks.FINISHED, tasks.DEAD_LETTER):
-            self.state.clear()
-            return
-        if status != tasks.PROCESSING or lease is None:
-            return
-        if retries < most:
-            status, retries = tasks.PENDING, retries + 1
-            current = (status, lease, retries, most, None)
-        else:
-            current = (tasks.DEAD_LETTER, lease, retries, most, lease)
-        self.state.update(current)
-        self.forget_later(current)
-        yield _row(key, current)
+        known, _ = self.held()
+        now = timerValues.getCurrentWatermarkInMs()
+        moved = []
+        for task in list(known.values()):
+            due = self.due(task)
+            if due is None or due > now:
+                continue
+            task_id, status, _, retries, most, lease = task
+            if status == tasks.PROCESSING:
+                if retries is not None and most is not None and retries < most:
+                    task = [task_id, tasks.PENDING, lease, retries + 1, most, None]
+                else:
+                    task = [task_id, tasks.DEAD_LETTER, lease, retries, most, lease]
+                known[task_id] = task
+                moved.append(task)
+                due = self.due(task)
+            if due is not None and due <= now:
+                del known[task_id]
+        self.hold(known, None)  # the timer that ran out goes by itself
+        if moved:
+            yield _frame(moved)
 
     def close(self) -> None:
         pass
@@ -151,28 +175,39 @@ class TaskState(StatefulProcessor):
 
 def _latest_updates(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
-        yield frame.sort_values("at", kind="stable").drop_duplicates("task_id", keep="last")
+        latest = frame.sort_values("at", kind="stable", na_position="first").drop_duplicates("task", keep="last")
+        yield latest.drop(columns="task")
 
 
-def stream_task_state(updates: DataFrame, delay: str = "0 seconds", keep: str = KEEP_TASKS) -> DataFrame:
+def stream_task_state(updates: DataFrame, delay: str = "0 seconds", keep: str = KEEP_TASKS, buckets: int = TASK_BUCKETS) -> DataFrame:
     """State of every task after each micro-batch of updates, lease timeouts included.
 
     A finished task is forgotten ``keep`` after its last update; updates older than the watermark are left out, so none
     of them can open it again. Leases are compared with the event-time watermark, so a replay gives the same result.
+    A micro-batch reads and writes the whole buckets of its tasks; ``buckets`` must stay the same for a checkpoint.
     """
     typed = updates.select(*[F.col(f.name).cast(f.dataType) for f in TASK_STATE.fields])
+    times = {f.name for f in TASK_STATE if f.dataType == TimestampType()}
+    fields = [F.unix_micros(name).alias(name) if name in times else F.col(name) for name in TASK_STATE.names]
+    rows = typed.select(
+        F.pmod(F.xxhash64("task_id"), F.lit(buckets)).cast("int").alias("bucket"),
+        "at",
+        F.col("task_id").cast("string").alias("task"),
+        F.to_json(F.struct(*fields), {"ignoreNullFields": "false"}).alias("update"),
+    )
     # only the last update of a task counts, so of a batch only that one is shuffled
-    return (
-        typed.mapInPandas(_latest_updates, TASK_STATE)
+    states = (
+        rows.mapInPandas(_latest_updates, rows.drop("task").schema)
         .withWatermark("at", delay)
-        .groupBy("task_id")
+        .groupBy("bucket")
         .transformWithStateInPandas(
             statefulProcessor=TaskState(milliseconds(updates.sparkSession, keep)),
-            outputStructType=TASK_STATE,
+            outputStructType=_MICROS,
             outputMode="Update",
             timeMode="EventTime",
         )
     )
+    return states.select(*[F.timestamp_micros(name).alias(name) if name in times else F.col(name) for name in TASK_STATE.names])
 
 
 # --- progress ----------------------------------------------------------------

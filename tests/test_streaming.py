@@ -158,3 +158,54 @@ def test_finished_tasks_are_forgotten(spark, tmp_path):
     assert spark.table("task_states").count() == 53
     rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     assert max(rows) > 50 and rows[-1] < 20, rows
+
+
+def test_tasks_share_buckets_of_state(spark, tmp_path):
+    at = lambda m: None if m is None else datetime(2024, 1, 1) + timedelta(minutes=m)
+    schema = "task_id bigint, status string, at timestamp, retry_count int, max_retries int, lock_expires_at timestamp"
+    rng = np.random.default_rng(3)
+    ids = [None, 2**53 + 1, *range(-10, 110)]
+    batches = []
+    for k in range(5):
+        rows, times = [], iter(rng.permutation(np.arange(100 * k, 100 * k + 100)).tolist())  # no two at one time
+        for _ in range(60):
+            status = ["processing", "processing", "completed", "pending", "dead_letter"][rng.integers(5)]
+            retries = [None, 0, 2, 3][rng.integers(4)] if status == "processing" else 1
+            lease = 100 * k + int(rng.integers(0, 250)) if status == "processing" and rng.random() < 0.8 else None
+            rows.append((ids[rng.integers(len(ids))], status, next(times), retries, 3, lease))
+        batches.append(rows)
+    batches[0].append((500, "completed", None, 0, 3, None))  # without a time
+    batches[1] += [(500, "pending", None, 1, 3, None), (2**53, "pending", 150.5, 7, 9, None)]
+
+    told, state, keep, watermark = [], {}, 120, None
+    for rows in [*batches, []]:  # at the end time passes once more
+        touched = {}
+        for row in rows:
+            if row[0] not in state or state[row[0]][2] is None or (row[2] is not None and row[2] >= state[row[0]][2]):
+                state[row[0]] = row
+            touched[row[0]] = None
+        told += [state[t] for t in touched]
+        for t, (_, status, when, retries, most, lease) in list(state.items()) if watermark is not None else ():
+            if status == "processing" and lease is not None and lease < watermark:
+                again = retries is not None and retries < most
+                state[t] = (t, "pending", lease, retries + 1, most, None) if again else (t, "dead_letter", lease, retries, most, lease)
+                told.append(state[t])
+            if state[t][1] in ("completed", "dead_letter") and state[t][2] is not None and state[t][2] + keep <= watermark:
+                del state[t]
+        watermark = max([watermark or 0, *(r[2] for r in rows if r[2] is not None)])
+
+    updates = feed(spark, tmp_path, "tasks", schema, [[(*r[:2], at(r[2]), *r[3:5], at(r[5])) for r in rows] for rows in batches])
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", completion.ROCKSDB)
+    try:
+        query = (
+            streams.stream_task_state(updates, keep="120 minutes", buckets=3).writeStream.format("memory").queryName("bucket_states")
+            .option("checkpointLocation", str(tmp_path / "state")).outputMode("update").trigger(availableNow=True).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = [tuple(r) for r in spark.table("bucket_states").collect()]
+    wanted = [(*r[:2], at(r[2]), *r[3:5], at(r[5])) for r in told]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    assert max(rows) <= 3 * 3, rows  # a state and a timer (two rows) for each bucket, not for each task
