@@ -158,6 +158,8 @@ PAGE_ROWS_LIMIT = 2048
 SCAN_CHUNK = 65536
 # A document row covers this many pages; longer documents become several rows.
 PAGES_PER_PART = 1024
+# Documents whose files are written by one job; more take several, so that shuffle files take less disk.
+DOCUMENTS_PER_SLICE = 500_000
 # Regions of one page that may share a text fragment.
 REGIONS_PER_FRAGMENT = 4096
 # Key tables up to this many counted rows may be broadcast.

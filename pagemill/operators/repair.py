@@ -8,7 +8,7 @@ access to neighbours as an argument, so the same rule serves pages of every size
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +29,13 @@ def format_regions(
     order: WindowOrder = PAGE_ORDER,
     categories: Mapping[str, Sequence[str]] = config.CATEGORY_LABELS,
     cut_long: bool = True,
+    attach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Map labels, format content, drop blank regions (images stay) and renumber."""
+    """Map labels, format content, drop blank regions (images stay) and renumber.
+
+    ``attach`` adds columns by page and index, before the regions are renumbered; it gets them when they lie by page, so
+    its join shuffles no content.
+    """
     rows = content_rules.map_labels(regions, categories=categories)
     is_image = F.col("label") == "image"
     if "task_type" in rows.columns:
@@ -39,7 +44,8 @@ def format_regions(
     # hides the partitioning from the planner, and before the rules that take the most
     # time, so that these are spread by page instead of by input file.
     rows = content_rules.prepare_content(rows.withColumn("is_image", is_image), cut_long=cut_long)
-    rows = content_rules.finish_content(order.spread(rows))
+    rows = order.spread(rows)
+    rows = content_rules.finish_content(attach(rows) if attach else rows)
     keep = F.col("is_image") | ~is_blank(F.col("content"))
     return order.kept(rows.drop("task_type", "score"), keep, "idx")
 
@@ -184,9 +190,10 @@ def repair_regions(
     bullets: bool = True,
     lexicon: DataFrame | None = None,
     cut_long: bool = True,
+    attach: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Format regions and apply the repairs that are switched on."""
-    rows = format_regions(regions, order, cut_long=cut_long)
+    """Format regions and apply the repairs that are switched on; ``attach`` as in :func:`format_regions`."""
+    rows = format_regions(regions, order, cut_long=cut_long, attach=attach)
     if merge_numbers:
         rows = merge_formula_numbers(rows, order)
     if merge_text:

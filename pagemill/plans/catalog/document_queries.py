@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from pagemill import config
 from pagemill.functions import source as source_functions
 from pagemill.operators import assemble, content, repair, sampling, sft, tasks
 from pagemill.plans.catalog.registry import query
@@ -224,7 +225,7 @@ def _(i: Inputs):
     named = pages.withColumns(
         {"rel_dir": F.format_string("part %d", F.col("unit_id") % 10), "stem": F.format_string("doc_%d", "unit_id"), "raw_json": F.lit(None).cast("string")}
     )
-    write_document_pages(named, out)
+    write_document_pages(named, out, 1 + i.table("documents").count() // config.DOCUMENTS_PER_SLICE)
 
     lists = F.from_json("json", "array<array<struct<index: int>>>")
     found = read_document_files(i.spark, out).withColumn("pages", lists)

@@ -40,11 +40,13 @@ def finished_regions(
     images = None if crops is None else materialise(assemble.matched_crops(regions, crops))
 
     def finished(rows: DataFrame, order: WindowOrder, by_list: int | None) -> DataFrame:
-        if images is None:
-            rows = rows.withColumn("image_no", F.lit(None).cast("int"))
-        else:
-            rows = assemble.attach_image_numbers(rows, images, by_list)
-        final = formatter(rows, order) if formatter else repair.repair_regions(rows, order, lexicon=lexicon, **switches)
+        def attach(df: DataFrame) -> DataFrame:
+            if images is None:
+                return df.withColumn("image_no", F.lit(None).cast("int"))
+            return assemble.attach_image_numbers(df, images, by_list)
+
+        # the usual repairs attach the numbers behind their own shuffle by page
+        final = formatter(attach(rows), order) if formatter else repair.repair_regions(rows, order, lexicon=lexicon, attach=attach, **switches)
         return assemble.with_pieces(final, image_prefix)
 
     ordinary = finished(rest, WindowOrder(PAGE, "idx"), limit)

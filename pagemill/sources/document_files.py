@@ -2,9 +2,9 @@
 
 Rows are pieces of pages in order; a task appends them to the files of the document it is at and holds one batch of rows.
 Files grow under a temporary name and get their own when the document ends, so a repeated task leaves the same files and
-a reader sees whole ones only. A task that has written documents lists them in a file of its own; the commit of the job
-adds the lists of the tasks that count and a mark, its abort removes what has no name yet. The files are read back by
-these lists in tasks, so nothing collects the names of all files.
+a reader sees whole ones only. A task that has written documents lists them in a file of its own; the commit of a job
+adds the lists of the tasks that count, that of the last job a mark too, and an abort removes what has no name yet. The
+files are read back by these lists in tasks, so nothing collects the names of all files.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ LISTS = "_documents"
 LIST_SCHEMA = pa.schema([("unit_id", pa.int64()), ("rel_dir", pa.string()), ("stem", pa.string())])
 #: Documents that a task lists at a time, and bytes of files that a reading task passes on at a time.
 LIST_ROWS, READ_BYTES = 10_000, 1 << 22
+#: Spark's setting that removes the shuffle files of a query when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 SCHEMA = "unit_id bigint, rel_dir string, stem string, page_idx int, fragment int, page_json string, raw_json string, page_text string"
 
 
@@ -173,8 +175,8 @@ class Written(WriterCommitMessage):
 
 
 class FileWriter(DataSourceArrowWriter):
-    def __init__(self, out: str):
-        self.out = out
+    def __init__(self, out: str, last: bool):
+        self.out, self.last = out, last
         self.job = uuid.uuid4().hex
 
     def place(self) -> tuple[pyarrow.fs.FileSystem, str, str]:
@@ -210,7 +212,8 @@ class FileWriter(DataSourceArrowWriter):
             if message is not None and message.names is not None:
                 fs.move(message.names, f"{lists}/{self.job}-{k}.parquet")
         self.clear(fs, temporary)
-        fs.open_output_stream(f"{root.rstrip('/')}/{DONE}").close()
+        if self.last:
+            fs.open_output_stream(f"{root.rstrip('/')}/{DONE}").close()
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, _, temporary = self.place()
@@ -234,22 +237,36 @@ class DocumentFiles(DataSource):
     def writer(self, schema, overwrite: bool) -> FileWriter:
         if overwrite:
             raise ValueError("files of documents are replaced one by one; use append")
-        return FileWriter(self.options["path"])
+        return FileWriter(self.options["path"], self.options.get("last", "true") == "true")
 
 
-def write_document_pages(pages: DataFrame, out: str) -> None:
+def write_document_pages(pages: DataFrame, out: str, slices: int = 1) -> None:
     """One folder per document with ``<stem>.json``, ``<stem>_model.json`` where there is raw JSON, ``<stem>.md`` where there is text.
 
     ``pages`` has the columns of ``SCHEMA``, a row per page or per piece of a page; no row or task ever holds a whole
     document. Documents must differ in ``(rel_dir, stem)``. ``out`` is a folder, path or URI, that all executors share.
     :func:`read_document_files` reads the files back.
+
+    The documents are dealt by ``unit_id`` to ``slices`` jobs, one after the other. The shuffle files of a job go when it
+    ends, so beside the documents the disk holds those of one slice only.
     """
     spark = pages.sparkSession
     spark.dataSource.register(DocumentFiles)
     names = [part.split()[0] for part in SCHEMA.split(", ")]
     document = ["rel_dir", "stem", "unit_id"]
-    rows = pages.select(*names).repartition(*document).sortWithinPartitions(*document, "page_idx", "fragment")
-    rows.write.format("document_files").mode("append").save(out)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        for k in range(slices):
+            # the optimizer takes the condition down to the scans
+            part = pages.where(F.pmod(F.xxhash64("unit_id"), F.lit(slices)) == k) if slices > 1 else pages
+            rows = part.select(*names).repartition(*document).sortWithinPartitions(*document, "page_idx", "fragment")
+            rows.write.format("document_files").mode("append").option("last", k == slices - 1).save(out)
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def read_document_files(spark: SparkSession, out: str) -> DataFrame:
